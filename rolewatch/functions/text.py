@@ -149,8 +149,10 @@ def unescape_html(value: Column, entity: str = _ENTITY) -> Column:
 
 
 def drop_tags(markup: Column) -> Column:
-    tag = rf"(?s)<!--.*?-->|</?[a-zA-Z]{ATTRS}>|</?[a-zA-Z][^>]*>|<[!?][^>]*>"
-    return F.regexp_replace(markup, tag, "")
+    """Markup without comments and tags.  What a script or style holds is text, tags included."""
+    raw = rf"<(?:script|style)(?=[\s/>]){ATTRS}>(.*?)</(?:script|style)\s*>"
+    tag = rf"(?is){raw}|<!--.*?-->|</?[a-z]{ATTRS}>|</?[a-z][^>]*>|<[!?][^>]*>"
+    return F.regexp_replace(markup, tag, "$1")
 
 
 def markup_text(markup: Column) -> Column:

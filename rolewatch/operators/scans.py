@@ -17,23 +17,25 @@ SOURCES_PER_RUN = 125
 def source_results(tasks: DataFrame, postings: DataFrame, failures: DataFrame) -> DataFrame:
     """One row per scanned source: counts before cross-source de-duplication, status and message.
 
+    ``tasks`` has scan_id, source_id, scanned_at, provider and whatever else describes the source.
     A generic page without a posting is a failure, an empty board answer is a success.
     """
-    key = ["source_id"]
-    counts = postings.groupBy(*key).agg(
+    when = F.col("last_seen_at").alias("scanned_at")
+    counts = postings.groupBy("source_id", when).agg(
         F.count("*").alias("_found"), F.count_if(is_us_location(F.col("locations"))).alias("_us")
     )
-    messages = failures.groupBy(*key).agg(F.min("message").alias("_message"))
-    both = tasks.join(counts, key, "left").join(messages, key, "left")
+    messages = failures.groupBy("scan_id", "source_id").agg(F.min("message").alias("_message"))
+    both = tasks.join(counts, ["source_id", "scanned_at"], "left").join(messages, ["scan_id", "source_id"], "left")
     found = F.coalesce("_found", F.lit(0))
     message = F.coalesce(
         F.col("_message"), F.when((F.col("provider") == GENERIC) & (found == 0), F.lit(EMPTY_PAGE))
     )
+    good = F.col("message").isNull()
     return both.withColumn("message", message).select(
-        *[c for c in ("scan_id", "company_id", "source_id", "source_url", "provider") if c in tasks.columns],
-        F.when(F.col("message").isNull(), found).alias("discovered_count"),
-        F.when(F.col("message").isNull(), F.coalesce("_us", F.lit(0))).alias("united_states_count"),
-        F.when(F.col("message").isNull(), "SUCCESS").otherwise("FAILED").alias("status"),
+        *tasks.columns,
+        F.when(good, found).alias("discovered_count"),
+        F.when(good, F.coalesce("_us", F.lit(0))).alias("united_states_count"),
+        F.when(good, "SUCCESS").otherwise("FAILED").alias("status"),
         "message",
     )
 

@@ -302,8 +302,14 @@ def _per_board(boards: list[str], branch: Callable[[Board], Column]) -> Column:
     return chain
 
 
+def _content(board: Board) -> Column:
+    """The parsed body; NULL for a root of the wrong kind, which the parser would wrap or unwrap."""
+    opening = r"^\s*\[" if board.schema.startswith("ARRAY") else r"^\s*\{"
+    return F.when(F.col("body").rlike(opening), F.from_json("body", board.schema))
+
+
 def _body_is_valid(board: Board) -> Column:
-    return let(F.from_json("body", board.schema), lambda content: lit_true(board.valid(content)))
+    return let(_content(board), lambda content: lit_true(board.valid(content)))
 
 
 def _records(board: Board) -> Column:
@@ -314,7 +320,7 @@ def _records(board: Board) -> Column:
     def records(content: Column) -> Column:
         return F.when(board.valid(content), F.transform(board.records(content), normalised))
 
-    return let(F.from_json("body", board.schema), records)
+    return let(_content(board), records)
 
 
 def payload_postings(payloads: DataFrame, *boards: str) -> DataFrame:
@@ -348,13 +354,11 @@ def payload_postings(payloads: DataFrame, *boards: str) -> DataFrame:
 
 
 def payload_failures(payloads: DataFrame) -> DataFrame:
-    """One row per source with at least one body that lacks the expected records."""
+    """One row per scan and source with at least one body that lacks the expected records."""
     every = list(BOARDS)
     failed = payloads.where(F.col("provider").isin(every)).where(~_per_board(every, _body_is_valid))
-    message = _per_board(every, lambda b: F.lit(b.failure))
-    return failed.groupBy(
-        "company_id", "source_id", "source_url", "provider", message.alias("message")
-    ).agg().select("company_id", "source_id", "source_url", "provider", "message")
+    message = _per_board(every, lambda b: F.lit(b.failure)).alias("message")
+    return failed.select("scan_id", "company_id", "source_id", "source_url", "provider", message).distinct()
 
 
 def stitch_pages(payloads: DataFrame, *boards: str, run: tuple[str, ...] = ("source_id",)) -> DataFrame:
@@ -373,7 +377,7 @@ def stitch_pages(payloads: DataFrame, *boards: str, run: tuple[str, ...] = ("sou
             count = F.size(F.coalesce(board.records(content), F.array()))
             return F.struct(F.when(board.valid(content), count).cast("bigint").alias("records"), board.total(content).cast("bigint").alias("total"))
 
-        return let(F.from_json("body", board.schema), read)
+        return let(_content(board), read)
 
     counted = (
         payloads.where(F.col("provider").isin(chosen) & F.col("page_no").between(1, MAX_OFFSET))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,9 +32,13 @@ from ..functions.text import (
     unescape_html,
     unescape_json,
 )
-from ..functions.urls import canonical_url, is_job_detail_url, resolve_url, source_url_error
+from ..functions.urls import canonical_url, is_job_detail_url, parsed_url, source_url_error
+from ..operators.shaping import join_dimension
 from .postings import CONTEXT, finish_postings
 
+# Executors need not have this package installed: its one Python function travels by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MAX_PAGE_UNITS = 5_000_000
 LAYERS = ("jsonld", "pair", "tuple", "anchor")
 
@@ -296,40 +302,35 @@ def event_page_facts(html: Column) -> Column:
     return let(element_markup(html), facts)
 
 
-def read_event_pages(pages: DataFrame) -> DataFrame:
+def read_event_pages(pages: DataFrame, targets: DataFrame, sources: DataFrame) -> DataFrame:
     """One row per page with the event's columns and ``rejection`` (NULL for an accepted event).
 
-    ``pages`` has company_id, url, html, observed_at, event_keywords and events_source, a struct of the
-    company's events source (id, url) that is NULL when there is none.
+    ``pages`` has company_id, url, html and observed_at; a page's markup never reaches a join.
     """
-    facts = pages.select(
-        "company_id",
-        "observed_at",
-        "event_keywords",
-        "events_source",
-        F.posexplode(
-            F.array(
-                F.struct(
-                    resolve_url(F.col("url"), F.lit(None).cast("string")).alias("canonical_url"),
-                    event_page_facts(F.col("html")).alias("facts"),
-                )
-            )
-        ).alias("_", "p"),
-    ).select(
-        "company_id", "observed_at", "event_keywords", "events_source", "p.canonical_url", "p.facts.*"
+    facts = F.struct(
+        parsed_url(F.col("url")).alias("canonical_url"), event_page_facts(F.col("html")).alias("page")
+    )
+    read = pages.select("company_id", "observed_at", F.explode(F.array(facts)).alias("f")).select(
+        "company_id", "observed_at", "f.canonical_url", "f.page.*"
+    )
+    events_page = sources.where(F.col("kind") == "EVENTS").groupBy("company_id").agg(
+        F.min(F.struct("id", "url")).alias("events_source")
     )
+    companies = targets.select(F.col("id").alias("company_id"), "event_keywords", F.lit(True).alias("_known"))
+    located = join_dimension(read, companies.join(events_page, "company_id", "left"), ["company_id"])
     title, description, url = F.col("title"), F.col("description"), F.col("canonical_url")
     haystack = F.lower(F.concat(title, F.lit(" "), description))
     rejection = (
         F.when(url.isNull(), F.lit("Invalid URL"))
+        .when(F.col("_known").isNull(), F.lit("The selected company is not in the watchlist."))
         .when(title == "", F.lit("Event page did not provide a title."))
         .when(
             ~is_early_career_event(title, description, F.col("event_keywords")),
             F.lit("Event does not match the company event keywords."),
         )
     )
-    located = facts.withColumn("location", location_in_title(title))
-    none = F.lit(None).cast("timestamp")
+    place = location_in_title(title)
+    never = F.lit(None).cast(pages.schema["observed_at"].dataType)
     return located.select(
         posting_id(F.col("company_id"), url).alias("id"),
         "company_id",
@@ -342,17 +343,17 @@ def read_event_pages(pages: DataFrame) -> DataFrame:
         title,
         description,
         event_type(title).alias("event_type"),
-        none.alias("starts_at"),
-        none.alias("ends_at"),
+        never.alias("starts_at"),
+        never.alias("ends_at"),
         F.lit("America/Toronto").alias("timezone"),
         event_format(haystack).alias("format"),
-        "location",
-        none.alias("registration_deadline"),
+        place.alias("location"),
+        never.alias("registration_deadline"),
         event_audience(haystack).alias("audience"),
         F.lit("REGISTRATION_OPEN").alias("status"),
         F.col("observed_at").alias("first_seen_at"),
         F.col("observed_at").alias("last_seen_at"),
-        fingerprint(title, description, url, F.col("location")).alias("content_fingerprint"),
+        fingerprint(title, description, url, place).alias("content_fingerprint"),
         F.lit(0.8).alias("extraction_confidence"),
         F.lit(True).alias("active"),
         rejection.alias("rejection"),
