@@ -18,8 +18,14 @@ CLAIM_SIZE = 10
 
 def enqueue(deliveries: DataFrame, changes: DataFrame, now: Column, channel: str = CHANNEL) -> DataFrame:
     """New PENDING deliveries for changes that have none on this channel."""
+    return enqueue_at(deliveries, changes.select("id", now.alias("created_at")), F.col("created_at"), channel)
+
+
+def enqueue_at(deliveries: DataFrame, changes: DataFrame, at: Column, channel: str = CHANNEL) -> DataFrame:
+    """As ``enqueue``, with a time that depends on the change."""
     present = deliveries.where(F.col("channel") == channel).select("change_id")
-    wanted = changes.select(F.col("id").alias("change_id")).distinct().join(present, "change_id", "left_anti")
+    queued = changes.groupBy(F.col("id").alias("change_id")).agg(F.min(at).alias("_at"))
+    wanted = queued.join(present, "change_id", "left_anti")
     types = {f.name: f.dataType for f in deliveries.schema.fields}
     values = {
         "id": delivery_id(F.col("change_id"), F.lit(channel)),
@@ -27,11 +33,11 @@ def enqueue(deliveries: DataFrame, changes: DataFrame, now: Column, channel: str
         "channel": F.lit(channel),
         "status": F.lit("PENDING"),
         "attempts": F.lit(0),
-        "next_attempt_at": now,
+        "next_attempt_at": F.col("_at"),
         "last_error": F.lit(None),
         "external_id": F.lit(None),
-        "created_at": now,
-        "updated_at": now,
+        "created_at": F.col("_at"),
+        "updated_at": F.col("_at"),
     }
     return wanted.select(*[values[c].cast(types[c]).alias(c) for c in deliveries.columns])
 

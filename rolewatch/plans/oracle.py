@@ -620,7 +620,7 @@ _RUNS = """res AS (SELECT 'run-' || (o_orderkey // 100) AS scan_id, o_orderkey /
 _RUN_COLUMNS = f"{at('started')} AS started_at, {at('finished')} AS finished_at, target_count, failure_count, failures, source_results, job_count"
 add("scan_summary", f"WITH {_RUNS} SELECT scan_id, {_RUN_COLUMNS} FROM runs")
 add("health", f"WITH {_RUNS} SELECT 'SCANNED' AS status, scan_id AS id, {_RUN_COLUMNS} FROM runs ORDER BY started DESC, scan_id DESC LIMIT 1")
-add("health_without_scans", "SELECT 'NO_SCANS' AS status")
+add("health_without_scans", f"WITH {_RUNS} SELECT CASE WHEN count(*) = 0 THEN 'NO_SCANS' ELSE 'SCANNED' END AS status FROM runs WHERE target_count < 0")
 add(
     "scan_message",
     f"""+ {_RUNS}, ch AS (SELECT 'run-' || (CAST(substr(id, 2) AS BIGINT) // 100) AS scan_id, count(*) FILTER (WHERE kind = 'NEW') AS a,
