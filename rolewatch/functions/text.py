@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Callable
 from html.entities import html5, name2codepoint
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,6 +31,24 @@ _ENTITY = rf"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;|(?:{_OLD_NA
 _ATTRIBUTE_ENTITY = _ENTITY[:-1] + r"(?![=A-Za-z0-9]))"
 
 
+def reused(build: Callable[..., Column]) -> Callable[..., Column]:
+    """Keep the expression a function builds from column names and constants.
+
+    Describing a large expression takes thousands of calls into the JVM, far longer than planning it.
+    A column is an immutable description, so queries and micro-batches of one application can share it.
+    """
+    built: dict[tuple, Column] = {}
+
+    @functools.wraps(build)
+    def shared(*args):
+        key = (SparkContext.getOrCreate().applicationId, *args)
+        if key not in built:
+            built[key] = build(*args)
+        return built[key]
+
+    return shared
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and name it inside ``body``.
 

@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 
 from ..functions.places import is_us_location
 from ..functions.payloads import scan_message
+from ..functions.text import reused
 from ..sources.boards import GENERIC
-from .shaping import join_dimension
 
 EMPTY_PAGE = "Source loaded but no job records were extractable; provider adapter may be required."
 SOURCES_PER_RUN = 125
 
 
+@reused
+def _in_us():
+    return is_us_location(F.col("locations"))
+
+
 def source_results(tasks: DataFrame, postings: DataFrame, failures: DataFrame) -> DataFrame:
     """One row per scanned source: counts before cross-source de-duplication, status and message.
 
@@ -22,7 +27,7 @@ def source_results(tasks: DataFrame, postings: DataFrame, failures: DataFrame) -
     """
     when = F.col("last_seen_at").alias("scanned_at")
     counts = postings.groupBy("source_id", when).agg(
-        F.count("*").alias("_found"), F.count_if(is_us_location(F.col("locations"))).alias("_us")
+        F.count("*").alias("_found"), F.count_if(_in_us()).alias("_us")
     )
     messages = failures.groupBy("scan_id", "source_id").agg(F.min("message").alias("_message"))
     both = tasks.join(counts, ["source_id", "scanned_at"], "left").join(messages, ["scan_id", "source_id"], "left")
@@ -41,7 +46,7 @@ def source_results(tasks: DataFrame, postings: DataFrame, failures: DataFrame) -
 
 
 def us_postings(postings: DataFrame) -> DataFrame:
-    return postings.where(is_us_location(F.col("locations")))
+    return postings.where(_in_us())
 
 
 def summarize_runs(results: DataFrame, jobs_per_run: DataFrame) -> DataFrame:

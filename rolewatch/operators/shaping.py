@@ -57,6 +57,17 @@ def join_skewed(
     return spread.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
+def computed(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are evaluated exactly once per row.
+
+    Filters written on a projected column are pushed below the projection and would evaluate an
+    expensive expression a second time.  They cannot be pushed below a generator.
+    """
+    kept = [c for c in rows.columns if c not in columns]
+    once = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_once")
+    return rows.select(*kept, once).select(*kept, "_once.*")
+
+
 def winners(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The row with the greatest ``order`` per key.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.dedup import dedup_board_postings, dedup_company_postings, dedup_page_postings
 from ..operators.scans import source_results, us_postings
+from ..session import ensure_checkpoint_dir
 from ..sources.board_payloads import BOARDS, payload_failures, payload_postings, stitch_pages
 from ..sources.boards import GENERIC
 from ..sources.pages import admitted_pages, page_postings
@@ -54,11 +55,26 @@ def failures(landed: DataFrame) -> DataFrame:
     return pages.unionByName(payload_failures(requested_payloads(landed)).select(*key, "message"))
 
 
-def scan(landed: DataFrame, targets: DataFrame) -> ScanOutcome:
-    """Extract one or more scans.  Persist ``landed``'s extraction upstream when both outputs are used."""
-    found = extract(landed, targets)
+def results_of(landed: DataFrame, found: DataFrame) -> DataFrame:
+    """One row per source of each scan; ``found`` is the output of ``extract``."""
     tasks = landed.groupBy(*TASK).agg(F.min("observed_at").alias("scanned_at"))
-    results = source_results(tasks, found, failures(landed))
+    return source_results(tasks, found, failures(landed))
+
+
+def winners_of(found: DataFrame, results: DataFrame) -> DataFrame:
+    """Postings in the United States of the sources that succeeded, one per company and URL of each scan."""
     bad = results.where(F.col("status") == "FAILED").select("source_id", F.col("scanned_at").alias("last_seen_at"))
     usable = found.join(bad, ["source_id", "last_seen_at"], "left_anti")
-    return ScanOutcome(dedup_company_postings(us_postings(usable), run=("last_seen_at",)), results)
+    return dedup_company_postings(us_postings(usable), run=("last_seen_at",))
+
+
+def scan(landed: DataFrame, targets: DataFrame) -> ScanOutcome:
+    """Extract one or more scans.
+
+    Three consumers read the extracted postings.  They are checkpointed so that pages and payloads are
+    parsed once; a checkpoint on shared storage also survives lost executors.
+    """
+    ensure_checkpoint_dir(landed.sparkSession)
+    found = extract(landed, targets).checkpoint()
+    results = results_of(landed, found)
+    return ScanOutcome(winners_of(found, results), results)

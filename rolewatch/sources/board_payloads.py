@@ -15,18 +15,21 @@ from pyspark.sql import functions as F
 from ..functions.ids import fingerprint
 from ..functions.text import (
     SPACE,
+    collapse,
     joined,
     let,
     lit_true,
+    markup_text,
     null_if_blank,
+    reused,
     split_trim,
-    strip_markup,
     text_or_empty,
     trim_text,
     unique_texts,
 )
 from ..functions.urls import resolve_url
-from .postings import CONTEXT, finish_postings
+from ..operators.shaping import computed
+from .postings import CONTEXT, eligible, finish_postings
 
 MAX_OFFSET = 500
 MAX_NUMBERED_PAGES = 50
@@ -74,12 +77,11 @@ def _greenhouse(r: Column, origin: Column, site: Column) -> dict[str, Column]:
 
     offices = _or_empty(F.flatten(F.transform(r["offices"], office)))
     departments = F.transform(r["departments"], lambda d: d["name"])
-    url = _clean(r["absolute_url"])
     return {
         "title": _clean(r["title"]),
-        "url": url,
-        "application_url": url,
-        "description": strip_markup(r["content"], passes=2),
+        "link": _clean(r["absolute_url"]),
+        "description": r["content"],
+        "markup": F.lit(2),
         "locations": unique_texts(F.concat(F.array(r["location"]["name"]), offices)),
         "raw_type": joined(_or_empty(departments), ", "),
     }
@@ -93,15 +95,15 @@ def _jibe(r: Column, origin: Column, site: Column) -> dict[str, Column]:
     data = r["data"]
     name = _first_text(data["slug"], data["req_id"])
     path = _first_text(data["canonical_url"], F.when(name != "", F.concat(F.lit("/jobs/"), name)))
-    url = F.when(path != "", resolve_url(path, origin))
     extra = _or_empty(F.transform(data["additional_locations"], place))
     return {
         "title": _clean(data["title"]),
-        "url": url,
-        "application_url": F.when(_first_text(data["apply_url"]) != "", resolve_url(data["apply_url"], origin)),
-        "description": strip_markup(data["description"]),
+        "link": path,
+        "base": origin,
+        "apply_link": data["apply_url"],
+        "description": data["description"],
+        "markup": F.lit(1),
         "locations": unique_texts(F.concat(F.array(place(data)), extra, F.array(data["full_location"]))),
-        "raw_type": F.lit(""),
     }
 
 
@@ -109,8 +111,8 @@ def _ashby(r: Column, origin: Column, site: Column) -> dict[str, Column]:
     others = _or_empty(F.transform(r["secondaryLocations"], lambda s: s["location"]))
     return {
         "title": _clean(r["title"]),
-        "url": _clean(r["jobUrl"]),
-        "application_url": _clean(r["applyUrl"]),
+        "link": _clean(r["jobUrl"]),
+        "apply_link": _clean(r["applyUrl"]),
         "description": _clean(r["descriptionPlain"]),
         "locations": unique_texts(F.concat(F.array(r["location"]), others)),
         "raw_type": F.concat(text_or_empty(r["employmentType"]), F.lit(" "), text_or_empty(r["department"])),
@@ -120,8 +122,8 @@ def _ashby(r: Column, origin: Column, site: Column) -> dict[str, Column]:
 def _lever(r: Column, origin: Column, site: Column) -> dict[str, Column]:
     return {
         "title": _clean(r["text"]),
-        "url": _clean(r["hostedUrl"]),
-        "application_url": _clean(r["applyUrl"]),
+        "link": _clean(r["hostedUrl"]),
+        "apply_link": _clean(r["applyUrl"]),
         "description": trim_text(joined(F.array(r["descriptionPlain"], r["additionalPlain"]), " ")),
         "locations": split_trim(r["categories"]["location"], "[;|]"),
         "raw_type": r["categories"]["commitment"],
@@ -132,8 +134,8 @@ def _eightfold(r: Column, origin: Column, site: Column) -> dict[str, Column]:
     standard = r["standardizedLocations"]
     return {
         "title": _clean(r["name"]),
-        "url": F.when(r["positionUrl"] != "", resolve_url(r["positionUrl"], origin)),
-        "application_url": F.lit(""),
+        "link": r["positionUrl"],
+        "base": origin,
         "description": _clean(r["department"]),
         "locations": F.when(lit_true(F.size(standard) > 0), standard).otherwise(_or_empty(r["locations"])),
         "raw_type": r["department"],
@@ -141,16 +143,14 @@ def _eightfold(r: Column, origin: Column, site: Column) -> dict[str, Column]:
 
 
 def _workday(r: Column, origin: Column, site: Column) -> dict[str, Column]:
-    base = F.concat(origin, F.lit("/en-US/"), site)
     bullets = F.transform(_or_empty(r["bulletFields"]), lambda b: text_or_empty(b))
     places = F.split(text_or_empty(r["locationsText"]), rf"{SPACE}*\|{SPACE}*|;{SPACE}*")
     return {
         "title": _clean(r["title"]),
-        "url": F.when(r["externalPath"] != "", resolve_url(r["externalPath"], base)),
-        "application_url": F.lit(""),
+        "link": r["externalPath"],
+        "base": F.concat(origin, F.lit("/en-US/"), site),
         "description": trim_text(F.array_join(bullets, " ")),
         "locations": F.filter(places, lambda p: p != ""),
-        "raw_type": F.lit(""),
     }
 
 
@@ -161,8 +161,9 @@ def _phenom(r: Column, origin: Column, site: Column) -> dict[str, Column]:
     structured = joined(F.array(r["city"], r["state"], r["country"]), ", ")
     return {
         "title": _clean(r["title"]),
-        "url": F.when(path != "", resolve_url(path, origin)),
-        "application_url": F.when(_first_text(r["applyUrl"]) != "", resolve_url(r["applyUrl"], origin)),
+        "link": path,
+        "base": origin,
+        "apply_link": r["applyUrl"],
         "description": _clean(r["description"]),
         "locations": unique_texts(F.array(r["location"], structured), trim=False),
         "raw_type": r["category"],
@@ -176,8 +177,7 @@ def _oracle_hcm(r: Column, origin: Column, site: Column) -> dict[str, Column]:
         encoded = F.replace(encoded, F.lit(escaped), F.lit(plain))
     return {
         "title": _clean(_first_text(r["ExternalTitle"], r["Title"])),
-        "url": F.concat(origin, F.lit("/hcmUI/CandidateExperience/en/sites/"), site, F.lit("/job/"), encoded),
-        "application_url": F.lit(""),
+        "link": F.concat(origin, F.lit("/hcmUI/CandidateExperience/en/sites/"), site, F.lit("/job/"), encoded),
         "description": _clean(r["ShortDescriptionStr"]),
         "locations": unique_texts(F.array(r["PrimaryLocation"], r["Locations"]), trim=False),
         "raw_type": r["JobFunction"],
@@ -308,14 +308,22 @@ def _content(board: Board) -> Column:
     return F.when(F.col("body").rlike(opening), F.from_json("body", board.schema))
 
 
+@reused
 def _body_is_valid(board: Board) -> Column:
     return let(_content(board), lambda content: lit_true(board.valid(content)))
 
 
+# What a board's record may leave out: links without a base are already absolute.
+_TEXT_FIELDS = ["title", "link", "base", "apply_link", "description", "raw_type"]
+
+
+@reused
 def _records(board: Board) -> Column:
     def normalised(r: Column) -> Column:
         fields = board.fields(r, F.col("api_origin"), F.col("site"))
-        return F.struct(*[text_or_empty(c).alias(n) if n != "locations" else c.alias(n) for n, c in fields.items()])
+        texts = [text_or_empty(fields.get(name, F.lit(""))).alias(name) for name in _TEXT_FIELDS]
+        markup = fields.get("markup", F.lit(0)).alias("markup")
+        return F.struct(*texts, fields["locations"].alias("locations"), markup)
 
     def records(content: Column) -> Column:
         return F.when(board.valid(content), F.transform(board.records(content), normalised))
@@ -323,6 +331,26 @@ def _records(board: Board) -> Column:
     return let(_content(board), records)
 
 
+@reused
+def _joined_to(link_name: str, base_name: str) -> Column:
+    link, base = F.col(link_name), F.col(base_name)
+    resolved = F.coalesce(resolve_url(link, base), F.lit(""))
+    return F.when((link == "") | (base == ""), link).otherwise(resolved)
+
+
+@reused
+def _readable() -> Column:
+    """Bodies hold plain text, markup, or markup that was escaped once more."""
+    description, markup = F.col("description"), F.col("markup")
+    once = F.when(markup > 0, markup_text(description)).otherwise(description)
+    return let(
+        once,
+        lambda text: F.when(markup == 0, text).otherwise(
+            collapse(F.when(markup == 2, markup_text(text)).otherwise(text))
+        ),
+    )
+
+
 def payload_postings(payloads: DataFrame, *boards: str) -> DataFrame:
     """Postings of the given boards (all by default), one row per eligible record, in one scan.
 
@@ -337,14 +365,19 @@ def payload_postings(payloads: DataFrame, *boards: str) -> DataFrame:
             "query_no",
             "page_no",
             _per_board(chosen, lambda b: F.lit(b.confidence)).alias("extraction_confidence"),
-            # The generator is a barrier: record fields are computed once, filters run on its output.
             F.posexplode(_per_board(chosen, _records)).alias("record_no", "r"),
         )
         .select(*CONTEXT, *RECORD_KEY, "extraction_confidence", "r.*")
     )
-    evidence = records.where((F.col("title") != "") & (F.col("url") != "")).withColumns(
+    resolved = computed(
+        eligible(records.where(F.col("link") != "")),
+        url=_joined_to("link", "base"),
+        apply_url=_joined_to("apply_link", "base"),
+        description=_readable(),
+    ).where(F.col("url") != "")
+    evidence = resolved.withColumns(
         {
-            "application_url": _first_text(F.col("application_url"), F.col("url")),
+            "application_url": _first_text(F.col("apply_url"), F.col("url")),
             "content_fingerprint": fingerprint(
                 F.col("title"), F.col("description"), F.col("url"), F.array_join("locations", "|")
             ),
@@ -361,6 +394,20 @@ def payload_failures(payloads: DataFrame) -> DataFrame:
     return failed.select("scan_id", "company_id", "source_id", "source_url", "provider", message).distinct()
 
 
+@reused
+def _page_facts(board: Board) -> Column:
+    """Number of records on a page and the total it reports; no records when the page is invalid."""
+
+    def read(content: Column) -> Column:
+        count = F.size(F.coalesce(board.records(content), F.array()))
+        return F.struct(
+            F.when(board.valid(content), count).cast("bigint").alias("records"),
+            board.total(content).cast("bigint").alias("total"),
+        )
+
+    return let(_content(board), read)
+
+
 def stitch_pages(payloads: DataFrame, *boards: str, run: tuple[str, ...] = ("source_id",)) -> DataFrame:
     """Keep the pages a scan would have asked for: in order, until the board has no more to give.
 
@@ -372,16 +419,9 @@ def stitch_pages(payloads: DataFrame, *boards: str, run: tuple[str, ...] = ("sou
     pages = Window.partitionBy(*run, "query_no").orderBy("page_no")
     before = pages.rowsBetween(Window.unboundedPreceding, -1)
 
-    def facts(board: Board) -> Column:
-        def read(content: Column) -> Column:
-            count = F.size(F.coalesce(board.records(content), F.array()))
-            return F.struct(F.when(board.valid(content), count).cast("bigint").alias("records"), board.total(content).cast("bigint").alias("total"))
-
-        return let(_content(board), read)
-
     counted = (
         payloads.where(F.col("provider").isin(chosen) & F.col("page_no").between(1, MAX_OFFSET))
-        .withColumn("_facts", _per_board(chosen, facts))
+        .withColumn("_facts", _per_board(chosen, _page_facts))
         .withColumn("_count", F.coalesce(F.col("_facts.records"), F.lit(0)))
         .withColumn("_offset", F.sum("_count").over(pages))
     )

@@ -26,6 +26,7 @@ from ..functions.text import (
     let,
     lit_true,
     null_if_blank,
+    reused,
     strip_markup,
     text_or_empty,
     trim_text,
@@ -33,8 +34,8 @@ from ..functions.text import (
     unescape_json,
 )
 from ..functions.urls import canonical_url, is_job_detail_url, parsed_url, source_url_error
-from ..operators.shaping import join_dimension
-from .postings import CONTEXT, finish_postings
+from ..operators.shaping import computed, join_dimension
+from .postings import CONTEXT, eligible, finish_postings
 
 # Executors need not have this package installed: its one Python function travels by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -66,13 +67,17 @@ _LD_RECORD = (
 )
 
 
-def admitted_pages(pages: DataFrame) -> DataFrame:
-    """Add ``rejection``: NULL for a page that may be used, else the reason it may not."""
+@reused
+def _rejection() -> Column:
     too_large = ~count_utf16(F.col("html"), MAX_PAGE_UNITS)
-    reason = F.coalesce(
+    return F.coalesce(
         source_url_error(F.col("source_url")), F.when(too_large, F.lit("Source response exceeded 5 MB."))
     )
-    return pages.withColumn("rejection", reason)
+
+
+def admitted_pages(pages: DataFrame) -> DataFrame:
+    """Add ``rejection``: NULL for a page that may be used, else the reason it may not."""
+    return pages.withColumn("rejection", _rejection())
 
 
 # ---- linked data -----------------------------------------------------------------------------
@@ -133,102 +138,98 @@ def _read_linked_data(blocks: pd.Series) -> pd.Series:
 # ---- layers ----------------------------------------------------------------------------------
 
 
-def _record(layer: str, title: Column, url: Column, **rest: Column) -> Column:
-    description = rest.get("description", F.lit(""))
-    parts = [title, description, url] if layer == "jsonld" else [title, url]
+def _raw(layer: str, title: Column, href: Column, **rest: Column) -> Column:
+    """A record as found, before any URL or text is cleaned."""
     return F.struct(
+        F.lit(layer).alias("layer"),
         title.alias("title"),
-        url.alias("url"),
-        description.alias("description"),
+        href.alias("href"),
+        rest.get("description", F.lit("")).alias("description"),
         rest.get("locations", F.array().cast("array<string>")).alias("locations"),
         rest.get("raw_type", F.lit("")).alias("raw_type"),
-        fingerprint(*parts).alias("content_fingerprint"),
-        F.lit(CONFIDENCE[layer]).alias("extraction_confidence"),
     )
 
 
-def _kept(records: Column, detail_only: bool) -> Column:
-    def keep(r: Column) -> Column:
-        usable = lit_true(r["title"] != "") & r["url"].isNotNull()
-        return usable & is_job_detail_url(r["url"]) if detail_only else usable
-
-    return F.filter(records, keep)
-
-
 def _linked_data(blocks: Column, base: Column) -> Column:
     read = F.pandas_udf(_read_linked_data, _LD_RECORD)
 
     def one(r: Column) -> Column:
-        target = F.coalesce(null_if_blank(r["url"]), base)
-
-        def build(parts: Column) -> Column:
-            return _record(
-                "jsonld",
-                r["title"],
-                parts["url"],
-                description=parts["description"],
-                locations=r["locations"],
-                raw_type=r["employment_type"],
-            )
-
-        parts = F.struct(
-            canonical_url(target, base).alias("url"), strip_markup(r["description"]).alias("description")
+        return _raw(
+            "jsonld",
+            r["title"],
+            F.coalesce(null_if_blank(r["url"]), base),
+            description=r["description"],
+            locations=r["locations"],
+            raw_type=r["employment_type"],
         )
-        return let(parts, build)
 
-    return _kept(F.transform(read(blocks), one), detail_only=False)
+    return F.transform(read(blocks), one)
 
 
-def _serialised(html: Column, base: Column, layer: str) -> Column:
+def _serialised(html: Column, layer: str) -> Column:
     pattern = PAIR if layer == "pair" else TUPLE
 
     def one(match: Column) -> Column:
         title = unescape_json(F.regexp_extract(match, pattern, 1))
         link = unescape_json(F.regexp_extract(match, pattern, 2))
-        if layer == "tuple":
-            link = F.replace(link, F.lit("\\/"), F.lit("/"))
-        href = F.when(link.isNotNull(), canonical_url(link, base))
-        return let(F.struct(title.alias("title"), href.alias("url")), lambda p: _record(layer, p["title"], p["url"]))
+        return _raw(layer, title, F.replace(link, F.lit("\\/"), F.lit("/")) if layer == "tuple" else link)
 
-    matches = F.regexp_extract_all(html, F.lit(pattern), F.lit(0))
-    return _kept(F.transform(matches, one), detail_only=layer == "tuple")
+    return F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(0)), one)
 
 
-def _anchors(html: Column, base: Column) -> Column:
-    """Links of a page in document order: decoded href, canonical URL, readable text."""
+def _anchors(html: Column) -> Column:
+    """Links of a page in document order; the title is still markup."""
 
     def one(match: Column) -> Column:
         href = attribute(F.regexp_extract(match, _OPENING, 0), "href")
-        return let(
-            href,
-            lambda h: F.struct(
-                h.alias("href"),
-                F.when(h.isNotNull(), canonical_url(h, base)).alias("url"),
-                strip_markup(F.regexp_replace(match, _OPENING, "")).alias("title"),
-            ),
-        )
+        return _raw("anchor", F.regexp_replace(match, _OPENING, ""), href)
 
     matches = F.regexp_extract_all(element_markup(html), F.lit(_ANCHOR), F.lit(0))
     return F.filter(F.transform(matches, one), lambda a: a["href"].isNotNull())
 
 
-def _linked(html: Column, base: Column) -> Column:
-    records = F.transform(_anchors(html, base), lambda a: _record("anchor", a["title"], a["url"]))
-    return _kept(records, detail_only=True)
+@reused
+def _layer(name: str) -> Column:
+    """Records of one layer, from the columns html and source_url."""
+    html = F.col("html")
+    if name == "jsonld":
+        return F.regexp_extract_all(html, F.lit(_LD_BLOCK), F.lit(2))
+    return _anchors(html) if name == "anchor" else _serialised(html, name)
+
+
+@reused
+def _link_url() -> Column:
+    return canonical_url(F.col("href"), F.col("source_url"))
+
+
+@reused
+def _is_detail(name: str) -> Column:
+    return is_job_detail_url(F.col(name))
+
+
+@reused
+def _record_text() -> Column:
+    """Anchors carry markup in the title, linked data in the description: one text per record to clean."""
+    return strip_markup(F.when(F.col("layer") == "anchor", F.col("title")).otherwise(F.col("description")))
+
+
+@reused
+def _event_facts() -> Column:
+    return F.struct(
+        parsed_url(F.col("url")).alias("canonical_url"), event_page_facts(F.col("html")).alias("page")
+    )
 
 
 def page_links(pages: DataFrame) -> DataFrame:
     """Every anchor of every page, unfiltered."""
-    links = F.posexplode(_anchors(F.col("html"), F.col("source_url"))).alias("ordinal", "link")
     others = [c for c in pages.columns if c != "html"]
-    return pages.select(*others, links).select(
-        *others,
-        "ordinal",
-        F.col("link.href").alias("href"),
-        F.col("link.url").alias("canonical_url"),
-        F.col("link.title").alias("text"),
-        is_job_detail_url(F.col("link.url")).alias("is_job_detail"),
+    links = pages.select(*others, F.posexplode(_layer("anchor")).alias("ordinal", "link"))
+    cleaned = computed(
+        links.select(*others, "ordinal", F.col("link.href").alias("href"), F.col("link.title").alias("text")),
+        canonical_url=_link_url(),
+        text=strip_markup(F.col("text")),
     )
+    return cleaned.withColumn("is_job_detail", _is_detail("canonical_url"))
 
 
 def page_postings(pages: DataFrame, *layers: str) -> DataFrame:
@@ -238,23 +239,33 @@ def page_postings(pages: DataFrame, *layers: str) -> DataFrame:
     structured layers first.
     """
     chosen = [name for name in LAYERS if name in (layers or LAYERS)]
-    html, base = F.col("html"), F.col("source_url")
-    arrays = {}
-    if "jsonld" in chosen:
-        arrays["jsonld"] = F.regexp_extract_all(html, F.lit(_LD_BLOCK), F.lit(2))
-    for name in ("pair", "tuple"):
-        if name in chosen:
-            arrays[name] = _serialised(html, base, name)
-    if "anchor" in chosen:
-        arrays["anchor"] = _linked(html, base)
-    extracted = pages.select(*CONTEXT, *[c.alias(n) for n, c in arrays.items()])
+    extracted = pages.select(*CONTEXT, *[_layer(name).alias(name) for name in chosen])
     if "jsonld" in chosen:
         # Only the linked-data blocks travel to Python, never the page.
-        extracted = extracted.withColumn("jsonld", _linked_data(F.col("jsonld"), base))
+        extracted = extracted.withColumn("jsonld", _linked_data(F.col("jsonld"), F.col("source_url")))
     records = extracted.select(
         *CONTEXT, F.posexplode(F.concat(*[F.col(n) for n in chosen])).alias("ordinal", "r")
-    ).select(*CONTEXT, "ordinal", "r.*", F.col("r.url").alias("application_url"))
-    return finish_postings(records, "ordinal")
+    ).select(*CONTEXT, "ordinal", "r.*")
+
+    layer = F.col("layer")
+    texts = computed(records, text=_record_text())
+    titled = texts.withColumns(
+        {
+            "title": F.when(layer == "anchor", F.col("text")).otherwise(F.col("title")),
+            "description": F.when(layer == "jsonld", F.col("text")).otherwise(F.lit("")),
+        }
+    ).where(F.col("title") != "")
+    resolved = computed(eligible(titled.where(F.col("href").isNotNull())), url=_link_url())
+    usable = resolved.where(
+        F.col("url").isNotNull() & (layer.isin("jsonld", "pair") | _is_detail("url"))
+    )
+    title, url = F.col("title"), F.col("url")
+    marks = F.when(layer == "jsonld", fingerprint(title, F.col("description"), url)).otherwise(fingerprint(title, url))
+    confidence = F.create_map(*[F.lit(x) for pair in CONFIDENCE.items() for x in pair])
+    evidence = usable.withColumns(
+        {"application_url": url, "content_fingerprint": marks, "extraction_confidence": F.element_at(confidence, layer)}
+    )
+    return finish_postings(evidence, "ordinal")
 
 
 # ---- events ----------------------------------------------------------------------------------
@@ -307,10 +318,7 @@ def read_event_pages(pages: DataFrame, targets: DataFrame, sources: DataFrame) -
 
     ``pages`` has company_id, url, html and observed_at; a page's markup never reaches a join.
     """
-    facts = F.struct(
-        parsed_url(F.col("url")).alias("canonical_url"), event_page_facts(F.col("html")).alias("page")
-    )
-    read = pages.select("company_id", "observed_at", F.explode(F.array(facts)).alias("f")).select(
+    read = pages.select("company_id", "observed_at", F.explode(F.array(_event_facts())).alias("f")).select(
         "company_id", "observed_at", "f.canonical_url", "f.page.*"
     )
     events_page = sources.where(F.col("kind") == "EVENTS").groupBy("company_id").agg(

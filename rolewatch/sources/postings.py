@@ -7,20 +7,41 @@ from pyspark.sql import functions as F
 
 from ..functions.classify import employment_type, is_eligible_title, keyword_rules, satisfies_rules
 from ..functions.ids import posting_id
+from ..functions.text import reused
 from ..operators.shaping import join_dimension
 
 # Columns every extractor needs next to the raw content.
 CONTEXT = ["company_id", "source_id", "source_url", "observed_at"]
 
 
+@reused
+def _eligible_title():
+    return is_eligible_title(F.col("title"))
+
+
+@reused
+def _employment_type():
+    return employment_type(F.col("title"), F.col("raw_type"))
+
+
+@reused
+def _own_rules():
+    return keyword_rules(F.col("role_keywords"))
+
+
+@reused
+def _fits():
+    return satisfies_rules(F.col("title"), F.col("description"), F.col("_rules"))
+
+
 def finish_postings(records: DataFrame, *keep: str) -> DataFrame:
-    """Turn records with an eligible title into postings.
+    """Turn records into postings.
 
     ``records`` holds the context columns and per record title, url, application_url, description,
     locations, raw_type, content_fingerprint and extraction_confidence.  ``keep`` names columns to
     carry along.
     """
-    return records.where(is_eligible_title(F.col("title"))).select(
+    return records.select(
         posting_id(F.col("company_id"), F.col("url")).alias("id"),
         "company_id",
         "source_id",
@@ -30,7 +51,7 @@ def finish_postings(records: DataFrame, *keep: str) -> DataFrame:
         "title",
         "description",
         "locations",
-        employment_type(F.col("title"), F.col("raw_type")).alias("employment_type"),
+        _employment_type().alias("employment_type"),
         F.col("observed_at").alias("first_seen_at"),
         F.col("observed_at").alias("last_seen_at"),
         "content_fingerprint",
@@ -39,8 +60,13 @@ def finish_postings(records: DataFrame, *keep: str) -> DataFrame:
     )
 
 
+def eligible(records: DataFrame) -> DataFrame:
+    """Records worth further work.  Most fall here, before URLs and descriptions are looked at."""
+    return records.where(_eligible_title())
+
+
 def target_rules(targets: DataFrame) -> DataFrame:
-    return targets.select(F.col("id").alias("company_id"), keyword_rules(F.col("role_keywords")).alias("_rules"))
+    return targets.select(F.col("id").alias("company_id"), _own_rules().alias("_rules"))
 
 
 def wanted_postings(postings: DataFrame, targets: DataFrame) -> DataFrame:
@@ -49,5 +75,4 @@ def wanted_postings(postings: DataFrame, targets: DataFrame) -> DataFrame:
     The join meets extracted postings only: pages and payloads are never shuffled to reach the watchlist.
     """
     ruled = join_dimension(postings, target_rules(targets), ["company_id"], "inner")
-    fitting = satisfies_rules(F.col("title"), F.col("description"), F.col("_rules"))
-    return ruled.where(fitting).drop("_rules")
+    return ruled.where(_fits()).drop("_rules")

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import outbox, replay
 from ..operators.scans import summarize_runs
 from ..plans import discovery
-from ..schemas import DELIVERY, LANDED, SNAPSHOT
+from ..schemas import DELIVERY, LANDED, POSTING, SNAPSHOT
 from . import tables
 
 SCANS = "source_id STRING, scanned_at TIMESTAMP"
@@ -25,14 +25,12 @@ def process_batch(landed: DataFrame, batch: int, root: str, targets: Targets) ->
     of its source goes to the ``late`` table instead of rewriting history.
     """
     spark = landed.sparkSession
-    outcome = discovery.scan(landed, targets(spark))
-    # Only extracted rows are kept, never pages or payloads.
-    postings, results = outcome.postings.persist(), outcome.results.persist()
-    try:
-        _apply(spark, postings, results, batch, root)
-    finally:
-        postings.unpersist()
-        results.unpersist()
+    # Tables instead of cached plans: they survive lost executors and keep the later plans small.
+    tables.append(discovery.extract(landed, targets(spark)), root, "extracted", batch)
+    found = spark.read.schema(POSTING).parquet(f"{root}/extracted/batch={batch}")
+    tables.append(discovery.results_of(landed, found), root, "source_results", batch)
+    results = spark.read.parquet(f"{root}/source_results/batch={batch}")
+    _apply(spark, discovery.winners_of(found, results), results, batch, root)
 
 
 def _apply(spark: SparkSession, postings: DataFrame, results: DataFrame, batch: int, root: str) -> None:
@@ -55,7 +53,6 @@ def _apply(spark: SparkSession, postings: DataFrame, results: DataFrame, batch:
     changes = replay.replay_changes(fresh, stored).drop("canonical_url")
     tables.append(late.unionByName(overtaken.select(*postings.columns)), root, "late", batch)
     tables.append(scans, root, "scans", batch)
-    tables.append(results, root, "source_results", batch)
     tables.append(changes, root, "changes", batch)
     # Ids of these changes carry scan times newer than all stored ones, so none was enqueued before.
     fresh_changes = spark.read.parquet(f"{root}/changes/batch={batch}")
