@@ -5,30 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import ANY, EDGE, escape_pattern, let, lit_true, null_if_blank, text_or_empty, trim_text
+from .text import ANY, EDGE, END, START, escape_pattern, let, lit_true, null_if_blank, text_or_empty, trim_text
 
 # The vocabulary that decides what counts as an early-career role.
-INTERNSHIP = rf"(?i){EDGE}(?:intern|internship|co[ -]?op){EDGE}"
+INTERNSHIP = rf"(?i){START}(?:intern|internship|co[ -]?op){END}"
 NEW_GRAD = (
-    rf"(?i){EDGE}(?:new grad(?:uate)?|graduate (?:role|program)"
-    rf"|graduate {ANY}{{0,30}}{EDGE}(?:engineer|developer)|entry[ -]level){EDGE}"
+    rf"(?i){START}(?:new grad(?:uate)?|graduate (?:role|program)"
+    rf"|graduate {ANY}{{0,30}}{START}(?:engineer|developer)|entry[ -]level){END}"
 )
-EARLY_CAREER = rf"(?i){EDGE}(?:early career|apprentice|apprenticeship){EDGE}"
+EARLY_CAREER = rf"(?i){START}(?:early career|apprentice|apprenticeship){END}"
 ADVANCED_DEGREE = (
-    rf"(?i){EDGE}(?:master(?:'s|s)?|mba|ph\.?d\.?|doctoral|doctorate|post[ -]?doc(?:toral)?"
-    rf"|graduate {ANY}{{0,30}}{EDGE}intern|high school|secondary school){EDGE}"
+    rf"(?i){START}(?:master(?:'s|s)?|mba|ph\.?d\.?|doctoral|doctorate|post[ -]?doc(?:toral)?"
+    rf"|graduate {ANY}{{0,30}}{START}intern|high school|secondary school){EDGE}"
 )
 HIRING_TEAM = (
-    rf"(?i){EDGE}(?:recruiter|recruiting|talent acquisition|campus recruiting|university recruiting"
-    rf"|program manager){EDGE}|{EDGE}manager{EDGE}{ANY}*{EDGE}intern(?:ship)? program{EDGE}"
+    rf"(?i){START}(?:recruiter|recruiting|talent acquisition|campus recruiting|university recruiting"
+    rf"|program manager){END}|{START}manager{END}{ANY}*{START}intern(?:ship)? program{END}"
 )
 NAVIGATION = (
     r"(?i)^(?:early careers?|internships?(?: for students)?|university recruiting|explore |find |view "
     r"|search jobs?|watch (?:the )?film)"
 )
 EARLY_CAREER_EVENT = (
-    rf"{EDGE}(?:internships?|students?|early career|new grads?|graduates?|university|campus"
-    rf"|resume workshop|career workshop|hackathon|recruiting event){EDGE}"
+    rf"{START}(?:internships?|students?|early career|new grads?|graduates?|university|campus"
+    rf"|resume workshop|career workshop|hackathon|recruiting event){END}"
 )
 
 # Keywords that gate a kind of role instead of naming a field of work.
@@ -147,7 +147,7 @@ def event_type(title: Column) -> Column:
 
 def location_in_title(title: Column) -> Column:
     """The place named after " at ", when there is one."""
-    pattern = rf"(?i){EDGE}at\s+(?:Google\s+)?({ANY}+)\z"
+    pattern = rf"(?i){START}at\s+(?:Google\s+)?({ANY}+)\z"
     return null_if_blank(trim_text(F.regexp_extract(title, pattern, 1)))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import EDGE, let, lit_true, split_trim, trim_text
+from .text import EDGE, START, let, lit_true, split_trim, trim_text
 
 # State names and postal codes, District of Columbia included.
 STATES = (
@@ -20,7 +20,7 @@ STATE_CODES = (
     "AL|AK|AZ|AR|CA|CO|CT|DE|FL|GA|HI|ID|IL|IN|IA|KS|KY|LA|ME|MD|MA|MI|MN|MS|MO|MT|NE|NV|NH|NJ|NM|NY|NC"
     "|ND|OH|OK|OR|PA|RI|SC|SD|TN|TX|UT|VT|VA|WA|WV|WI|WY|DC"
 )
-COUNTRY = rf"(?i){EDGE}(?:United States(?: of America)?|USA|U\.S\.A\.|US){EDGE}"
+COUNTRY = rf"(?i){START}(?:United States(?: of America)?|USA|U\.S\.A\.|US){EDGE}"
 
 
 def _is_us_place(place: Column) -> Column:

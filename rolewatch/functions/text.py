@@ -17,6 +17,9 @@ SPACE = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 # ASCII word boundary.  Java 17's ``\b`` follows Unicode letters, ``\w`` does not.
 EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 
+# The same boundary where the neighbour inside the pattern is known to be a word character.
+START, END = r"(?<!\w)", r"(?!\w)"
+
 # Any character but a line terminator.
 ANY = r"[^\n\r\u2028\u2029]"
 
@@ -28,6 +31,7 @@ _RAW_ELEMENTS = "script|style|noscript|textarea|iframe|xmp|noembed|noframes"
 # Character references.  Old names work without a semicolon, in attributes only at a word's end.
 _OLD_NAMES = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True))
 _ENTITY = rf"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;|(?:{_OLD_NAMES}))"
+_GAP = "\uFDD0"  # a code point reserved for internal use
 _ATTRIBUTE_ENTITY = _ENTITY[:-1] + r"(?![=A-Za-z0-9]))"
 
 
@@ -146,6 +150,9 @@ def _decode_entity(entity: Column) -> Column:
         )
         return (
             F.when(name == "amp", F.lit("&"))
+            .when(name == "lt", F.lit("<"))
+            .when(name == "gt", F.lit(">"))
+            .when(name == "quot", F.lit('"'))
             .when(name.startswith("#"), let(digits.try_cast("bigint"), character))
             .otherwise(F.coalesce(F.try_element_at(_named_entities(), name), entity))
         )
@@ -158,14 +165,16 @@ def unescape_html(value: Column, entity: str = _ENTITY) -> Column:
 
     def decoded(text: Column) -> Column:
         found = F.regexp_extract_all(text, F.lit(entity), F.lit(0))
+        # Splitting compiles its pattern per row unless it is a single plain character.
+        gaps = F.split(F.regexp_replace(text, entity, _GAP), _GAP, -1)
         pieces = F.zip_with(
-            F.split(text, entity, -1),
+            gaps,
             F.transform(found, _decode_entity),
             lambda gap, character: F.concat(gap, text_or_empty(character)),
         )
         return F.when(text.rlike(entity), F.array_join(pieces, "")).otherwise(text)
 
-    return let(value, decoded)
+    return let(F.replace(value, F.lit(_GAP), F.lit("\uFFFD")), decoded)
 
 
 def drop_tags(markup: Column) -> Column:
