@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -15,6 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+#: Masters whose driver and executors are one process and so share a local folder.
+ONE_PROCESS = re.compile(r"local(\[.*\])?")
 
 
 def build_session(app_name: str = "rolewatch", master: str | None = None, **settings: str) -> SparkSession:
@@ -27,8 +30,14 @@ def build_session(app_name: str = "rolewatch", master: str | None = None, **sett
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; fall back to a temporary one where none is set."""
+    """Use the cluster's shared checkpoint folder.
+
+    Where ``spark.checkpoint.dir`` is unset, a session of one process (tests) gets a temporary folder;
+    on a cluster that is an error, as no other machine could read a folder of the driver.
+    """
     if spark.sparkContext.getCheckpointDir() is not None:
         return
     configured = spark.conf.get("spark.checkpoint.dir", "")
+    if not configured and not ONE_PROCESS.fullmatch(spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="rolewatch-"))
