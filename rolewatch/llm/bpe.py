@@ -21,6 +21,7 @@ from pathlib import Path
 
 import ahocorasick
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -30,7 +31,7 @@ from .common import list_array, lists_of, with_computed
 #: Fixed values of the format: how texts are split before merging.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Words kept per worker; the store starts anew beyond it, so memory stays bounded.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 CACHED_PAIRS = 1_000_000
 NEVER = 1 << 60
 #: A longer chunk is encoded each time and not stored.
@@ -246,18 +247,27 @@ def file_content(path: str) -> bytes:
     return Path(path).read_bytes()
 
 
-def encode_texts(rows: DataFrame, text: str = "text", ids: str = "ids", vocabulary: str | None = None) -> DataFrame:
-    """Add ``ids``: the token ids of every whole text.
+def encode_texts(
+    rows: DataFrame, text: str = "text", ids: str = "ids", decoded: str | None = None, vocabulary: str | None = None
+) -> DataFrame:
+    """Add ``ids``: the token ids of every whole text; with ``decoded``, a column of that name with what they decode to.
 
     ``vocabulary`` is the path of the vocabulary file on the driver; its content, of fixed size, is sent to the workers.
+    Decoding in the same pass saves each task a second Python worker.
     """
     content = rows.sparkSession.sparkContext.broadcast(file_content(vocabulary or default_vocabulary()))
+    made = {ids: T.ArrayType(T.IntegerType()), **({decoded: T.StringType()} if decoded else {})}
 
     def work():
-        encoder = vocabulary_of(content.value)
-        return lambda texts: [list_array([encoder.encode(x) for x in texts.to_pylist()])]
+        coder = vocabulary_of(content.value)
 
-    return with_computed(rows, text, {ids: T.ArrayType(T.IntegerType())}, work)
+        def apply(texts: pa.Array) -> list:
+            found = [coder.encode(x) for x in texts.to_pylist()]
+            return [list_array(found), *([[coder.decode(x) for x in found]] if decoded else [])]
+
+        return apply
+
+    return with_computed(rows, text, made, work)
 
 
 def decode_ids(rows: DataFrame, ids: str = "ids", text: str = "decoded", vocabulary: str | None = None) -> DataFrame:

@@ -13,19 +13,18 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-def token_digests(encoded: DataFrame, ids: str = "ids", doc_id: str = "doc_id") -> DataFrame:
+def token_digests(documents: DataFrame) -> DataFrame:
     """Per document the number of tokens and digests of the ids and of the decoded text."""
-    decoded = bpe.decode_ids(encoded.select(doc_id, ids), ids, "_decoded")
-    return decoded.select(
-        doc_id,
-        F.size(ids).cast("long").alias("n_tokens"),
-        F.sha2(F.concat_ws(",", F.col(ids).cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2(F.col("_decoded"), 256).alias("decoded_sha256"),
+    return bpe.encode_texts(documents, ids="ids", decoded="decoded").select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
     )
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_digests(bpe.encode_texts(read(spark, sf_dir, "documents").select("doc_id", "text")))
+    return token_digests(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
