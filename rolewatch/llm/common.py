@@ -61,10 +61,10 @@ def with_computed(
     return given.mapInArrow(run, schema)
 
 
-def list_array(parts: list[np.ndarray]) -> pa.Array:
+def list_array(parts: list[np.ndarray], kind: type = np.int32) -> pa.Array:
     """An Arrow column of lists from one array per row."""
     ends = np.cumsum([0, *[len(p) for p in parts]])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *parts])))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, kind), *parts])))
 
 
 def lists_of(column: pa.Array) -> Iterator[np.ndarray]:

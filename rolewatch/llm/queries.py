@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, simhash
-from .common import read
+from . import bpe, langid, mixing, simhash, toxicity
+from .common import held_out, read
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,12 +27,25 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(documents, read(spark, sf_dir, "labels"))
+    return toxicity.score_texts(documents, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.learn_from_documents(documents)
+    found = langid.identify(documents.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents")
     return mixing.mix(documents).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_toxicity, op5_langid, op10_mixing)}
 
 ORACLE = {
     "op10_mixing": r"""
