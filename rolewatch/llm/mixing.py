@@ -144,3 +144,9 @@ def mixed(rows: DataFrame, **settings) -> DataFrame:
     turns = taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     finish = F.col("finish") + (F.col("copy") - 1) * F.col("source_size") / F.col("target")
     return turns.withColumn("finish", finish).sort("finish").select(*[F.col(f"`{c}`") for c in rows.columns], *[c for c in ("finish", "copy") if c not in rows.columns])
+
+
+def repeated(rows: DataFrame, **settings) -> DataFrame:
+    """The rows that the mix takes, each once per copy, in no order."""
+    taken = mix(rows, **settings).where(F.col("copies") > 0)
+    return taken.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(f"`{c}`") for c in rows.columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, simhash, toxicity
+from . import ann, bpe, langid, mixing, simhash, topk, toxicity
 from .common import held_out, read
 
 
@@ -33,6 +33,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_texts(documents, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("_id") % 20 == 0, 20)
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.learn_from_documents(documents)
@@ -40,14 +44,28 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top(read(spark, sf_dir, "embeddings"), F.col("_id") % 50 == 0, 5)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents")
     return mixing.mix(documents).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_toxicity, op5_langid, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_toxicity, op4_ann, op5_langid, op8_topk, op10_mixing)}
 
 ORACLE = {
+    "op8_topk": """
+WITH usable AS (
+  SELECT vec_id, min(list_transform(embedding, x -> floor(256 * x::DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> isfinite(x))) = len(embedding) GROUP BY vec_id),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM usable q JOIN usable c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 5
+""",
     "op10_mixing": r"""
 WITH docs AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
