@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, mixing, simhash, topk, toxicity
+from . import ann, bpe, langid, licenses, mixing, simhash, token_counts, topk, toxicity, url_filters
 from .common import held_out, read
 
 
@@ -44,6 +44,31 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(read(spark, sf_dir, "documents"))
+
+
+def list_history(pages: DataFrame) -> DataFrame:
+    """A dated list made from the hosts of the pages: up to three entries a name, at dates that follow from its hash."""
+    names = pages.select(F.explode(url_filters.names_of(url_filters.host_of("url"))).alias("name")).distinct()
+    number = lambda n: F.conv(F.substring(F.md5("name"), n, 4), 16, 10).cast("int")
+    turns = F.explode(F.sequence(F.lit(0), F.pmod(number(1), F.lit(4)))).alias("turn")
+    dated = names.select("name", number(5).alias("first"), number(9).alias("step"), turns).where("turn > 0")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("first") + F.col("turn") * (F.col("step") % 90 + 1)) % 365)
+    return dated.select("name", day.alias("since"), (F.col("turn") % 2 == 1).alias("listed"))
+
+
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as captures, fetched one day of 2024 after another."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("page_id") * 7, F.lit(366)).cast("int"))
+    return url_filters.judge(pages.withColumn("fetched_on", day), list_history(pages))
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top(read(spark, sf_dir, "embeddings"), F.col("_id") % 50 == 0, 5)
 
@@ -53,13 +78,54 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_toxicity, op4_ann, op5_langid, op8_topk, op10_mixing)}
+TEMPLATE_ROWS = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in licenses.TEMPLATES.items())
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_toxicity, op4_ann, op5_langid, op6_token_counts, op7_licenses, op8_topk, op9_url_filters, op10_mixing)}
 
 ORACLE = {
+    "op7_licenses": r"""
+WITH passages AS (
+  SELECT DISTINCT doc_id, p FROM (
+    SELECT doc_id, unnest(list_concat(string_split(text, chr(10)), string_split_regex(text, '\n[ \t\r]*\n'), [text])) AS p FROM documents WHERE text IS NOT NULL)),
+both_sides AS (
+  SELECT 'p' AS side, doc_id, p AS name, p FROM passages
+  UNION ALL SELECT 't', NULL, name, p FROM (VALUES """
+    + TEMPLATE_ROWS
+    + r""") templates(name, p)),
+worded AS (SELECT side, doc_id, name, list_filter(string_split_regex(lower(p), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM both_sides),
+paired AS (
+  SELECT side, doc_id, name, len(w) - 1 AS n, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS g FROM worded WHERE len(w) BETWEEN 2 AND 400),
+bags AS (SELECT side, doc_id, name, n, list_transform(g, lambda x, i: x || ' ' || len(list_filter(g[1:i], lambda y: y = x))) AS bag FROM paired),
+scored AS (
+  SELECT b.doc_id, t.name AS template, b.name AS p, 2.0::DOUBLE * len(list_intersect(b.bag, t.bag)) / (b.n + t.n) AS dice
+  FROM bags b JOIN bags t ON b.side = 'p' AND t.side = 't' AND b.n BETWEEN t.n * 0.6 AND t.n * 1.6)
+SELECT doc_id, template, max(dice) AS dice, count(DISTINCT p) AS passages FROM scored WHERE dice >= 0.8 GROUP BY doc_id, template
+""",
+    "op9_url_filters": r"""
+WITH captures AS (
+  SELECT page_id, url, DATE '2024-01-01' + ((page_id * 7) % 366)::INT AS fetched_on,
+    nullif(regexp_replace(lower(regexp_replace(regexp_replace(
+      regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#\\]*)', 1), '^.*@', ''), ':[0-9]*$', '')), '\.+$', ''), '') AS host
+  FROM pages),
+labelled AS (SELECT *, string_split(host, '.') AS labels FROM captures),
+asked AS (
+  SELECT page_id, url, fetched_on, host, unnest(list_transform(range(1, greatest(len(labels), 2)), lambda n: array_to_string(labels[n:], '.'))) AS name
+  FROM labelled WHERE host IS NOT NULL),
+names AS (SELECT DISTINCT name, ('0x' || substr(md5(name), 1, 4))::INT AS a, ('0x' || substr(md5(name), 5, 4))::INT AS b, ('0x' || substr(md5(name), 9, 4))::INT AS c FROM asked),
+entries AS (
+  SELECT name, DATE '2024-01-01' + ((b + turn * (c % 90 + 1)) % 365)::INT AS since, bool_or(turn % 2 = 1) AS listed
+  FROM names, (VALUES (1), (2), (3)) turns(turn) WHERE turn <= a % 4 GROUP BY ALL),
+valid AS (SELECT *, lead(since) OVER (PARTITION BY name ORDER BY since) AS until FROM entries),
+met AS (
+  SELECT a.page_id, max_by({'name': v.name, 'listed': v.listed, 'since': v.since}, length(v.name)) AS best
+  FROM asked a JOIN valid v ON a.name = v.name AND v.since <= a.fetched_on AND (v.until IS NULL OR a.fetched_on < v.until) GROUP BY a.page_id)
+SELECT c.page_id, c.url, c.fetched_on, c.host, coalesce(m.best.listed, false) AS blocked, m.best.name AS entry, m.best.since AS listed_since
+FROM captures c LEFT JOIN met m USING (page_id)
+""",
     "op8_topk": """
 WITH usable AS (
-  SELECT vec_id, min(list_transform(embedding, x -> floor(256 * x::DOUBLE))) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> isfinite(x))) = len(embedding) GROUP BY vec_id),
+  SELECT vec_id, min(list_transform(embedding, lambda x: floor(256 * x::DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding) GROUP BY vec_id),
 pairs AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
   FROM usable q JOIN usable c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
