@@ -84,7 +84,7 @@ def nearest(
             return stop(bound, kth, index.length, dimensions, certainty)
 
         places = shards.search(index.shard, scaled, own, k, index.bounds(scaled), done, floor, slack=1e-9 * index.length**2)
-        return index.shard.ids[places], shards.measure(index.shard, given, places)
+        return index.shard.ids[places], shards.measure(index.shard, given, places), places >= 0
 
     asked = candidates.where(queries).withColumn("_floor", F.lit(None).cast("double"))
     return shards.top(shards.search_shards(candidates, asked, build, find, count), k)

@@ -88,7 +88,7 @@ def mix_units(sized: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEI
     passes = F.transform(
         F.sequence(F.lit(0), F.lit(most - 1)),
         lambda n: F.struct(
-            ((n * F.col("_source_size") + F.col("_at")) / F.col("_target")).alias("finish"),
+            F.try_divide(n * F.col("_source_size") + F.col("_at"), F.col("_target")).alias("finish"),
             F.col("_place").alias("place"),
             (n * F.col("_source_size") + F.col("_at")).alias("at"),
         ),

@@ -132,12 +132,15 @@ def search_shards(
     candidates: DataFrame,
     queries: DataFrame,
     build: Callable[[np.ndarray, np.ndarray], object],
-    find: Callable[[object, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]],
+    find: Callable[[object, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]],
     shards: int,
     own_shard_only: bool = False,
+    score: str = "double",
 ) -> DataFrame:
     """``query_id, vec_id, score``: what ``find`` returns for every query (``_id, _v, _floor``) in every shard of its length.
 
+    ``find`` gives ids, scores (doubles, or longs if ``score`` says so) and which of them are real.
+
     Each query is sent to every shard, sorted behind the shard's vectors; a task holds one shard and one
     batch of queries.  With ``own_shard_only`` a query is sent only to the shard that its id would be in.
     """
@@ -172,12 +175,11 @@ def search_shards(
                 index = index or build(np.concatenate(ids), np.concatenate(points))
                 for s in range(a, b, QUERY_ROWS):
                     e = min(b, s + QUERY_ROWS)
-                    found, score = find(index, part[s - a : e - a], row_id[s:e], floor[s:e])
-                    real = score > -np.inf
+                    found, measured, real = find(index, part[s - a : e - a], row_id[s:e], floor[s:e])
                     asked = np.broadcast_to(row_id[s:e][:, None], found.shape)[real]
-                    yield pa.RecordBatch.from_arrays([pa.array(asked), pa.array(found[real]), pa.array(score[real])], names=["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(asked), pa.array(found[real]), pa.array(measured[real])], names=["query_id", "vec_id", "score"])
 
-    return dealt.mapInArrow(run, "query_id long, vec_id long, score double")
+    return dealt.mapInArrow(run, f"query_id long, vec_id long, score {score}")
 
 
 def prepared(rows: DataFrame, shard_rows: int) -> tuple[DataFrame, int]:

@@ -47,27 +47,25 @@ def exact_top(
         bounds = -(np.maximum(given, 0) @ index.high.T + np.minimum(given, 0) @ index.low.T)
         places = shards.search(index, given, own, k, bounds, lambda bound, kth: -bound < kth, floor)
         scores = shards.measure(index, given, places)
-        scores[scores < floor[:, None]] = -np.inf
-        return index.ids[places], scores
+        real = (places >= 0) & (scores >= floor[:, None])
+        return index.ids[places], np.where(real, scores, 0).astype(np.int64), real
 
     asked = candidates.where(queries)
-    first = shards.search_shards(candidates, asked.withColumn("_floor", F.lit(None).cast("double")), build, find, count, own_shard_only=True)
+    first = shards.search_shards(candidates, asked.withColumn("_floor", F.lit(None).cast("double")), build, find, count, True, "long")
     # The kth score in the own shard; with fewer than k there, any score may do.
     reached = first.groupBy("query_id").agg(F.min("score").alias("_least"), F.count("*").alias("_n"))
-    floors = reached.select(F.col("query_id").alias("_id"), F.when(F.col("_n") >= k, F.col("_least")).alias("_floor"))
-    found = shards.search_shards(candidates, asked.join(floors, "_id", "left"), build, find, count)
-    return shards.top(found, k).withColumn("score", F.col("score").cast("long"))
+    floors = reached.select(F.col("query_id").alias("_id"), F.when(F.col("_n") >= k, F.col("_least").cast("double")).alias("_floor"))
+    found = shards.search_shards(candidates, asked.join(floors, "_id", "left"), build, find, count, score="long")
+    return shards.top(found, k)
 
 
 def slow(index: shards.Shard, given: np.ndarray, own: np.ndarray, k: int):
     """Whole numbers of any size, for vectors whose products pass what doubles hold exactly."""
-    ids, scores = np.full((len(given), k), np.iinfo(np.int64).max), np.full((len(given), k), -np.inf)
+    ids, scores, real = np.zeros((len(given), k), np.int64), np.zeros((len(given), k), np.int64), np.zeros((len(given), k), bool)
     points = [[int(x) for x in p] for p in index.points]
     for row, query in enumerate(given):
         q = [int(x) for x in query]
-        ranked = sorted((-sum(a * b for a, b in zip(q, p, strict=True)), int(i)) for p, i in zip(points, index.ids, strict=True) if i != own[row])[:k]
-        if any(abs(score) >= EXACT for score, _ in ranked):
-            raise OverflowError("an inner product is too large for an exact score")
-        for col, (score, i) in enumerate(ranked):
-            ids[row, col], scores[row, col] = i, -score
-    return ids, scores
+        ranked = sorted((-sum(a * b for a, b in zip(q, p, strict=True)), int(i)) for p, i in zip(points, index.ids, strict=True) if i != own[row])
+        for col, (score, i) in enumerate(ranked[:k]):
+            ids[row, col], scores[row, col], real[row, col] = i, -score, True
+    return ids, scores, real
