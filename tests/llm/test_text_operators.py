@@ -158,10 +158,6 @@ def test_compatible_pairs_are_those_that_merging_leaves():
     coder = bpe.Vocabulary(bpe.file_content(bpe.default_vocabulary()))
     rnd = random.Random(9)
 
-    def merged(letters):
-        parts = [coder.id_of[c] if hasattr(coder, "id_of") else None for c in letters]
-        return parts
-
     names = {i: t for t, i in __import__("json").loads(bpe.file_content(bpe.default_vocabulary()))["model"]["vocab"].items()}
     of = {t: i for i, t in names.items()}
     for _ in range(400):
@@ -289,7 +285,7 @@ def test_licences(spark):
     given = {
         1: "intro\nReleased under the MIT License.\nend",
         2: f"head\n\n{mit[:300]}\n{mit[300:]}\n\ntail",
-        3: "Licensed under the CC BY-NC 4.0",
+        3: "This is licensed under CC BY-NC 4.0",
         4: "nothing of the kind",
         5: "",
         6: "Released under the MIT License.\nReleased under the  MIT License\nReleased under the MIT License.",
