@@ -120,8 +120,8 @@ def matches_keywords(title: Column, description: Column, role_keywords: Column)
     return is_eligible_title(title) & own
 
 
-def search_queries(role_keywords: Column, limit: int = 4) -> Column:
-    """Search terms a job board is asked for on behalf of a target."""
+def search_queries(role_keywords: Column, limit: int | None = None) -> Column:
+    """Search terms a job board is asked for on behalf of a target: all, or the first ``limit`` of its own."""
 
     def terms(words: Column) -> Column:
         specific = F.array_except(words, _texts(GENERIC_KEYWORDS))
@@ -129,7 +129,7 @@ def search_queries(role_keywords: Column, limit: int = 4) -> Column:
         graduates = F.arrays_overlap(words, _texts(NEW_GRAD_KEYWORDS))
         generic = F.array_compact(F.array(F.when(interns, F.lit("intern")), F.when(graduates, F.lit("new grad"))))
         return (
-            F.when(F.size(specific) > 0, F.slice(specific, 1, limit))
+            F.when(F.size(specific) > 0, specific if limit is None else F.slice(specific, 1, limit))
             .when(F.size(words) == 0, _texts(["intern", "new grad"]))
             .when(F.size(generic) > 0, generic)
             .otherwise(_texts(["intern"]))

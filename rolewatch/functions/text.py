@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import json
 from collections.abc import Callable
-from html.entities import html5, name2codepoint
+from html.entities import html5
 
 from pyspark import SparkContext
 from pyspark.sql import Column
@@ -24,7 +24,8 @@ START, END = r"(?<!\w)", r"(?!\w)"
 ANY = r"[^\n\r\u2028\u2029]"
 
 # The inside of an opening tag.  Possessive, so long attributes cannot overflow the matcher.
-ATTRS = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
+# A quote opens a value only directly after an equals sign; elsewhere it is a character like any other.
+ATTRS = r"""(?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+"""
 
 _RAW_ELEMENTS = "script|style|noscript|textarea|iframe|xmp|noembed|noframes"
 
@@ -116,8 +117,7 @@ def unescape_json(value: Column) -> Column:
 
 def _named_entities() -> Column:
     """Map literal of entity names; one JSON constant is cheaper to plan than hundreds of literals."""
-    names = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
-    names |= {n: html5[n] for n in html5 if not n.endswith(";")}
+    names = {name.removesuffix(";"): text for name, text in html5.items()}
     return F.from_json(F.lit(json.dumps(names)), "map<string,string>")
 
 
@@ -206,7 +206,7 @@ def element_markup(html: Column) -> Column:
 def attribute(tag: Column, name: str) -> Column:
     """Decoded attribute of an opening tag: NULL when absent, empty when empty."""
     pattern = (
-        rf"""(?is)(?:[\s"'/]){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+        rf"""(?is)(?:[\s"'/]){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*))"""
     )
 
     def extracted(text: Column) -> Column:

@@ -41,5 +41,17 @@ def mark_all_read(changes: DataFrame, at: Column) -> DataFrame:
     return changes.withColumn("read_at", F.coalesce(F.col("read_at"), at))
 
 
+def mark_counts(changes: DataFrame, marks: DataFrame) -> DataFrame:
+    """One row: ``marked``, the unread changes that the marks read, and ``unread``, those that stay."""
+    unread = changes.where(F.col("read_at").isNull()).select("id")
+    hit = unread.join(marks.where(F.col("read_at").isNotNull()).select("id", F.lit(True).alias("_hit")).distinct(), "id", "left")
+    return hit.agg(F.count("_hit").alias("marked"), F.count_if(F.col("_hit").isNull()).alias("unread"))
+
+
+def dismissed_count(changes: DataFrame, dismissed: DataFrame) -> DataFrame:
+    """One row: how many stored changes a dismissal removes."""
+    return changes.join(dismissed.select("id").distinct(), "id", "left_semi").agg(F.count("*").alias("dismissed"))
+
+
 def dismiss(changes: DataFrame, dismissed: DataFrame) -> DataFrame:
     return changes.join(dismissed.select("id").distinct(), "id", "left_anti")

@@ -61,8 +61,8 @@ def claim(deliveries: DataFrame, changes: DataFrame, targets: DataFrame, posting
 
 
 def apply_claims(deliveries: DataFrame, claims: DataFrame, now: Column) -> DataFrame:
-    """The table with the claimed rows SENDING.  ``claims`` is at most one claim's size."""
-    taken = F.broadcast(claims.select("id", F.lit(True).alias("_taken")))
+    """The table with the claimed rows SENDING.  ``claims`` may be of any size: Spark broadcasts it if it is small."""
+    taken = claims.select("id", F.lit(True).alias("_taken"))
     updates = {"status": F.lit("SENDING"), "attempts": F.col("attempts") + 1, "updated_at": now}
     return _update(deliveries.join(taken, "id", "left"), F.col("_taken"), updates, deliveries)
 

@@ -11,7 +11,6 @@ from ..functions.text import reused
 from ..sources.boards import GENERIC
 
 EMPTY_PAGE = "Source loaded but no job records were extractable; provider adapter may be required."
-SOURCES_PER_RUN = 125
 
 
 @reused
@@ -22,15 +21,14 @@ def _in_us():
 def source_results(tasks: DataFrame, postings: DataFrame, failures: DataFrame) -> DataFrame:
     """One row per scanned source: counts before cross-source de-duplication, status and message.
 
-    ``tasks`` has scan_id, source_id, scanned_at, provider and whatever else describes the source.
+    ``tasks`` has scan_id, source_id, provider and whatever else describes the source of a scan; ``postings`` have scan_id.
     A generic page without a posting is a failure, an empty board answer is a success.
     """
-    when = F.col("last_seen_at").alias("scanned_at")
-    counts = postings.groupBy("source_id", when).agg(
+    counts = postings.groupBy("scan_id", "source_id").agg(
         F.count("*").alias("_found"), F.count_if(_in_us()).alias("_us")
     )
     messages = failures.groupBy("scan_id", "source_id").agg(F.min("message").alias("_message"))
-    both = tasks.join(counts, ["source_id", "scanned_at"], "left").join(messages, ["scan_id", "source_id"], "left")
+    both = tasks.join(counts, ["scan_id", "source_id"], "left").join(messages, ["scan_id", "source_id"], "left")
     found = F.coalesce("_found", F.lit(0))
     message = F.coalesce(
         F.col("_message"), F.when((F.col("provider") == GENERIC) & (found == 0), F.lit(EMPTY_PAGE))
@@ -50,29 +48,40 @@ def us_postings(postings: DataFrame) -> DataFrame:
 
 
 def summarize_runs(results: DataFrame, jobs_per_run: DataFrame) -> DataFrame:
-    """One row per scan_id with counts and the details of its sources.
+    """One row per scan_id with counts.  The details of a run are the rows of ``results``.
 
-    A run covers at most 25 targets with 5 sources each, which bounds the collected details.
+    Companies are reduced per run before they are counted, so a run of very many sources does not meet in one task.
     """
     failed = F.col("status") == "FAILED"
-    failure = F.struct("company_id", "source_id", "source_url", "provider", "message")
-    success = F.struct(
-        "company_id", "source_id", "source_url", "provider", "discovered_count", "united_states_count", "status"
-    )
-    # Sources first become targets per run, so the distinct count needs no second shuffle of details.
     runs = results.groupBy("scan_id").agg(
         F.min("scanned_at").alias("started_at"),
         F.max("finished_at").alias("finished_at"),
         F.count_distinct("company_id").alias("target_count"),
         F.count_if(failed).alias("failure_count"),
-        F.array_sort(F.array_compact(F.collect_list(F.when(failed, failure)))).alias("failures"),
-        F.array_sort(F.array_compact(F.collect_list(F.when(~failed, success)))).alias("source_results"),
     )
     return runs.join(jobs_per_run, "scan_id", "left").withColumn(
         "job_count", F.coalesce("job_count", F.lit(0).cast("bigint"))
     )
 
 
+def with_details(runs: DataFrame, results: DataFrame, key: str = "scan_id") -> DataFrame:
+    """Add ``failures`` and ``source_results``, nested, to the runs that a reader asked for.
+
+    The lists of a run are as long as its sources are many: pass few runs, or use ``results`` itself.
+    """
+    failed = F.col("status") == "FAILED"
+    failure = F.struct("company_id", "source_id", "source_url", "provider", "message")
+    success = F.struct(
+        "company_id", "source_id", "source_url", "provider", "discovered_count", "united_states_count", "status"
+    )
+    asked = results.withColumnRenamed("scan_id", key).join(runs.select(key), key, "left_semi")
+    nested = asked.groupBy(key).agg(
+        F.array_sort(F.array_compact(F.collect_list(F.when(failed, failure)))).alias("failures"),
+        F.array_sort(F.array_compact(F.collect_list(F.when(~failed, success)))).alias("source_results"),
+    )
+    return runs.join(nested, key, "left")
+
+
 def health(runs: DataFrame) -> DataFrame:
     """The latest run, or one NO_SCANS row when there is none."""
     latest = runs.orderBy(F.col("started_at").desc(), F.col("id").desc()).limit(1)

@@ -12,7 +12,6 @@ from .shaping import positions
 
 BATCH_SIZE = 25
 INTERVAL_SECONDS = 300
-SOURCES_PER_TARGET = 5
 
 
 def due_sources(sources: DataFrame, at: Column) -> DataFrame:
@@ -31,22 +30,38 @@ def scan_batch(targets: DataFrame, now: datetime, size: int = BATCH_SIZE, interv
     """
     moment = now if now.tzinfo else now.replace(tzinfo=timezone.utc)
     slot = int(moment.timestamp() // interval_seconds)
-    listed = positions(targets, [F.lower("name"), F.col("id")])
+    # Only ids and names are put in order.
+    listed = positions(targets.select("id", F.lower("name").alias("_name")), [F.col("_name"), F.col("id")])
     total = listed.count()
     batches = max(1, -(-total // size))
     index = slot % batches if total > size else 0
     low = index * size
-    return listed.where(F.col("position").between(low, low + size - 1)).withColumns(
-        {"batch_index": F.lit(index), "batch_count": F.lit(batches if total else 0)}
-    )
+    chosen = listed.where(F.col("position").between(low, low + size - 1)).select("id", "position")
+    return targets.join(chosen, "id").withColumns({"batch_index": F.lit(index), "batch_count": F.lit(batches if total else 0)})
 
 
-def scan_tasks(targets: DataFrame, sources: DataFrame, target_limit: int = BATCH_SIZE, source_limit: int = SOURCES_PER_TARGET) -> DataFrame:
-    """Sources to fetch for the first targets of the list: enabled, not an events page, in kind order."""
-    first = targets.orderBy(F.lower("name"), "id").limit(target_limit)
-    by_kind = Window.partitionBy("company_id").orderBy("kind", "id")
+def scheduled_batch(
+    targets: DataFrame, sources: DataFrame, now: datetime, size: int = BATCH_SIZE, interval_seconds: int = INTERVAL_SECONDS
+) -> DataFrame:
+    """The sources to scan in this slot: those that are due, of the slice of due targets that the rotation covers."""
+    moment = (now if now.tzinfo else now.replace(tzinfo=timezone.utc)).astimezone(timezone.utc).replace(tzinfo=None)
+    due = due_sources(sources, F.lit(moment).cast("timestamp_ntz"))
+    waiting = targets.join(due.select(F.col("company_id").alias("id")).distinct(), "id", "left_semi")
+    batch = scan_batch(waiting, now, size, interval_seconds).select(F.col("id").alias("company_id"), "position", "batch_index", "batch_count")
+    return due.join(batch, "company_id")
+
+
+def scan_tasks(targets: DataFrame, sources: DataFrame, target_limit: int | None = None, source_limit: int | None = None) -> DataFrame:
+    """Sources to fetch: enabled, not an events page.
+
+    A caller that fetches with few workers may ask for the first ``target_limit`` targets in name order
+    and the first ``source_limit`` sources of each in kind order; without limits all are returned.
+    """
+    first = targets if target_limit is None else targets.orderBy(F.lower("name"), "id").limit(target_limit)
     usable = sources.where(F.col("enabled") & (F.col("kind") != "EVENTS"))
-    # The list is at most ``target_limit`` rows, so it may be broadcast.
-    chosen = usable.join(F.broadcast(first.select(F.col("id").alias("company_id"), "name", "domain")), "company_id")
+    chosen = usable.join(first.select(F.col("id").alias("company_id"), "name", "domain"), "company_id")
+    if source_limit is None:
+        return chosen
+    by_kind = Window.partitionBy("company_id").orderBy("kind", "id")
     ranked = chosen.withColumn("_rank", F.row_number().over(by_kind))
     return ranked.where(F.col("_rank") <= source_limit).drop("_rank")

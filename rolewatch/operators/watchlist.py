@@ -15,7 +15,6 @@ from .shaping import join_dimension
 
 DEFAULT_CRON = "* * * * *"
 DEFAULT_PRIORITY = "MEDIUM"
-REQUEST_LIMIT = 50
 TAG_COUNT = 5
 
 _INPUT_URLS = [
@@ -113,8 +112,8 @@ def validate_targets(inputs: DataFrame) -> DataFrame:
     )
 
 
-def admit_requests(requests: DataFrame, limit: int = REQUEST_LIMIT) -> DataFrame:
-    """Requests of 1 to ``limit`` well-formed targets, all or nothing: adds ``admitted``.
+def admit_requests(requests: DataFrame, limit: int | None = None) -> DataFrame:
+    """Requests of well-formed targets, at most ``limit`` if one is given, all or nothing: adds ``admitted``.
 
     ``requests`` has request_id and the nested target columns.
     """
@@ -124,9 +123,8 @@ def admit_requests(requests: DataFrame, limit: int = REQUEST_LIMIT) -> DataFrame
         formed &= F.col(column).isNotNull()
     sources = F.forall("sources", lambda s: s["id"].isNotNull() & s["url"].isNotNull() & s["kind"].isNotNull() & s["scan_cron"].isNotNull())
     formed &= lit_true(sources)
-    verdicts = requests.groupBy("request_id").agg(
-        ((F.count("*") <= limit) & (F.count_if(~formed) == 0)).alias("admitted")
-    )
+    fits = F.lit(True) if limit is None else F.count("*") <= limit
+    verdicts = requests.groupBy("request_id").agg((fits & (F.count_if(~formed) == 0)).alias("admitted"))
     return join_dimension(requests, verdicts, ["request_id"], "inner")
 
 
@@ -151,6 +149,23 @@ def conflicts(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     return keyed.select(*candidates.columns, found.alias("conflict_id")).where(F.col("conflict_id").isNotNull())
 
 
+def save_targets(stored: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Save candidates only if none is in conflict: the watchlist after it, and the conflicts.
+
+    A conflict is a name or domain that a stored target with another id has, or that two candidates
+    with different ids share; candidates repeated under one id are in conflict with each other
+    (``conflict_id`` is then their own id).  With any conflict the stored table stays as it is.
+    """
+    repeats = candidates.groupBy("id").agg(F.count("*").alias("_times")).where("_times > 1")
+    repeated = join_dimension(candidates, repeats.select("id"), ["id"], "left_semi").withColumn("conflict_id", F.col("id"))
+    against = stored.select("id", "name", "domain").unionByName(candidates.select("id", "name", "domain"))
+    found = conflicts(candidates, against).unionByName(repeated.select(*candidates.columns, "conflict_id"))
+    # One row, which says whether anything may be saved.
+    clean = found.agg((F.count("*") == 0).alias("_clean"), F.lit(1).alias("_one"))
+    allowed = candidates.withColumn("_one", F.lit(1)).join(F.broadcast(clean), "_one").where("_clean")
+    return merge_targets(stored, allowed.select(*candidates.columns)), found
+
+
 def merge_targets(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """Insert or replace targets by id; a stored target keeps its creation time."""
     both = stored.alias("s").join(incoming.withColumn("_given", F.lit(True)).alias("n"), "id", "full_outer")

@@ -155,7 +155,7 @@ def target_requests(spark: SparkSession, d: str) -> DataFrame:
         "* except (domain)",
         "case when n % 171 <> 170 then domain end as domain",
     )
-    return watchlist.admit_requests(requests).select("request_id", "id", "admitted")
+    return watchlist.admit_requests(requests, limit=50).select("request_id", "id", "admitted")
 
 
 @query
@@ -253,7 +253,7 @@ def scan_batch(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def scan_tasks(spark: SparkSession, d: str) -> DataFrame:
-    tasks = schedule.scan_tasks(fx.view(spark, d, "v_targets"), fx.sources(spark, d))
+    tasks = schedule.scan_tasks(fx.view(spark, d, "v_targets"), fx.sources(spark, d), target_limit=25, source_limit=5)
     return tasks.select("company_id", "id", "kind", "url")
 
 
@@ -397,7 +397,7 @@ def payload_failures(spark: SparkSession, d: str) -> DataFrame:
 @query
 def stitch_pages(spark: SparkSession, d: str) -> DataFrame:
     landed = None
-    for provider in ("EIGHTFOLD", "JIBE", "ORACLE_HCM"):
+    for provider in ("EIGHTFOLD", "JIBE", "WORKDAY", "PHENOM", "ORACLE_HCM"):
         rows = fx.payloads(spark, d, provider).withColumn("source_id", F.concat(F.lit(provider), "source_id"))
         landed = rows if landed is None else landed.unionByName(rows)
     kept = board_payloads.stitch_pages(landed)
@@ -539,12 +539,13 @@ def run_text(df: DataFrame) -> DataFrame:
 
 @query
 def scan_summary(spark: SparkSession, d: str) -> DataFrame:
-    return run_text(runs(spark, d))
+    return run_text(scans.with_details(runs(spark, d), run_results(spark, d)))
 
 
 @query
 def health(spark: SparkSession, d: str) -> DataFrame:
-    return run_text(scans.health(runs(spark, d).withColumnRenamed("scan_id", "id")))
+    latest = scans.health(runs(spark, d).withColumnRenamed("scan_id", "id"))
+    return run_text(scans.with_details(latest, run_results(spark, d), "id"))
 
 
 @query

@@ -10,17 +10,18 @@ from pyspark.sql import functions as F
 from ..operators.dedup import dedup_board_postings, dedup_company_postings, dedup_page_postings
 from ..operators.scans import source_results, us_postings
 from ..session import ensure_checkpoint_dir
-from ..sources.board_payloads import BOARDS, payload_failures, payload_postings, stitch_pages
+from ..sources.board_payloads import PAGE_KEY, asked_pages, failed_pages, page_facts, payload_postings
 from ..sources.boards import GENERIC
 from ..sources.pages import admitted_pages, page_postings
 from ..sources.postings import wanted_postings
 
 TASK = ["scan_id", "company_id", "source_id", "source_url", "provider"]
+RUN = ("scan_id", "source_id")
 
 
 @dataclass(frozen=True)
 class ScanOutcome:
-    """``postings``: one row per company and URL of each scan.  ``results``: one row per source."""
+    """``postings``: one row per company and URL of each scan.  ``results``: one row per source of each scan."""
 
     postings: DataFrame
     results: DataFrame
@@ -30,51 +31,55 @@ def pages_of(landed: DataFrame) -> DataFrame:
     return landed.where(F.col("provider") == GENERIC).withColumnRenamed("body", "html")
 
 
-def requested_payloads(landed: DataFrame) -> DataFrame:
-    """Board payloads a scan would have read: one page of one-page boards, stitched pages of the others."""
-    single = [name for name, board in BOARDS.items() if board.more is None]
-    stitched = stitch_pages(landed, run=("scan_id", "source_id")).select(*landed.columns)
-    return landed.where(F.col("provider").isin(single)).unionByName(stitched)
+def scan_times(landed: DataFrame) -> DataFrame:
+    """One time per scan, when its first page was observed."""
+    return landed.groupBy("scan_id").agg(F.min("observed_at").alias("scanned_at"))
 
 
-def extract(landed: DataFrame, targets: DataFrame) -> DataFrame:
-    """Postings of every source that satisfy the company's keywords, one per source, scan and URL."""
+def extract(landed: DataFrame, targets: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """Postings of every source that satisfy the company's keywords, one per source, scan and URL.
+
+    Scans are told apart by scan_id, and all postings of a scan carry its one time.  Bodies and pages
+    are read in narrow stages; only facts and extracted postings meet in a shuffle.  ``asked`` has the board pages a scan would have read.
+    """
+    asked = asked_pages(page_facts(landed)) if asked is None else asked
     pages = admitted_pages(pages_of(landed)).where(F.col("rejection").isNull())
-    # Scans are told apart by their time; two sources never share an id.
-    run = ("last_seen_at",)
-    on_pages = dedup_page_postings(wanted_postings(page_postings(pages), targets), run=run)
-    on_boards = wanted_postings(payload_postings(requested_payloads(landed)), targets)
-    return on_pages.unionByName(dedup_board_postings(on_boards, run=run))
+    on_pages = dedup_page_postings(wanted_postings(page_postings(pages), targets), run=("scan_id",))
+    found = payload_postings(landed).join(asked.select(*RUN, *PAGE_KEY), [*RUN, *PAGE_KEY], "left_semi")
+    on_boards = dedup_board_postings(wanted_postings(found, targets), run=("scan_id",))
+    both = on_pages.unionByName(on_boards).join(scan_times(landed), "scan_id")
+    return both.withColumns({"first_seen_at": F.col("scanned_at"), "last_seen_at": F.col("scanned_at")}).drop("scanned_at")
 
 
-def failures(landed: DataFrame) -> DataFrame:
+def failures(landed: DataFrame, asked: DataFrame) -> DataFrame:
     """Sources that cannot be used, with the reason."""
-    key = ["scan_id", "source_id"]
     rejected = admitted_pages(pages_of(landed)).where(F.col("rejection").isNotNull())
-    pages = rejected.select(*key, F.col("rejection").alias("message"))
-    return pages.unionByName(payload_failures(requested_payloads(landed)).select(*key, "message"))
+    pages = rejected.select(*RUN, F.col("rejection").alias("message"))
+    return pages.unionByName(failed_pages(asked).select(*RUN, "message"))
 
 
-def results_of(landed: DataFrame, found: DataFrame) -> DataFrame:
+def results_of(landed: DataFrame, found: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     """One row per source of each scan; ``found`` is the output of ``extract``."""
-    tasks = landed.groupBy(*TASK).agg(F.min("observed_at").alias("scanned_at"))
-    return source_results(tasks, found, failures(landed))
+    asked = asked_pages(page_facts(landed)) if asked is None else asked
+    tasks = landed.select(*TASK).distinct().join(scan_times(landed), "scan_id")
+    return source_results(tasks, found, failures(landed, asked))
 
 
 def winners_of(found: DataFrame, results: DataFrame) -> DataFrame:
     """Postings in the United States of the sources that succeeded, one per company and URL of each scan."""
-    bad = results.where(F.col("status") == "FAILED").select("source_id", F.col("scanned_at").alias("last_seen_at"))
-    usable = found.join(bad, ["source_id", "last_seen_at"], "left_anti")
-    return dedup_company_postings(us_postings(usable), run=("last_seen_at",))
+    bad = results.where(F.col("status") == "FAILED").select(*RUN)
+    usable = found.join(bad, [*RUN], "left_anti")
+    return dedup_company_postings(us_postings(usable), run=("scan_id",))
 
 
 def scan(landed: DataFrame, targets: DataFrame) -> ScanOutcome:
     """Extract one or more scans.
 
-    Three consumers read the extracted postings.  They are checkpointed so that pages and payloads are
-    parsed once; a checkpoint on shared storage also survives lost executors.
+    The facts of board pages and the extracted postings have several readers.  Both are checkpointed, so that
+    bodies are parsed once for each; a checkpoint on shared storage also survives lost executors.
     """
     ensure_checkpoint_dir(landed.sparkSession)
-    found = extract(landed, targets).checkpoint()
-    results = results_of(landed, found)
+    asked = asked_pages(page_facts(landed)).checkpoint()
+    found = extract(landed, targets, asked).checkpoint()
+    results = results_of(landed, found, asked)
     return ScanOutcome(winners_of(found, results), results)

@@ -484,7 +484,7 @@ _STITCHED = """stitched AS (SELECT *, coalesce(min(CASE WHEN c = 0 THEN 0 ELSE 1
 add(
     "stitch_pages",
     f"""WITH {_PARTS}, {_STITCHED} SELECT provider, provider || 'b' || n AS source_id, CAST(page_no AS INTEGER) AS page_no, c AS record_count
-        FROM stitched CROSS JOIN (VALUES ('EIGHTFOLD', 3), ('JIBE', 3), ('ORACLE_HCM', 5)) AS m(provider, most) WHERE unbroken AND page_no <= most""",
+        FROM stitched CROSS JOIN (VALUES ('EIGHTFOLD', 3), ('JIBE', 3), ('WORKDAY', 3), ('PHENOM', 3), ('ORACLE_HCM', 5)) AS m(provider, most) WHERE unbroken AND page_no <= most""",
 )
 
 # ---- pages -----------------------------------------------------------------------------------

@@ -30,6 +30,8 @@ LANDED = """
     scan_id STRING, company_id STRING, source_id STRING, source_url STRING, provider STRING,
     api_origin STRING, site STRING, query_no INT, page_no INT, observed_at TIMESTAMP, body STRING
 """
+# Fixed value: the provider of the row that ends a scan; its page_no is the number of the scan's other rows.
+SCAN_END = "SCAN_END"
 CHANGE = "id STRING, job_id STRING, company_id STRING, kind STRING, created_at TIMESTAMP, read_at TIMESTAMP"
 DELIVERY = """
     id STRING, change_id STRING, channel STRING, status STRING, attempts INT,
@@ -38,10 +40,7 @@ DELIVERY = """
 """
 SCAN_RUN = """
     id STRING, started_at TIMESTAMP, finished_at TIMESTAMP, target_count INT, job_count INT,
-    failure_count INT,
-    failures ARRAY<STRUCT<company_id: STRING, source_id: STRING, source_url: STRING, provider: STRING, message: STRING>>,
-    source_results ARRAY<STRUCT<company_id: STRING, source_id: STRING, source_url: STRING, provider: STRING,
-        discovered_count: BIGINT, united_states_count: BIGINT, status: STRING>>
+    failure_count INT
 """
 
 # Source kinds are a closed list, at most one source of each per company.

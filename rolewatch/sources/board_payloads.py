@@ -29,11 +29,7 @@ from ..functions.text import (
 )
 from ..functions.urls import resolve_url
 from ..operators.shaping import computed
-from .postings import CONTEXT, eligible, finish_postings
-
-MAX_OFFSET = 500
-MAX_NUMBERED_PAGES = 50
-NUMBERED_PAGE_SIZE = 10
+from .postings import CONTEXT, context_of, eligible, finish_postings
 
 
 @dataclass(frozen=True)
@@ -47,8 +43,10 @@ class Board:
     confidence: float
     failure: str
     # Whether the next page is asked for, and the total it depends on; None means a one-page board.
-    more: Callable[[Column, Column, Column, Column], Column] | None = None
+    more: Callable[[Column, Column, Column], Column] | None = None
     total: Callable[[Column], Column] = lambda b: F.lit(None)
+    # How far a page advances by its own account; None means by its records.
+    step: Callable[[Column], Column] | None = None
 
 
 def _clean(value: Column) -> Column:
@@ -187,17 +185,12 @@ def _oracle_hcm(r: Column, origin: Column, site: Column) -> dict[str, Column]:
 # ---- paging: is the page after this one asked for? -------------------------------------------
 
 
-def _by_offset(total: Column, count: Column, offset: Column, page_no: Column) -> Column:
-    return (count > 0) & (offset < F.coalesce(total, count)) & (offset < MAX_OFFSET)
-
+def _by_offset(total: Column, step: Column, offset: Column) -> Column:
+    return (step > 0) & (offset < F.coalesce(total, step))
 
-def _by_page(total: Column, count: Column, offset: Column, page_no: Column) -> Column:
-    wanted = page_no * NUMBERED_PAGE_SIZE < F.coalesce(total, count)
-    return (count > 0) & wanted & (page_no < MAX_NUMBERED_PAGES)
 
-
-def _by_flag(total: Column, count: Column, offset: Column, page_no: Column) -> Column:
-    return (total == 1) & (count > 0) & (offset < MAX_OFFSET)
+def _by_flag(total: Column, step: Column, offset: Column) -> Column:
+    return (total == 1) & (step > 0)
 
 
 BOARDS: dict[str, Board] = {
@@ -222,7 +215,7 @@ BOARDS: dict[str, Board] = {
         _jibe,
         0.99,
         "Jibe API returned an invalid response.",
-        _by_page,
+        _by_offset,
         lambda b: F.coalesce(b["totalCount"], b["count"]),
     ),
     "ASHBY": Board(
@@ -288,6 +281,7 @@ BOARDS: dict[str, Board] = {
         "Oracle HCM API returned an invalid response.",
         _by_flag,
         lambda b: b["hasMore"].cast("int"),
+        lambda b: b["count"],
     ),
 }
 
@@ -308,11 +302,6 @@ def _content(board: Board) -> Column:
     return F.when(F.col("body").rlike(opening), F.from_json("body", board.schema))
 
 
-@reused
-def _body_is_valid(board: Board) -> Column:
-    return let(_content(board), lambda content: lit_true(board.valid(content)))
-
-
 # What a board's record may leave out: links without a base are already absolute.
 _TEXT_FIELDS = ["title", "link", "base", "apply_link", "description", "raw_type"]
 
@@ -358,16 +347,17 @@ def payload_postings(payloads: DataFrame, *boards: str) -> DataFrame:
     site it was fetched from.  Each row keeps the record's position for de-duplication.
     """
     chosen = list(boards or BOARDS)
+    context = context_of(payloads)
     records = (
         payloads.where(F.col("provider").isin(chosen))
         .select(
-            *CONTEXT,
+            *context,
             "query_no",
             "page_no",
             _per_board(chosen, lambda b: F.lit(b.confidence)).alias("extraction_confidence"),
             F.posexplode(_per_board(chosen, _records)).alias("record_no", "r"),
         )
-        .select(*CONTEXT, *RECORD_KEY, "extraction_confidence", "r.*")
+        .select(*context, *RECORD_KEY, "extraction_confidence", "r.*")
     )
     resolved = computed(
         eligible(records.where(F.col("link") != "")),
@@ -383,50 +373,73 @@ def payload_postings(payloads: DataFrame, *boards: str) -> DataFrame:
             ),
         }
     )
-    return finish_postings(evidence, *RECORD_KEY)
-
-
-def payload_failures(payloads: DataFrame) -> DataFrame:
-    """One row per scan and source with at least one body that lacks the expected records."""
-    every = list(BOARDS)
-    failed = payloads.where(F.col("provider").isin(every)).where(~_per_board(every, _body_is_valid))
-    message = _per_board(every, lambda b: F.lit(b.failure)).alias("message")
-    return failed.select("scan_id", "company_id", "source_id", "source_url", "provider", message).distinct()
+    return finish_postings(evidence, *RECORD_KEY, *[c for c in context if c not in CONTEXT])
 
 
 @reused
 def _page_facts(board: Board) -> Column:
-    """Number of records on a page and the total it reports; no records when the page is invalid."""
+    """Whether a page is valid, its number of records, how far it advances and the total it reports."""
 
     def read(content: Column) -> Column:
-        count = F.size(F.coalesce(board.records(content), F.array()))
+        count = F.size(F.coalesce(board.records(content), F.array())).cast("bigint")
+        valid = lit_true(board.valid(content))
+        step = count if board.step is None else F.coalesce(board.step(content).cast("bigint"), count)
         return F.struct(
-            F.when(board.valid(content), count).cast("bigint").alias("records"),
+            valid.alias("valid"),
+            F.when(valid, count).otherwise(0).alias("records"),
+            F.when(valid, step).otherwise(0).alias("step"),
             board.total(content).cast("bigint").alias("total"),
         )
 
     return let(_content(board), read)
 
 
-def stitch_pages(payloads: DataFrame, *boards: str, run: tuple[str, ...] = ("source_id",)) -> DataFrame:
-    """Keep the pages a scan would have asked for: in order, until the board has no more to give.
+PAGE_KEY = ["query_no", "page_no"]
+
 
-    Pages are numbered from 1 within (run, query).  A page that is kept and is not the last one holds
-    at least one record, and asking stops at an offset of 500, so no page beyond number 500 can be
-    kept; leaving those out first bounds the window group.
+def page_facts(payloads: DataFrame, *boards: str) -> DataFrame:
+    """What paging and failures depend on, one slim row per landed page; bodies are read here and go no further."""
+    chosen = list(boards or BOARDS)
+    known = payloads.where(F.col("provider").isin(chosen))
+    return known.select(
+        "scan_id", "company_id", "source_id", "source_url", "provider", *PAGE_KEY,
+        F.explode(F.array(_per_board(chosen, _page_facts))).alias("_facts"),
+    ).select("*", "_facts.*").drop("_facts")
+
+
+def asked_pages(
+    facts: DataFrame, run: tuple[str, ...] = ("scan_id", "source_id"), max_offset: int | None = None, max_pages: int | None = None
+) -> DataFrame:
+    """The pages a scan would have asked for: in order, until the board has no more to give.
+
+    All landed pages count; ``max_offset`` records or ``max_pages`` pages per query are limits that a caller may set.
+    Only slim facts meet in the window of a query.  A one-page board is asked for its pages as landed.
     """
-    chosen = [name for name in (boards or BOARDS) if BOARDS[name].more is not None]
+    paged = [name for name, board in BOARDS.items() if board.more is not None]
     pages = Window.partitionBy(*run, "query_no").orderBy("page_no")
     before = pages.rowsBetween(Window.unboundedPreceding, -1)
+    numbered = facts.where(F.col("provider").isin(paged)).withColumn("_offset", F.sum("step").over(pages))
+    more = _per_board(paged, lambda b: lit_true(b.more(F.col("total"), F.col("step"), F.col("_offset"))))
+    if max_offset is not None:
+        more &= F.col("_offset") < max_offset
+    if max_pages is not None:
+        more &= F.col("page_no") < max_pages
+    kept = numbered.withColumn("_more", more).withColumn("_asked", F.coalesce(F.min("_more").over(before), F.lit(True)))
+    return kept.where("_asked").select(*facts.columns).unionByName(facts.where(~F.col("provider").isin(paged)))
+
+
+def stitch_pages(payloads: DataFrame, *boards: str, run: tuple[str, ...] = ("source_id",), **limits: int) -> DataFrame:
+    """``asked_pages`` of the boards that are read page by page, with ``record_count``."""
+    chosen = [name for name in (boards or BOARDS) if BOARDS[name].more is not None]
+    return asked_pages(page_facts(payloads, *chosen), run, **limits).withColumnRenamed("records", "record_count")
 
-    counted = (
-        payloads.where(F.col("provider").isin(chosen) & F.col("page_no").between(1, MAX_OFFSET))
-        .withColumn("_facts", _per_board(chosen, _page_facts))
-        .withColumn("_count", F.coalesce(F.col("_facts.records"), F.lit(0)))
-        .withColumn("_offset", F.sum("_count").over(pages))
-    )
-    more = _per_board(
-        chosen, lambda b: lit_true(b.more(F.col("_facts.total"), F.col("_count"), F.col("_offset"), F.col("page_no")))
-    )
-    kept = counted.withColumn("_more", more).withColumn("_asked", F.coalesce(F.min("_more").over(before), F.lit(True)))
-    return kept.where("_asked").withColumnRenamed("_count", "record_count").select(*payloads.columns, "record_count")
+
+def failed_pages(asked: DataFrame) -> DataFrame:
+    """One row per scan and source with at least one asked page that lacks the expected records."""
+    message = _per_board(list(BOARDS), lambda b: F.lit(b.failure)).alias("message")
+    return asked.where(~F.col("valid")).select("scan_id", "company_id", "source_id", "source_url", "provider", message).distinct()
+
+
+def payload_failures(payloads: DataFrame) -> DataFrame:
+    """One row per scan and source with at least one body that lacks the expected records."""
+    return failed_pages(page_facts(payloads))

@@ -35,12 +35,11 @@ from ..functions.text import (
 )
 from ..functions.urls import canonical_url, is_job_detail_url, parsed_url, source_url_error
 from ..operators.shaping import computed, join_dimension
-from .postings import CONTEXT, eligible, finish_postings
+from .postings import CONTEXT, context_of, eligible, finish_postings
 
 # Executors need not have this package installed: its one Python function travels by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-MAX_PAGE_UNITS = 5_000_000
 LAYERS = ("jsonld", "pair", "tuple", "anchor")
 
 # Confidence per extraction layer.
@@ -68,16 +67,21 @@ _LD_RECORD = (
 
 
 @reused
-def _rejection() -> Column:
-    too_large = ~count_utf16(F.col("html"), MAX_PAGE_UNITS)
-    return F.coalesce(
-        source_url_error(F.col("source_url")), F.when(too_large, F.lit("Source response exceeded 5 MB."))
-    )
+def _rejection(max_units: int | None) -> Column:
+    forbidden = source_url_error(F.col("source_url"))
+    if max_units is None:
+        return forbidden
+    # Fixed value: the message of the crawler's size limit.
+    too_large = F.when(~count_utf16(F.col("html"), max_units), F.lit("Source response exceeded 5 MB."))
+    return F.coalesce(forbidden, too_large)
+
 
+def admitted_pages(pages: DataFrame, max_units: int | None = None) -> DataFrame:
+    """Add ``rejection``: NULL for a page that may be used, else the reason it may not.
 
-def admitted_pages(pages: DataFrame) -> DataFrame:
-    """Add ``rejection``: NULL for a page that may be used, else the reason it may not."""
-    return pages.withColumn("rejection", _rejection())
+    A landed page of any size is used unless ``max_units``, in UTF-16 units, says otherwise.
+    """
+    return pages.withColumn("rejection", _rejection(max_units))
 
 
 # ---- linked data -----------------------------------------------------------------------------
@@ -239,13 +243,14 @@ def page_postings(pages: DataFrame, *layers: str) -> DataFrame:
     structured layers first.
     """
     chosen = [name for name in LAYERS if name in (layers or LAYERS)]
-    extracted = pages.select(*CONTEXT, *[_layer(name).alias(name) for name in chosen])
+    context = context_of(pages)
+    extracted = pages.select(*context, *[_layer(name).alias(name) for name in chosen])
     if "jsonld" in chosen:
         # Only the linked-data blocks travel to Python, never the page.
         extracted = extracted.withColumn("jsonld", _linked_data(F.col("jsonld"), F.col("source_url")))
     records = extracted.select(
-        *CONTEXT, F.posexplode(F.concat(*[F.col(n) for n in chosen])).alias("ordinal", "r")
-    ).select(*CONTEXT, "ordinal", "r.*")
+        *context, F.posexplode(F.concat(*[F.col(n) for n in chosen])).alias("ordinal", "r")
+    ).select(*context, "ordinal", "r.*")
 
     layer = F.col("layer")
     texts = computed(records, text=_record_text())
@@ -265,7 +270,7 @@ def page_postings(pages: DataFrame, *layers: str) -> DataFrame:
     evidence = usable.withColumns(
         {"application_url": url, "content_fingerprint": marks, "extraction_confidence": F.element_at(confidence, layer)}
     )
-    return finish_postings(evidence, "ordinal")
+    return finish_postings(evidence, "ordinal", *[c for c in context if c not in CONTEXT])
 
 
 # ---- events ----------------------------------------------------------------------------------

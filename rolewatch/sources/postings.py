@@ -14,6 +14,11 @@ from ..operators.shaping import join_dimension
 CONTEXT = ["company_id", "source_id", "source_url", "observed_at"]
 
 
+def context_of(rows: DataFrame) -> list[str]:
+    """The context columns, and scan_id where the rows are of scans that must be told apart."""
+    return [c for c in ("scan_id",) if c in rows.columns] + CONTEXT
+
+
 @reused
 def _eligible_title():
     return is_eligible_title(F.col("title"))

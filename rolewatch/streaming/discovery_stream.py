@@ -11,65 +11,89 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import outbox, replay
 from ..operators.scans import summarize_runs
 from ..plans import discovery
-from ..schemas import DELIVERY, LANDED, POSTING, SNAPSHOT
+from ..schemas import DELIVERY, LANDED, POSTING, SCAN_END, SNAPSHOT
 from . import tables
 
 SCANS = "source_id STRING, scanned_at TIMESTAMP"
 Targets = Callable[[SparkSession], DataFrame]
 
 
-def process_batch(landed: DataFrame, batch: int, root: str, targets: Targets) -> None:
-    """One micro-batch, which may hold several scans in any order.
+def complete_scans(landed: DataFrame, batch: int, root: str) -> DataFrame:
+    """Rows of the scans that have landed whole; the rest is held back for a later batch.
 
-    The rows of one scan of one source must lie in one file.  A scan that is not newer than the last one
+    A crawler ends a scan with a row of provider SCAN_END, whose page_no is the number of the scan's other
+    rows.  Only one folder of held rows is read, that of the batch before.  Rows of a scan that land after it was
+    complete wait for another end.
+    """
+    spark = landed.sparkSession
+    rows = tables.read_version(spark, root, "held", LANDED, batch).unionByName(landed.select(*spark.createDataFrame([], LANDED).columns))
+    is_end = F.col("provider") == SCAN_END
+    counts = rows.groupBy("scan_id").agg(F.count_if(~is_end).alias("_rows"), F.max(F.when(is_end, F.col("page_no"))).alias("_end"))
+    # Written out first: Spark then knows its size and can keep the bodies in place.
+    tables.append(counts.where(F.col("_rows") >= F.col("_end")).select("scan_id"), root, "complete", batch)
+    complete = spark.read.schema("scan_id STRING").parquet(f"{root}/complete/batch={batch}")
+    tables.append(rows.join(complete, "scan_id", "left_anti").select(*rows.columns), root, "held", batch)
+    return rows.join(complete, "scan_id", "left_semi").where(~is_end).select(*rows.columns)
+
+
+def process_batch(landed: DataFrame, batch: int, root: str, targets: Targets, end_markers: bool = True) -> None:
+    """One micro-batch, which may hold several scans in any order, and parts of scans.
+
+    Without ``end_markers`` each scan must land in one file.  A scan that is not newer than the last one
     of its source goes to the ``late`` table instead of rewriting history.
     """
     spark = landed.sparkSession
+    if end_markers:
+        landed = complete_scans(landed, batch, root)
     # Tables instead of cached plans: they survive lost executors and keep the later plans small.
     tables.append(discovery.extract(landed, targets(spark)), root, "extracted", batch)
-    found = spark.read.schema(POSTING).parquet(f"{root}/extracted/batch={batch}")
+    found = spark.read.schema(POSTING + ", scan_id STRING").parquet(f"{root}/extracted/batch={batch}")
     tables.append(discovery.results_of(landed, found), root, "source_results", batch)
     results = spark.read.parquet(f"{root}/source_results/batch={batch}")
     _apply(spark, discovery.winners_of(found, results), results, batch, root)
 
 
 def _apply(spark: SparkSession, postings: DataFrame, results: DataFrame, batch: int, root: str) -> None:
-    known = tables.read_appended(spark, root, "scans", SCANS, batch)
-    last = known.groupBy("source_id").agg(F.max("scanned_at").alias("_last"))
-    dated = results.join(last, "source_id", "left")
+    # One row per source, as of the batch before.
+    last = tables.read_version(spark, root, "last_scans", SCANS, batch)
+    dated = results.join(last.withColumnRenamed("scanned_at", "_last"), "source_id", "left")
     in_time = F.coalesce(F.col("scanned_at") > F.col("_last"), F.lit(True))
-    scans = dated.where((F.col("status") == "SUCCESS") & in_time).select("source_id", "scanned_at")
+    good = F.col("status") == "SUCCESS"
+    scans = dated.where(good & in_time).select("source_id", "scanned_at")
 
     # A bucket holds whole companies; only buckets with a scanned company are read and rewritten.
     touched = {r.b for r in results.select(tables.bucket_of(F.col("company_id")).alias("b")).distinct().collect()}
     folders = tables.current_folders(spark, root, batch)
     stored = tables.read_buckets(spark, root, SNAPSHOT, {b: n for b, n in folders.items() if b in touched})
 
-    timely = postings.join(scans.withColumnRenamed("scanned_at", "last_seen_at"), ["source_id", "last_seen_at"], "left_semi")
-    fresh, overtaken = replay.split_late(timely.select(*postings.columns), stored)
-    late_scans = dated.where((F.col("status") == "SUCCESS") & ~in_time).select("source_id", F.col("scanned_at").alias("last_seen_at"))
-    late = postings.join(late_scans, ["source_id", "last_seen_at"], "left_semi").select(*postings.columns)
+    columns = [c for c in postings.columns if c != "scan_id"]
+    timely = postings.join(dated.where(good & in_time).select("scan_id", "source_id"), ["scan_id", "source_id"], "left_semi")
+    fresh, overtaken = replay.split_late(timely.select(*columns), stored)
+    late_scans = dated.where(good & ~in_time).select("scan_id", "source_id")
+    late = postings.join(late_scans, ["scan_id", "source_id"], "left_semi").select(*columns)
 
     changes = replay.replay_changes(fresh, stored).drop("canonical_url")
-    tables.append(late.unionByName(overtaken.select(*postings.columns)), root, "late", batch)
+    tables.append(late.unionByName(overtaken.select(*columns)), root, "late", batch)
     tables.append(scans, root, "scans", batch)
+    newest = last.unionByName(scans).groupBy("source_id").agg(F.max("scanned_at").alias("scanned_at"))
+    tables.append(newest, root, "last_scans", batch)
     tables.append(changes, root, "changes", batch)
     # Ids of these changes carry scan times newer than all stored ones, so none was enqueued before.
     fresh_changes = spark.read.parquet(f"{root}/changes/batch={batch}")
     none = spark.createDataFrame([], DELIVERY)
     enqueued_at = F.col("created_at")
     tables.append(outbox.enqueue_at(none, fresh_changes, enqueued_at), root, "deliveries", batch)
-    jobs = postings.join(results.select("source_id", "scan_id", F.col("scanned_at").alias("last_seen_at")), ["source_id", "last_seen_at"])
-    runs = summarize_runs(results.withColumn("finished_at", F.col("scanned_at")), jobs.groupBy("scan_id").agg(F.count("*").alias("job_count")))
+    runs = summarize_runs(results.withColumn("finished_at", F.col("scanned_at")), postings.groupBy("scan_id").agg(F.count("*").alias("job_count")))
     tables.append(runs.withColumnRenamed("scan_id", "id"), root, "scan_runs", batch)
 
     tables.write_buckets(replay.replay_snapshot(fresh, scans, stored), root, batch)
-    written = spark.read.parquet(f"{root}/snapshot/batch={batch}").select("bucket").distinct().collect()
+    # A batch without a posting and without a stored one writes no file, hence the given schema.
+    written = spark.read.schema("bucket INT").parquet(f"{root}/snapshot/batch={batch}").select("bucket").distinct().collect()
     tables.commit(spark, root, batch, folders | {r.bucket: batch for r in written})
 
 
 def start_discovery(
-    spark: SparkSession, landed_path: str, root: str, checkpoint: str, targets: Targets, max_files: int | None = None
+    spark: SparkSession, landed_path: str, root: str, checkpoint: str, targets: Targets, max_files: int | None = None, end_markers: bool = True
 ) -> StreamingQuery:
     """Process all landed files that are new since the last run, then stop.
 
@@ -81,7 +105,7 @@ def start_discovery(
         reader = reader.option("maxFilesPerTrigger", max_files)
     return (
         reader.parquet(landed_path)
-        .writeStream.foreachBatch(lambda df, batch: process_batch(df, batch, root, targets))
+        .writeStream.foreachBatch(lambda df, batch: process_batch(df, batch, root, targets, end_markers))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -5,6 +5,7 @@ are current.  A batch that runs again overwrites its own folders only, so it can
 point, and readers see whole batches.
 
     <root>/<table>/batch=<n>                      appended tables
+    <root>/held, last_scans/batch=<n>             whole tables, read from the batch before
     <root>/snapshot/batch=<n>/bucket=<b>          state, one folder per bucket of companies
     <root>/commits/batch=<n>                      (bucket, batch): current folder per bucket
 """
@@ -25,10 +26,11 @@ def append(df: DataFrame, root: str, table: str, batch: int) -> None:
     df.write.mode("overwrite").parquet(f"{root}/{table}/batch={batch}")
 
 
-def read_appended(spark: SparkSession, root: str, table: str, schema: str, before: int) -> DataFrame:
-    """Rows of an appended table from the batches before one."""
-    paths = [f"{root}/{table}/batch={n}" for n in range(before)]
-    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+def read_version(spark: SparkSession, root: str, table: str, schema: str, before: int) -> DataFrame:
+    """A table that every batch writes as a whole, as the batch before left it."""
+    if before == 0:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{root}/{table}/batch={before - 1}")
 
 
 def current_folders(spark: SparkSession, root: str, before: int) -> dict[int, int]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rolewatch.operators import replay, snapshot
 from rolewatch.schemas import LANDED, POSTING, SNAPSHOT
-from rolewatch.streaming import discovery_stream
+from rolewatch.streaming import discovery_stream, tables
 
 START = datetime(2026, 8, 1)
 
@@ -186,6 +186,7 @@ def landed_rows(n, at, ashby_jobs, page_titles):
         (scan, "acme", "board", "https://acme.example/b", "ASHBY", None, None, 0, 1, at, ashby),
         (scan, "acme", "page", "https://acme.example/p", "GENERIC_HTML", None, None, 0, 1, at, html),
         (scan, "other", "shell", "https://other.example/p", "GENERIC_HTML", None, None, 0, 1, at, "<div id=app></div>"),
+        (scan, None, None, None, "SCAN_END", None, None, 0, 3, at, None),
     ]
 
 
@@ -245,3 +246,92 @@ def test_stream_sets_late_scans_aside(spark, tmp_path):
     state, tables, _ = run_stream(spark, tmp_path, [[0], [2], [1]], "late")
     assert tables["late"].count() == 2
     assert {r["title"] for r in state.values()} == {"Software Intern II", "Data Intern", "Web Intern"}
+
+
+def land_and_run(spark, tmp_path, name, batches, watched=(("acme", []),)):
+    """Each list of landed rows is one run of the stream; gives the root."""
+    folder, root, checkpoint = (str(tmp_path / name / x) for x in ("landed", "root", "checkpoint"))
+
+    def targets(session):
+        return session.createDataFrame(list(watched), "id string, role_keywords array<string>")
+
+    for rows in batches:
+        spark.createDataFrame(rows, LANDED).coalesce(1).write.mode("append").parquet(folder)
+        discovery_stream.start_discovery(spark, folder, root, checkpoint, targets).awaitTermination()
+    return root
+
+
+def board_page(scan, page, at, total, *jobs, source="eight"):
+    body = json.dumps({"status": 200, "data": {"count": total, "positions": [{"name": f"Data Intern {j}", "positionUrl": f"/careers/job/{j}", "locations": ["Austin, TX"]} for j in jobs]}})
+    return (scan, "acme", source, f"https://{source}.example", "EIGHTFOLD", "https://jobs.nvidia.com", None, 0, page, at, body)
+
+
+def end_of(scan, rows, at):
+    return (scan, None, None, None, "SCAN_END", None, None, 0, rows, at, None)
+
+
+def test_first_batch_without_any_posting(spark, tmp_path):
+    shell = ("s0", "acme", "page", "https://acme.example/p", "GENERIC_HTML", None, None, 0, 1, START, "<div id=app></div>")
+    later = START + timedelta(hours=1)
+    batches = [[shell, end_of("s0", 1, START)], [board_page("s1", 1, later, 1, 7), end_of("s1", 1, later)]]
+    root = land_and_run(spark, tmp_path, "shell", batches)
+    assert discovery_stream.current_snapshot(spark, root, 1).count() == 0
+    assert [r.title for r in discovery_stream.current_snapshot(spark, root, 2).collect()] == ["Data Intern 7"]
+
+
+def test_scan_over_two_batches_equals_one(spark, tmp_path):
+    five = timedelta(seconds=5)
+    pages = [board_page("s", 1, START, 4, 1, 2), board_page("s", 2, START + five, 4, 3, 4)]
+    other = board_page("s", 1, START + five, 1, 1, source="second")
+    end = end_of("s", 3, START + five)
+    whole = land_and_run(spark, tmp_path, "whole", [[*pages, other, end]])
+    split = land_and_run(spark, tmp_path, "split", [[pages[0], end], [pages[1]], [other]])
+    one, two = discovery_stream.current_snapshot(spark, whole, 1), discovery_stream.current_snapshot(spark, split, 3)
+    assert as_state(one) == as_state(two) and one.count() == 4
+    assert {r.last_seen_at for r in two.collect()} == {START}
+    assert spark.read.parquet(f"{split}/late").count() == 0 and spark.read.parquet(f"{split}/held/batch=2").count() == 0
+    found = {r.source_id: r.discovered_count for r in spark.read.parquet(f"{split}/source_results").collect()}
+    assert found == {"eight": 4, "second": 1}
+    assert discovery_stream.current_snapshot(spark, split, 2).count() == 0
+
+
+def test_state_is_read_from_one_folder_however_long_the_history(spark, tmp_path):
+    root = str(tmp_path / "long")
+    for n in range(200):
+        tables.append(spark.createDataFrame([("s", START)], discovery_stream.SCANS).coalesce(1), root, "last_scans", n) if n in (0, 198, 199) else None
+    last = tables.read_version(spark, root, "last_scans", discovery_stream.SCANS, 200)
+    assert len(last.inputFiles()) == 1
+
+
+def test_results_of_a_scan_whose_pages_differ_in_time(spark):
+    from rolewatch.plans import discovery
+
+    five = timedelta(seconds=5)
+    broken = board_page("s", 3, START, 6, 9, source="bad")[:-1] + ('{"error":"busy"}',)
+    rows = [
+        board_page("s", 1, START, 4, 1, 2), board_page("s", 2, START + five, 4, 3, 4), board_page("s", 1, START + five, 1, 1, source="second"),
+        board_page("s", 1, START, 6, 11, 12, source="bad"), board_page("s", 2, START, 6, 13, 14, source="bad"), broken,
+        board_page("t", 1, START + 2 * five, 1, 1),
+    ]
+    targets = spark.createDataFrame([("acme", [])], "id string, role_keywords array<string>")
+    outcome = discovery.scan(spark.createDataFrame(rows, LANDED), targets)
+    got = {(r.scan_id, r.source_id): (r.status, r.discovered_count) for r in outcome.results.collect()}
+    assert got == {("s", "eight"): ("SUCCESS", 4), ("s", "second"): ("SUCCESS", 1), ("s", "bad"): ("FAILED", None), ("t", "eight"): ("SUCCESS", 1)}
+    posts = outcome.postings.collect()
+    assert len({(p.scan_id, p.company_id, p.canonical_url) for p in posts}) == len(posts) == 5
+    assert {p.last_seen_at for p in posts if p.scan_id == "s"} == {START}
+    assert "bad" not in {p.source_id for p in posts}
+
+
+def test_many_landed_pages_are_all_kept_and_no_body_is_shuffled(spark):
+    from rolewatch.plans import discovery
+
+    rows = [board_page("s", n + 1, START, 1000, *range(10 * n, 10 * n + 10)) for n in range(100)]
+    landed = spark.createDataFrame(rows, LANDED)
+    targets = spark.createDataFrame([("acme", [])], "id string, role_keywords array<string>")
+    found = discovery.extract(landed, targets)
+    assert found.count() == 1000
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    for line in plan.splitlines():
+        if "Window" in line or "Join" in line:
+            assert "body#" not in line

@@ -180,7 +180,7 @@ def test_stitching_by_offset(spark):
 
     assert page_numbers(board_payloads.stitch_pages(landed(spark, "EIGHTFOLD", body(2, 1), body(2, 1, 1), body(2, 1, 2)))) == [1, 2]
     assert page_numbers(board_payloads.stitch_pages(landed(spark, "EIGHTFOLD", body(9, 1), body(9, 0), body(9, 1)))) == [1, 2]
-    assert page_numbers(board_payloads.stitch_pages(landed(spark, "EIGHTFOLD", *[body(9999, 200)] * 5))) == [1, 2, 3]
+    assert page_numbers(board_payloads.stitch_pages(landed(spark, "EIGHTFOLD", *[body(9999, 200)] * 5))) == [1, 2, 3, 4, 5]
     kept = board_payloads.stitch_pages(landed(spark, "EIGHTFOLD", body(3, 2), body(3, 2, 1)))
     found = dedup.dedup_board_postings(board_payloads.payload_postings(kept))
     assert found.count() == 3
@@ -191,7 +191,7 @@ def test_stitching_by_page_and_flag(spark):
         return {"totalCount": total, "jobs": [{"data": {"slug": str(i), "title": f"Software Intern {i}"}} for i in range(n)]}
 
     assert page_numbers(board_payloads.stitch_pages(landed(spark, "JIBE", numbered(11, 10), numbered(11, 1), numbered(11, 1)))) == [1, 2]
-    assert page_numbers(board_payloads.stitch_pages(landed(spark, "JIBE", *[numbered(9999, 10)] * 53))) == list(range(1, 51))
+    assert page_numbers(board_payloads.stitch_pages(landed(spark, "JIBE", *[numbered(9999, 10)] * 53))) == list(range(1, 54))
 
     def flagged(more, n):
         return {"hasMore": more, "count": n, "items": [{"Id": i, "Title": "Intern"} for i in range(n)]}
@@ -304,7 +304,8 @@ def test_anchor_markup(spark):
 def test_admission(spark):
     small, exact, large = "x", "x" * 5_000_000, "x" * 5_000_001
     frame = page_frame(spark, small, exact, large, "\U0001f600" * 2_500_001)
-    got = {r.source_id: r.rejection for r in pages.admitted_pages(frame).collect()}
+    got = {r.source_id: r.rejection for r in pages.admitted_pages(frame, 5_000_000).collect()}
+    assert not pages.admitted_pages(frame).where("rejection is not null").count()
     assert got == {"src0": None, "src1": None, "src2": "Source response exceeded 5 MB.", "src3": "Source response exceeded 5 MB."}
 
 
