@@ -20,13 +20,13 @@ from collections import Counter
 from collections.abc import Iterator
 from math import exp, log
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import Recent
 from .common import fold, with_computed
 
 UNKNOWN = "und"
@@ -35,6 +35,10 @@ START = "▁"
 #: Words counted in a task before they are handed on; bounds a task's memory.
 COUNTED_WORDS = 500_000
 CACHED_WORDS = 200_000
+#: Words of up to so many letters are summed together: no sum of theirs falls out of range.
+SHORT_WORD = 30
+#: Texts whose new words are summed together.
+TEXTS = 256
 #: Documents learned from per language, and over all languages.
 PER_LANGUAGE = 5_000
 SAMPLE_IDS = 500_000
@@ -73,6 +77,44 @@ class Lattice:
     def __init__(self, pieces: list[str]):
         self.places = {p: n for n, p in enumerate(pieces)}
         self.longest = max(map(len, pieces), default=1)
+        self.lengths = np.array([len(p) for p in pieces], np.int64)
+        self.automaton = ahocorasick.Automaton()
+        for p, n in self.places.items():
+            self.automaton.add_word(p, n)
+        if pieces:
+            self.automaton.make_automaton()
+
+    def log_probabilities(self, words: list[str], table: np.ndarray) -> np.ndarray:
+        """``log_probability`` of many short words at once: a row per word, a column per language.
+
+        One scan of the words, each with its start mark, finds the pieces in all of them, as no piece goes on beyond
+        a mark.  Sums then advance by one letter for all words together.  ``table`` has a row per piece and, last, one for an uncovered letter.
+        """
+        text = "".join([START + w for w in words])
+        sizes = np.array([len(w) + 1 for w in words])
+        first = np.cumsum(sizes) - sizes
+        word_at = np.repeat(np.arange(len(words)), sizes)
+        found = np.array(list(self.automaton.iter(text)) if self.places else [], np.int64).reshape(-1, 2)
+        last, piece = found[:, 0], found[:, 1]
+        alone = np.zeros(len(text), bool)
+        alone[last[self.lengths[piece] == 1]] = True
+        bare = np.flatnonzero(~alone)
+        last = np.concatenate([last, bare])
+        begin = np.concatenate([found[:, 0] - self.lengths[piece] + 1, bare])
+        piece = np.concatenate([piece, np.full(len(bare), len(table) - 1)])
+        word = word_at[last]
+        step = last + 1 - first[word]
+        order = np.lexsort((word, step))
+        begin, piece, word, step = begin[order], piece[order], word[order], step[order]
+        # A word has one place more than letters: before each letter and after the last.
+        sums = np.ones((len(text) + len(words), table.shape[1]))
+        edges = np.searchsorted(step, np.arange(1, sizes.max(initial=0) + 2))
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            here = word[a:b]
+            new = np.flatnonzero(np.concatenate([[True], here[1:] != here[:-1]]))
+            value = np.add.reduceat(sums[begin[a:b] + here] * table[piece[a:b]], new, axis=0)
+            sums[first[here[new]] + here[new] + step[a]] = value
+        return np.log(sums[first + np.arange(len(words)) + sizes])
 
     def arcs(self, word: str) -> list[list[tuple[int, int]]]:
         """For each end, the (start, piece) that lead there; a letter that no piece covers gets an arc with piece -1."""
@@ -84,7 +126,7 @@ class Lattice:
                 n = places.get(text[start:end])
                 if n is not None:
                     out[end].append((start, n))
-            if not any(start == end - 1 for start, _ in out[end]):
+            if n is None:  # the last one looked up is the letter itself
                 out[end].append((end - 1, -1))
         return out
 
@@ -192,29 +234,56 @@ class Model:
         if self.lattice is None:
             self.lattice = Lattice(self.pieces)
             self.columns = [[*column, FLOOR] for column in self.table.T.tolist()]
-            self.chunks = Recent(self.chunk, CACHED_WORDS)
+            self.rows = np.vstack([self.table, np.full(self.table.shape[1], FLOOR)])
+            self.known: dict[str, bytes] = {}
+            self.older: dict[str, bytes] = {}
         return self
 
     def __getstate__(self):
         return {"pieces": self.pieces, "languages": self.languages, "table": self.table, "lattice": None}
 
-    def chunk(self, chunk: str) -> np.ndarray | None:
-        """Evidence of what stands between blanks, per language; None if there is no letter in it."""
-        words = words_of(chunk)
-        return sum(np.array(self.lattice.log_probability(w, self.columns)) for w in words) if words else None
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.languages:
-            return UNKNOWN, 0.0
-        found = Counter(text.split())
-        chunks = self.chunks
-        known = [(v, n) for c, n in found.items() if (v := chunks[c]) is not None]
-        if not known:
-            return UNKNOWN, 0.0
-        evidence = np.array([n for _, n in known], float) @ np.array([v for v, _ in known])
-        evidence = (evidence - evidence.max()) / TEMPER
-        best = int(evidence.argmax())
-        return self.languages[best], float(1.0 / np.exp(evidence).sum())
+    def weigh(self, chunks: list[str]) -> dict[str, bytes]:
+        """The evidence of chunks, what stands between blanks, as the bytes of one number per language; none without a letter."""
+        parts = {c: words_of(c) for c in chunks}
+        words = list(dict.fromkeys(w for found in parts.values() for w in found))
+        short = [w for w in words if len(w) <= SHORT_WORD]
+        logs = dict(zip(short, self.lattice.log_probabilities(short, self.rows), strict=True)) if short else {}
+        for w in words:
+            if len(w) > SHORT_WORD:
+                logs[w] = np.array(self.lattice.log_probability(w, self.columns))
+        return {chunk: sum(logs[w] for w in found).tobytes() if found else b"" for chunk, found in parts.items()}
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and its probability for each text of a batch."""
+        return [p for n in range(0, len(texts), TEXTS) for p in self.predict_some(texts[n : n + TEXTS])]
+
+    def predict_some(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        if not self.languages:
+            return [(UNKNOWN, 0.0)] * len(texts)
+        counts = [Counter((text or "").split()) for text in texts]
+        mine, missing = {}, []
+        for chunk in set().union(*counts):
+            value = self.known.get(chunk, self.older.get(chunk))
+            if value is None:
+                missing.append(chunk)
+            else:
+                mine[chunk] = value
+        mine |= self.weigh(missing)
+        if len(self.known) > CACHED_WORDS:  # the recent ones are held, at most twice as many
+            self.older, self.known = self.known, {}
+        self.known |= mine
+        out = []
+        for found in counts:
+            held = [(v, n) for c, n in found.items() if (v := mine[c])]
+            if not held:
+                out.append((UNKNOWN, 0.0))
+                continue
+            values = np.frombuffer(b"".join([v for v, _ in held])).reshape(len(held), -1)
+            evidence = np.array([n for _, n in held], float) @ values
+            evidence = (evidence - evidence.max()) / TEMPER
+            best = int(evidence.argmax())
+            out.append((self.languages[best], float(1.0 / np.exp(evidence).sum())))
+        return out
 
 
 def learn(rows: DataFrame, text: str = "text", lang: str = "lang", vocabulary: str | None = None) -> Model:
@@ -242,7 +311,7 @@ def identify(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
         ready = sent.value.ready()
 
         def apply(texts: pa.Array) -> list[list]:
-            found = [ready.predict(x) for x in texts.to_pylist()]
+            found = ready.predict(texts.to_pylist())
             return [[a for a, _ in found], [s for _, s in found]]
 
         return apply
