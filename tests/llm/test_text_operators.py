@@ -250,6 +250,16 @@ def test_forward_sums_equal_all_segmentations():
     assert np.isfinite(long) and long < -1000
 
 
+@pytest.mark.parametrize("pieces", [["▁", "▁a", "a", "b", "ab", "▁ab", "ba"], ["▁a", "ab"], []])
+def test_words_summed_together_equal_words_by_themselves(pieces):
+    lattice = langid.Lattice(pieces)
+    chances = np.random.default_rng(3).random((len(pieces) + 1, 2))
+    words = ["a", "abba", "c", "acab", "b" * langid.SHORT_WORD, "", "ba"]
+    found = lattice.log_probabilities(words, chances)
+    alone = [lattice.log_probability(w, chances.T.tolist()) for w in words]
+    assert np.allclose(found, alone)
+
+
 def test_toxicity_ranks_held_out_documents(spark):
     documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
