@@ -251,6 +251,12 @@ def scan_batch(spark: SparkSession, d: str) -> DataFrame:
     return batch.select("id", "name", "position", F.col("batch_index").cast("bigint"), F.col("batch_count").cast("bigint"))
 
 
+@query
+def scheduled_batch(spark: SparkSession, d: str) -> DataFrame:
+    batch = schedule.scheduled_batch(fx.view(spark, d, "v_targets"), fx.sources(spark, d), datetime(2026, 8, 16, 14, 30))
+    return batch.select("company_id", "id", "kind", *[F.col(c).cast("bigint").alias(c) for c in ("position", "batch_index", "batch_count")])
+
+
 @query
 def scan_tasks(spark: SparkSession, d: str) -> DataFrame:
     tasks = schedule.scan_tasks(fx.view(spark, d, "v_targets"), fx.sources(spark, d), target_limit=25, source_limit=5)
@@ -707,6 +713,15 @@ def inbox_apply_marks(spark: SparkSession, d: str) -> DataFrame:
     return flat(inbox.dismiss(inbox.mark_read(changes, marks), dismissed).select("id", "kind", "read_at"))
 
 
+@query
+def inbox_counts(spark: SparkSession, d: str) -> DataFrame:
+    changes = fx.view(spark, d, "v_changes")
+    marks = fx.table(spark, d, "lineitem").selectExpr("concat('c', l_orderkey) as id", "l_shipdate as read_at").where("cast(substr(id, 2) as bigint) % 2 = 0")
+    dismissed = changes.where("cast(substr(id, 2) as bigint) % 5 = 0").select("id")
+    counts = inbox.mark_counts(changes, marks).unpivot([], ["marked", "unread"], "count", "n")
+    return counts.unionByName(inbox.dismissed_count(changes, dismissed).unpivot([], ["dismissed"], "count", "n"))
+
+
 @query
 def inbox_mark_all(spark: SparkSession, d: str) -> DataFrame:
     return flat(inbox.mark_all_read(fx.view(spark, d, "v_changes"), stamp(NOW)).select("id", "read_at"))

@@ -352,6 +352,16 @@ add(
         SELECT id, name, position, batch_index, batch_count FROM chosen WHERE position // 25 = batch_index""",
     "v_targets",
 )
+add(
+    "scheduled_batch",
+    f"""+ due AS (SELECT company_id, id, kind FROM v_sources WHERE enabled AND {_due('scan_cron', 'timestamp ' + repr('2026-08-16 14:30:00'))}),
+        listed AS (SELECT id, row_number() OVER (ORDER BY lower(name), id) - 1 AS position, count(*) OVER () AS total FROM v_targets WHERE id IN (SELECT company_id FROM due)),
+        slots AS (SELECT *, CAST(ceil(total / 25.0) AS BIGINT) AS batch_count FROM listed),
+        chosen AS (SELECT *, CASE WHEN total > 25 THEN CAST(floor(epoch(timestamp '2026-08-16 14:30:00') / 300) AS BIGINT) % batch_count ELSE 0 END AS batch_index FROM slots)
+        SELECT d.company_id, d.id, d.kind, c.position, c.batch_index, c.batch_count FROM due d JOIN chosen c ON c.id = d.company_id WHERE c.position // 25 = c.batch_index""",
+    "v_targets",
+    "v_sources",
+)
 add(
     "scan_tasks",
     """+ first AS (SELECT id FROM v_targets ORDER BY lower(name), id LIMIT 25)
@@ -756,6 +766,13 @@ add(
         SELECT c.id, c.kind, strftime(coalesce(c.read_at, m.at), {TS}) AS read_at FROM v_changes c LEFT JOIN marks m ON m.id = c.id WHERE CAST(substr(c.id, 2) AS BIGINT) % 5 <> 0""",
     "v_changes",
 )
+add(
+    "inbox_counts",
+    """+ marks AS (SELECT DISTINCT 'c' || l_orderkey AS id FROM lineitem WHERE l_orderkey % 2 = 0 AND l_shipdate IS NOT NULL)
+        SELECT CASE WHEN id IN (SELECT id FROM marks) THEN 'marked' ELSE 'unread' END AS count, count(*) AS n FROM v_changes WHERE read_at IS NULL GROUP BY 1
+        UNION ALL SELECT 'dismissed', count(*) FROM v_changes WHERE CAST(substr(id, 2) AS BIGINT) % 5 = 0""",
+    "v_changes",
+)
 add("inbox_mark_all", f"SELECT id, strftime(coalesce(read_at, {NOW}), {TS}) AS read_at FROM v_changes", "v_changes")
 add(
     "enqueue_deliveries",
