@@ -318,6 +318,39 @@ def brute_dice(a, b):
     return round(2 * sum((x & y).values()) / (sum(x.values()) + sum(y.values())), 4)
 
 
+def test_licences_of_several_paragraphs_and_notices_within_lines(spark):
+    other = "Some words of another kind stand here and go on for a while, with no end in sight."
+    given, names = {}, ["mit", "apache-2.0-header", "bsd-2-clause", "gpl-3.0-header"]
+    for n, name in enumerate(names):
+        words = licenses.TEMPLATES[name].split()
+        parts = [" ".join(words[len(words) * k // 4 : len(words) * (k + 1) // 4]) for k in range(4)]
+        given[n] = f"{other}\n\n" * 9 + "\n\n".join(parts) + f"\n\n{other}" * 9
+        given[n + 10] = f"{other}\n" * 9 + "\n".join(f" * {p}" for p in parts) + f"\n{other}" * 9
+    given[20] = f"{other} {other} Released under the MIT License. {other}"
+    given[21] = f"{other} Released under another License. {other}"
+    rows = spark.createDataFrame([*given.items()], "doc_id long, text string")
+    found = {(r.doc_id, r.template): (r.dice, r.passages) for r in licenses.licenses(rows).collect()}
+    want = {(n + k, name): (1.0, 1) for n, name in enumerate(names) for k in (0, 10)} | {(20, "mit-notice"): (1.0, 1)}
+    assert {k: v for k, v in found.items() if k in want} == want
+    assert {k for k in found if k not in want} <= {(n, "apache-2.0-notice") for n in (1, 11)}
+
+
+def test_best_run_equals_brute_force(spark):
+    rnd = random.Random(5)
+    templates = {"p": "a b a b c a b d", "q": "a a a a b", "r": "c d a"}
+    given = {n: " ".join(rnd.choice("aabbcdx") for _ in range(rnd.randrange(2, 30))) for n in range(150)}
+    rows = spark.createDataFrame([*given.items()], "doc_id long, text string")
+    found = {(r.doc_id, r.template): round(r.dice, 4) for r in licenses.matches(rows, templates=templates, threshold=0.7).where("run").collect()}
+    want = {}
+    for n, text in given.items():
+        w = text.split()
+        for name, template in templates.items():
+            best = max(brute_dice(" ".join(w[i:j]), template) for i in range(len(w)) for j in range(i + 2, len(w) + 1)) if len(w) > 1 else 0
+            if best >= 0.7:
+                want[n, name] = best
+    assert found == want and len(want) > 30
+
+
 def test_licences_scan_is_native(spark):
     plan = licenses.licenses(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
