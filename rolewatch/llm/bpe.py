@@ -13,7 +13,6 @@ Repeated rows stay repeated; other columns pass, but for one with the name of a
 
 from __future__ import annotations
 
-import hashlib
 import json
 from array import array
 from functools import lru_cache
@@ -26,16 +25,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import list_array, lists_of, with_computed
+from .common import Recent, kept_by_worker, list_array, lists_of, with_computed
 
 #: Fixed values of the format: how texts are split before merging.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Words kept per worker; the store starts anew beyond it, so memory stays bounded.
-CACHED_WORDS = 200_000
-CACHED_PAIRS = 1_000_000
+#: Pairs whose compatibility a worker keeps, some 100 bytes each; the table starts anew beyond it.
+CACHED_PAIRS = 250_000
 NEVER = 1 << 60
-#: A longer chunk is encoded each time and not stored.
-CACHED_LENGTH = 64
+#: A longer piece is scanned once for all its matches.
+LONG_PIECE = 64
 
 
 def default_vocabulary() -> str:
@@ -52,22 +50,6 @@ def byte_letters() -> list[str]:
     return [chr(moved.get(b, b)) for b in range(256)]
 
 
-class Recent(dict):
-    """Values by key, computed when missed; at most twice ``limit`` recent ones are held."""
-
-    def __init__(self, compute, limit: int):
-        self.compute, self.limit, self.older = compute, limit, {}
-
-    def __missing__(self, key: str):
-        value = self.older[key] if key in self.older else self.compute(key)
-        if len(key) <= CACHED_LENGTH:
-            if len(self) >= self.limit:
-                self.older = dict(self)
-                self.clear()
-            self[key] = value
-        return value
-
-
 class Vocabulary:
     """Tokens, merge ranks, the automaton, the pair table and the offset table of one vocabulary file."""
 
@@ -105,9 +87,9 @@ class Vocabulary:
             sizes[i + 1] = len(value)
         self.offsets = np.cumsum(sizes)
         self.bytes = np.frombuffer(b"".join(stored[i] for i in sorted(stored)), np.uint8)
-        self.piece = Recent(self.merge, CACHED_WORDS)
-        self.first = Recent(lambda chunk: self.chunk(chunk, ""), CACHED_WORDS)
-        self.later = Recent(lambda chunk: self.chunk(chunk, " "), CACHED_WORDS)
+        self.piece = Recent(self.merge)
+        self.first = Recent(lambda chunk: self.chunk(chunk, ""))
+        self.later = Recent(lambda chunk: self.chunk(chunk, " "))
         self.newline = self.pieces_ids("\n")
 
     # -- encoding
@@ -154,7 +136,7 @@ class Vocabulary:
         total = len(letters)
         length, shorter, pairs = self.length, self.shorter, self.pairs
         scan = self.automaton.iter_long
-        longest = self.longest_matches(letters) if total > CACHED_LENGTH else None
+        longest = self.longest_matches(letters) if total > LONG_PIECE else None
         out: list[int] = []
         dead: set[int] = set()
         at, token, before = 0, longest[0] if longest else next(scan(letters))[1], -1
@@ -230,16 +212,9 @@ class Vocabulary:
         return self.bytes[where].tobytes().decode("utf-8", "replace")
 
 
-_loaded: dict[str, Vocabulary] = {}
-
-
 def vocabulary_of(content: bytes) -> Vocabulary:
-    """The vocabulary, made once per worker process."""
-    key = hashlib.sha256(content).hexdigest()
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = Vocabulary(content)
-    return _loaded[key]
+    """The vocabulary, made once per worker process for as long as the worker serves this operator."""
+    return kept_by_worker("bpe", content, lambda: Vocabulary(content))
 
 
 @lru_cache(maxsize=4)

@@ -23,18 +23,20 @@ from math import exp, log
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import regex
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, with_computed
+from .common import Recent, fold, kept_by_worker, with_computed
 
 UNKNOWN = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Runs of letters and of numerals other than decimal digits; only the letters count.
+RUNS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
 START = "▁"
 #: Words counted in a task before they are handed on; bounds a task's memory.
 COUNTED_WORDS = 500_000
-CACHED_WORDS = 200_000
 #: Words of up to so many letters are summed together: no sum of theirs falls out of range.
 SHORT_WORD = 30
 #: Texts whose new words are summed together.
@@ -42,11 +44,15 @@ TEXTS = 256
 #: Documents learned from per language, and over all languages.
 PER_LANGUAGE = 5_000
 SAMPLE_IDS = 500_000
+#: Leading bits of an id's hash by which ids are counted in bins.
+BIN_BITS = 12
 #: Added to each piece's expected count.
 SMOOTHING = 0.1
 #: Probability of a letter that no piece covers.
 FLOOR = 1e-9
 LOG_FLOOR = log(FLOOR)
+#: How far, in logarithms per letter, a text may fit worse than the median text of its language.
+MARGIN = 2.75
 #: A text's evidence is divided by this, as the words of a text are not independent.
 TEMPER = 4.0
 
@@ -68,7 +74,8 @@ def letter_pieces(path: str) -> list[str]:
 
 def words_of(chunk: str) -> list[str]:
     """The words of lower-case letters in a piece of text."""
-    return LETTERS.findall(chunk.lower())
+    found = RUNS.findall(chunk.lower())
+    return found if all(map(str.isalpha, found)) else [w for run in found for w in LETTERS.findall(run)]
 
 
 class Lattice:
@@ -195,7 +202,7 @@ def word_counts(rows: DataFrame, text: str, lang: str) -> DataFrame:
 
         for batch in batches:
             for a, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                counts.setdefault(a, Counter()).update(LETTERS.findall(text.lower()))
+                counts.setdefault(a, Counter()).update(words_of(text))
                 if sum(map(len, counts.values())) > COUNTED_WORDS:
                     yield out()
         yield out()
@@ -235,15 +242,14 @@ class Model:
             self.lattice = Lattice(self.pieces)
             self.columns = [[*column, FLOOR] for column in self.table.T.tolist()]
             self.rows = np.vstack([self.table, np.full(self.table.shape[1], FLOOR)])
-            self.known: dict[str, bytes] = {}
-            self.older: dict[str, bytes] = {}
+            self.known = Recent()
         return self
 
     def __getstate__(self):
         return {"pieces": self.pieces, "languages": self.languages, "table": self.table, "lattice": None}
 
     def weigh(self, chunks: list[str]) -> dict[str, bytes]:
-        """The evidence of chunks, what stands between blanks, as the bytes of one number per language; none without a letter."""
+        """The evidence of chunks, what stands between blanks, as the bytes of one number per language and the number of letters; none without a letter."""
         parts = {c: words_of(c) for c in chunks}
         words = list(dict.fromkeys(w for found in parts.values() for w in found))
         short = [w for w in words if len(w) <= SHORT_WORD]
@@ -251,38 +257,41 @@ class Model:
         for w in words:
             if len(w) > SHORT_WORD:
                 logs[w] = np.array(self.lattice.log_probability(w, self.columns))
-        return {chunk: sum(logs[w] for w in found).tobytes() if found else b"" for chunk, found in parts.items()}
+        return {chunk: np.append(sum(logs[w] for w in found), sum(map(len, found))).tobytes() if found else b"" for chunk, found in parts.items()}
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """Language and its probability for each text of a batch."""
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float | None]]:
+        """Language, its probability, and the mean logarithm per letter under it, for each text of a batch."""
         return [p for n in range(0, len(texts), TEXTS) for p in self.predict_some(texts[n : n + TEXTS])]
 
-    def predict_some(self, texts: list[str | None]) -> list[tuple[str, float]]:
+    def predict_some(self, texts: list[str | None]) -> list[tuple[str, float, float | None]]:
         if not self.languages:
-            return [(UNKNOWN, 0.0)] * len(texts)
+            return [(UNKNOWN, 0.0, None)] * len(texts)
         counts = [Counter((text or "").split()) for text in texts]
         mine, missing = {}, []
         for chunk in set().union(*counts):
-            value = self.known.get(chunk, self.older.get(chunk))
+            value = self.known.get(chunk)
+            if value is None and (value := self.known.older.get(chunk)) is not None:
+                self.known.hold(chunk, value)
             if value is None:
                 missing.append(chunk)
             else:
                 mine[chunk] = value
-        mine |= self.weigh(missing)
-        if len(self.known) > CACHED_WORDS:  # the recent ones are held, at most twice as many
-            self.older, self.known = self.known, {}
-        self.known |= mine
+        new = self.weigh(missing)
+        for chunk, value in new.items():
+            self.known.hold(chunk, value)
+        mine |= new
         out = []
         for found in counts:
             held = [(v, n) for c, n in found.items() if (v := mine[c])]
             if not held:
-                out.append((UNKNOWN, 0.0))
+                out.append((UNKNOWN, 0.0, None))
                 continue
             values = np.frombuffer(b"".join([v for v, _ in held])).reshape(len(held), -1)
-            evidence = np.array([n for _, n in held], float) @ values
-            evidence = (evidence - evidence.max()) / TEMPER
+            *evidence, letters = np.array([n for _, n in held], float) @ values
+            evidence = np.array(evidence)
             best = int(evidence.argmax())
-            out.append((self.languages[best], float(1.0 / np.exp(evidence).sum())))
+            shares = np.exp((evidence - evidence[best]) / TEMPER)
+            out.append((self.languages[best], float(1.0 / shares.sum()), float(evidence[best] / letters)))
         return out
 
 
@@ -298,38 +307,72 @@ def learn(rows: DataFrame, text: str = "text", lang: str = "lang", vocabulary: s
     return Model(pieces, languages, table / np.maximum(table.sum(axis=0), 1e-300))
 
 
-_held: dict[str, Model] = {}
+def identify(rows: DataFrame, model: Model, text: str = "text", fit: str | None = None) -> DataFrame:
+    """Add ``lang_pred`` and ``score``, the probability of that language among those learned.
 
-
-def identify(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Add ``lang_pred`` and ``score``, the probability of that language among those learned."""
+    ``fit`` names a further column: the mean logarithm of the text's probability per letter under that language.  It does not
+    depend on how many languages there are; a text in none of them has a low one.
+    """
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def work():
-        if _held.get("of") is not sent.value:  # keeps a worker's evidence of known chunks from task to task
-            _held["of"] = sent.value
-        ready = sent.value.ready()
+        ready = kept_by_worker("langid", sent.value, sent.value.ready)  # with the evidence of known chunks, from task to task
 
         def apply(texts: pa.Array) -> list[list]:
-            found = ready.predict(texts.to_pylist())
-            return [[a for a, _ in found], [s for _, s in found]]
+            parts = zip(*ready.predict(texts.to_pylist()), strict=True) if len(texts) else [(), (), ()]
+            return [list(part) for part in parts][: len(made)]
 
         return apply
 
-    return with_computed(rows, text, {"lang_pred": T.StringType(), "score": T.DoubleType()}, work)
+    made = {"lang_pred": T.StringType(), "score": T.DoubleType(), **({fit: T.DoubleType()} if fit else {})}
+    return with_computed(rows, text, made, work)
 
 
-def learn_from_documents(
+def least_fits(sample: DataFrame, model: Model, text: str = "text", lang: str = "lang", margin: float = MARGIN) -> dict[str, float]:
+    """Per language the fit below which a text is of none: ``margin`` below the median of the sampled texts found to be in their own language.
+
+    A median is not moved by odd texts in the sample.  One number per language comes to the driver.
+    """
+    given = sample.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"))
+    own = identify(given, model, "text", "fit").where(F.col("lang_pred") == F.col("lang"))
+    rows = own.groupBy("lang_pred").agg(F.percentile_approx("fit", 0.5, 10_000).alias("middle")).collect()
+    return {r["lang_pred"]: r["middle"] - margin for r in rows}
+
+
+def of_a_language(lang_pred: Column, fit: Column, least: dict[str, float]) -> Column:
+    """Whether a text has a language: one was found, and the text fits it as its texts do."""
+    enough = F.lit(False)
+    for lang, value in sorted(least.items()):
+        enough = F.when(lang_pred == lang, fit >= value).otherwise(enough)
+    return F.coalesce((lang_pred != UNKNOWN) & enough, F.lit(False))
+
+
+def sampled(
     documents: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = PER_LANGUAGE
-) -> Model:
-    """Learn from at most ``per_language`` documents of each language that are not held out, taken by hash of the id.
+) -> DataFrame:
+    """The rows to learn from: at most ``per_language`` documents of each language that are not held out, those of the least hashes of their ids.
 
-    The ids of the sample are at most ``SAMPLE_IDS``, so they are broadcast; texts do not move.
+    Hashes are first counted in bins by their leading bits, which tells per language up to which bin the sample reaches;
+    so only the sample and the rest of one bin are ranked, however large a language is.  The ids of the sample are
+    at most ``SAMPLE_IDS``, so they are broadcast; texts do not move.
     """
     known = documents.where((fold(f"`{doc_id}`") != 0) & F.col(f"`{lang}`").isNotNull())
     known = known.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{lang}`").alias("_lang")).distinct()
-    turn = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    known = known.withColumn("_turn", F.row_number().over(turn)).where(F.col("_turn") <= per_language)
-    chosen = known.orderBy("_turn").limit(SAMPLE_IDS).select("_id").distinct()
+    known = known.withColumn("_hash", F.xxhash64("_id")).withColumn("_bin", F.shiftright("_hash", 64 - BIN_BITS))
+    bins = known.groupBy("_lang", "_bin").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_lang").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    reached = bins.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).where(F.col("_before") < per_language)
+    last = reached.groupBy(F.col("_lang").alias("_of")).agg(F.max("_bin").alias("_last"))
+    near = known.join(last, (F.col("_lang") == F.col("_of")) & (F.col("_bin") <= F.col("_last")))
+    turn = Window.partitionBy("_lang").orderBy("_hash", "_id")
+    near = near.withColumn("_turn", F.row_number().over(turn)).where(F.col("_turn") <= per_language)
+    chosen = near.orderBy("_turn", "_lang").limit(SAMPLE_IDS).select("_id").distinct()
     rows = documents.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias(text), F.col(f"`{lang}`").alias(lang))
-    return learn(rows.join(F.broadcast(chosen), "_id", "left_semi"), text, lang)
+    return rows.join(F.broadcast(chosen), "_id", "left_semi")
+
+
+def learn_from_documents(
+    documents: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = PER_LANGUAGE
+) -> Model:
+    """Learn from ``sampled`` documents."""
+    return learn(sampled(documents, text, lang, doc_id, per_language), text, lang)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free_name
 
 #: Documents of one source in a hash range, on average: a window group of this size.
 RANGE_ROWS = 4096
@@ -128,13 +128,15 @@ def mix(rows: DataFrame, text: str = "text", source: str = "source", doc_id: str
     sized = rows.select(*[F.col(f"`{c}`") for c in kept], word_count(f"`{text}`").alias("size"))
     facts = sized.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{source}`").alias("_source"), F.col("size").alias("_size"))
     units = mix_units(facts, **settings)
+    own = {c: free_name(c, [*kept, *NEW]) for c in units.columns}  # a column of the rows may have such a name
+    units = units.select(*[F.col(c).alias(name) for c, name in own.items()])
     same = (
-        F.col(f"`{doc_id}`").eqNullSafe(F.col("_id")) & F.col(f"`{source}`").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size"))
+        F.col(f"`{doc_id}`").eqNullSafe(F.col(own["_id"])) & F.col(f"`{source}`").eqNullSafe(F.col(own["_source"])) & (F.col("size") == F.col(own["_size"]))
     )
     return sized.join(units, same).select(
         *[F.col(f"`{c}`") for c in kept], "size",
-        F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_copies").alias("copies"),
-        F.col("_finish").alias("finish"), (F.col("_copies") * F.col("size")).cast("long").alias("taken"),
+        F.col(own["_source_size"]).alias("source_size"), F.col(own["_target"]).alias("target"), F.col(own["_copies"]).alias("copies"),
+        F.col(own["_finish"]).alias("finish"), (F.col(own["_copies"]) * F.col("size")).cast("long").alias("taken"),
     )
 
 

@@ -245,9 +245,10 @@ def keep_one(rows: DataFrame, text: str = "text", doc_id: str = "doc_id", size:
     rooted = unique.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
     best = rooted.groupBy("root").agg(F.min("_best").alias("_best")).select("_best._id", "_best._hash")
     times = prints.groupBy("_hash").agg(F.count("*").alias("_times"))
-    chosen = best.join(times, "_hash").select(F.col("_hash").alias(mark), F.col("_id").alias("_best_id"), "_times")
-    kept = marked.join(chosen, (marked[mark] == chosen[mark]) & F.col(f"`{doc_id}`").eqNullSafe(F.col("_best_id"))).drop(chosen[mark])
-    single = kept.where(F.col("_times") == 1).select(*names)
+    own = {c: free_name(c, [*rows.columns, mark]) for c in ("_best_hash", "_best_id", "_times")}
+    chosen = best.join(times, "_hash").select(F.col("_hash").alias(own["_best_hash"]), F.col("_id").alias(own["_best_id"]), F.col("_times").alias(own["_times"]))
+    kept = marked.join(chosen, (F.col(mark) == F.col(own["_best_hash"])) & F.col(f"`{doc_id}`").eqNullSafe(F.col(own["_best_id"])))
+    single = kept.where(F.col(own["_times"]) == 1).select(*names)
     # Rows equal in every column are in one group: one of them stays.
-    repeated = kept.where(F.col("_times") > 1).dropDuplicates([mark]).select(*names)
+    repeated = kept.where(F.col(own["_times"]) > 1).dropDuplicates([mark]).select(*names)
     return single.unionByName(repeated)

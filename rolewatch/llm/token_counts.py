@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import Vocabulary, default_vocabulary, file_content, vocabulary_of
-from .common import with_computed
+from .common import free_name, with_computed
 
 RULES = ("most", "first", "last")
 RESULT = T.ArrayType(
@@ -107,9 +107,10 @@ def token_counts(
         raise ValueError(f"rule must be one of {RULES}")
     content = rows.sparkSession.sparkContext.broadcast(file_content(vocabulary or default_vocabulary()))
     names = [f.name for f in RESULT.elementType.fields]
-    kept = [c for c in rows.columns if c.lower() not in (text.lower(), (sections or text).lower(), "_sections", *names)]
+    kept = [c for c in rows.columns if c.lower() not in (text.lower(), (sections or text).lower(), *names)]
+    own = free_name("_sections", kept)
     column = F.col(f"`{sections}`") if sections else F.lit(None).cast("array<struct<start:int,end:int>>")
-    given = rows.select(*[F.col(f"`{c}`") for c in kept], F.struct(F.col(f"`{text}`").cast("string").alias("text"), column.alias("given")).alias("_sections"))
+    given = rows.select(*[F.col(f"`{c}`") for c in kept], F.struct(F.col(f"`{text}`").cast("string").alias("text"), column.alias("given")).alias(own))
 
     def work():
         coder = vocabulary_of(content.value)
@@ -123,5 +124,5 @@ def token_counts(
 
         return apply
 
-    counted = with_computed(given, "_sections", {"_sections": RESULT}, work)
-    return counted.select(*[F.col(f"`{c}`") for c in kept], F.inline("_sections"))
+    counted = with_computed(given, own, {own: RESULT}, work)
+    return counted.select(*[F.col(f"`{c}`") for c in kept], F.inline(own))

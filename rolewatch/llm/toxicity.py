@@ -29,8 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import Recent
-from .common import cut, fold, free_name, list_array, with_computed
+from .common import STORE_BYTES, Recent, cut, fold, free_name, kept_by_worker, list_array, with_computed
 
 #: Words of abuse, as text.
 INSULTS = frozenset(
@@ -55,7 +54,6 @@ LEAST_DOCUMENTS = 4
 LEAST_ODDS = 1.5
 MOST_TERMS = 5_000
 COUNTED_TERMS = 500_000
-CACHED_WORDS = 200_000
 FOLDS = (1, 2, 3, 4)
 CALIBRATED_ON = 4
 FEATURES = 13
@@ -74,9 +72,9 @@ def terms(word: str) -> list[str]:
 class Describer:
     """Features of texts under one learned lexicon."""
 
-    def __init__(self, odds: dict[str, float]):
+    def __init__(self, odds: dict[str, float], store: int = STORE_BYTES):
         self.odds = odds
-        self.facts = Recent(self.fact, CACHED_WORDS)
+        self.facts = Recent(self.fact, store)
 
     def fact(self, chunk: str) -> tuple | None:
         """(fixed hit, learned odds, second person, hidden, in capitals), or None for a word with none of these."""
@@ -179,19 +177,13 @@ def lexicons(sample: DataFrame, totals: dict[str, int]) -> dict[int, dict[str, f
     return found
 
 
-_held: dict[str, tuple] = {}
-
-
 def describe(rows: DataFrame, odds: dict[int, dict[str, float]], text: str, name: str, by_fold: str | None = None) -> DataFrame:
     """Add the features of each text as an array; ``by_fold`` names the column that picks the lexicon."""
     sent = rows.sparkSession.sparkContext.broadcast(odds)  # at most MOST_TERMS terms each
     given = rows.withColumn(name, F.struct(F.col(f"`{text}`").cast("string").alias("text"), (F.col(by_fold) if by_fold else F.lit(0)).cast("int").alias("part")))
 
     def work():
-        if _held.get("of") is not sent.value:
-            _held["of"] = sent.value
-            _held["by"] = {k: Describer(v) for k, v in sent.value.items()}
-        by = _held["by"]
+        by = kept_by_worker("toxicity", sent.value, lambda: {k: Describer(v, STORE_BYTES // len(sent.value)) for k, v in sent.value.items()})
 
         def apply(column: pa.Array) -> list:
             texts, parts = column.field("text").to_pylist(), column.field("part").to_pylist()

@@ -183,16 +183,42 @@ def test_url_filters_equal_brute_force(spark):
     assert url_filters.judge(rows.limit(0), nothing).count() == 0
 
 
+def test_url_filters_keep_times_and_clashing_columns(spark):
+    at = lambda h, d=5: dt.datetime(2024, 1, d, h)
+    entries = spark.createDataFrame(
+        [("a.com", at(10), True, 1), ("a.com", at(12), False, 2), ("b.com", at(9), True, 1), ("b.com", at(9), False, 2)], "name string, since timestamp, listed boolean, turn int"
+    )
+    rows = [(1, "http://a.com/", at(9)), (2, "http://a.com/", at(10)), (3, "http://a.com/x", at(11)), (4, "http://a.com/", at(15)), (5, "http://b.com/", at(15))]
+    captures = spark.createDataFrame([(*r, 7, 8, 9) for r in rows], "id int, url string, fetched_on timestamp, _on int, _best int, _at int")
+    found = {r.id: r for r in url_filters.judge(captures, entries, order="turn").collect()}
+    assert [found[n].blocked for n in range(1, 6)] == [False, True, True, False, False]
+    assert all((r._on, r._best, r._at) == (7, 8, 9) for r in found.values())
+    assert url_filters.judge(captures.where("id = 5"), entries.drop("turn")).first().blocked
+
+
+def test_mix_passes_clashing_columns(spark):
+    clash = {c: F.lit(n) for n, c in enumerate(["_id", "_size", "_target", "_finish", "_copies", "_source", "_source_size"])}
+    rows = spark.createDataFrame([(n, "a b c", "x" if n % 3 else None) for n in range(30)], "doc_id long, text string, source string")
+    plain = sorted(tuple(r) for r in mixing.mix(rows).select("doc_id", "size", "target", "taken").collect())
+    found = mixing.mix(rows.withColumns(clash))
+    assert sorted(tuple(r) for r in found.select("doc_id", "size", "target", "taken").collect()) == plain
+    assert all(found.where(F.col(f"`{c}`") != n).count() == 0 for n, c in enumerate(clash))
+
+
 def test_pipeline_stages_on_planted_cases(spark, tmp_path):
     import corpus_pipeline
 
     documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    gibberish = random.Random(5)
     planted = spark.createDataFrame(
         [
             (900_001, "You idiot, you are worthless scum, stupid pathetic loser and a disgusting moron. " * 3, "en", "src1", 1),
             (900_002, "1234 5678 !!", "en", "src1", 1),
             (900_003, None, "en", "src2", 1),
             (900_004, None, None, None, None),
+            (900_005, "Москва является столицей России и крупнейшим городом страны " * 9, None, "src1", 1),
+            (900_006, "東京は日本の首都であり、世界最大の都市の一つである。" * 9, None, "src1", 1),
+            (900_007, " ".join("".join(gibberish.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(200)), None, "src1", 1),
         ],
         documents.schema,
     )
@@ -208,12 +234,12 @@ def test_pipeline_stages_on_planted_cases(spark, tmp_path):
         if name != "bpe":
             assert docs.columns == corpus_pipeline.COLUMNS
     assert 900_001 not in seen["toxicity"] and {900_002, 900_003} <= seen["toxicity"]
-    assert not {900_002, 900_003, 900_004} & seen["language_id"]
+    assert not set(range(900_002, 900_008)) & seen["language_id"]
     assert not {r.doc_id for r in copies.collect()} & seen["near_dedup"]
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
     clean = {i for i, t in labels.items() if t == 0}
     assert len(clean & seen["toxicity"]) >= 0.98 * len(clean)
-    assert len(seen["language_id"]) >= 0.99 * (len(seen["toxicity"]) - 3)
+    assert len(seen["language_id"]) >= 0.99 * (len(seen["toxicity"]) - 6)
     assert seen["bpe"] == seen["mixing"] and docs.where("n_tokens > 0").count() == docs.count()
 
 

@@ -3,12 +3,13 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rolewatch.llm import bpe, components, langid, licenses, simhash, token_counts, toxicity
+from rolewatch.llm import bpe, common, components, langid, licenses, simhash, token_counts, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string"
 ODD = [None, "", " \t\n", "!!", "é", "x" * 30_000, "word " * 5_000]
@@ -212,12 +213,45 @@ def test_language_is_right_on_held_out_documents(spark):
     model = langid.learn_from_documents(documents)
     found = langid.identify(documents, model).where((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0) & (F.length("text") > 40))
     assert found.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.95
-    odd = spark.createDataFrame([(n, t, "de", None) for n, t in enumerate([None, "", "123 !!", "ж" * 5000])], DOCS)
+    odd = spark.createDataFrame([(n, t, "de", None) for n, t in enumerate([None, "", "123 !!", "ж" * 5000, "½ ² ①", "Ⅷ 12"])], DOCS)
     rows = {r.doc_id: r for r in langid.identify(odd, model).collect()}
-    assert [rows[n].lang_pred for n in range(3)] == ["und"] * 3 and rows[0].score == 0.0
+    assert [rows[n].lang_pred for n in (0, 1, 2, 4, 5)] == ["und"] * 5 and rows[0].score == 0.0
     assert rows[3].lang_pred in model.languages and 0 <= rows[3].score <= 1 and rows[3].lang == "de"
 
 
+def test_language_sample_is_that_of_the_least_hashes(spark):
+    rows = spark.createDataFrame([(n, f"text {n}", "a" if n % 5 else "b") for n in [*range(900), *range(50)]], "doc_id long, text string, lang string").withColumn("_hash", F.lit(1))
+    known = rows.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).distinct().collect()
+    want = {r.doc_id for lang in "ab" for r in sorted((r for r in known if r.lang == lang), key=lambda r: (r.h, r.doc_id))[:40]}
+    assert {int(r.text.split()[1]) for r in langid.sampled(rows, per_language=40).collect()} == want
+
+
+def test_texts_in_no_language_fit_none(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sample = langid.sampled(documents).cache()
+    model = langid.learn(sample)
+    least = langid.least_fits(sample, model)
+    texts = documents.select("text").unionByName(spark.createDataFrame([("Москва столица России " * 9,), ("東京は日本の首都" * 9,), ("12",), (None,)], "text string"))
+    kept = langid.identify(texts, model, fit="fit").where(langid.of_a_language(F.col("lang_pred"), F.col("fit"), least))
+    assert 0.995 * documents.count() <= kept.count() <= documents.count()
+    assert kept.where("text like 'Моск%' or text like '東%'").count() == 0
+    assert langid.least_fits(sample.limit(0), model) == {}
+
+
+def test_store_and_slices_stay_within_their_bounds():
+    made = []
+    store = common.Recent(lambda k: made.append(k) or b"x" * 100, 10_000)
+    assert [store[str(n % 50)] for n in range(500)] == [b"x" * 100] * 500 and len(store) + len(store.older) < 60
+    assert len(store["y" * 1000]) == 100 and "y" * 1000 not in store
+    texts = pa.array(["a" * 10, None, "b" * 50, "", "c" * 7])
+    assert list(common.slices(texts, 20)) == [(0, 2), (2, 3), (3, 5)] and list(common.slices(texts.slice(0, 0))) == []
+    nested = pa.array([{"t": "a" * 10, "n": [1, 2]}, None, {"t": None, "n": None}])
+    assert list(common.byte_sizes(nested)) == [26, 0, 0] and list(common.byte_sizes(nested.slice(1))) == [0, 0]
+    assert [len(x) for x in common.lists_of(pa.array([[1], None, [2, 3]]).slice(1))] == [0, 2]
+    first = common.kept_by_worker("a", b"key", list)
+    assert common.kept_by_worker("a", bytes(b"key"), list) is first and common.kept_by_worker("b", b"key", list) is not first
+
+
 def test_language_with_nothing_to_learn_from(spark):
     empty = spark.createDataFrame([], DOCS)
     model = langid.learn_from_documents(empty)
