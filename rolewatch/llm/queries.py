@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, licenses, mixing, simhash, token_counts, topk, toxicity, url_filters
+from . import ann, bpe, langid, licenses, mixing, simhash, substrings, token_counts, topk, toxicity, url_filters
 from .common import held_out, read
 
 
@@ -78,11 +78,31 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 TEMPLATE_ROWS = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in licenses.TEMPLATES.items())
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_toxicity, op4_ann, op5_langid, op6_token_counts, op7_licenses, op8_topk, op9_url_filters, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_toxicity, op4_ann, op5_langid, op6_token_counts, op7_licenses, op8_topk, op9_url_filters, op10_mixing, op11_substrings)}
 
 ORACLE = {
+    "op11_substrings": r"""
+WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+placed AS (SELECT doc_id, len(words) AS n, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS at FROM split),
+windows AS (
+  SELECT * FROM (
+    SELECT doc_id, n, at, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY at ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS w FROM placed)
+  WHERE at <= n - 19),
+again AS (SELECT doc_id, at FROM (SELECT doc_id, at, row_number() OVER (PARTITION BY w ORDER BY doc_id, at) AS turn FROM windows) WHERE turn > 1),
+gone AS (SELECT DISTINCT doc_id, at + k AS at FROM again, range(0, 20) steps(k)),
+kept AS (
+  SELECT doc_id, count(*) AS left_, string_agg(word, ' ' ORDER BY at) AS words FROM placed p
+  WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = p.doc_id AND g.at = p.at) GROUP BY doc_id)
+SELECT s.doc_id, len(s.words)::BIGINT AS n_words, (len(s.words) - coalesce(k.left_, 0))::BIGINT AS n_removed, sha256(coalesce(k.words, '')) AS kept_sha256
+FROM split s LEFT JOIN kept k USING (doc_id)
+""",
     "op7_licenses": r"""
 WITH passages AS (
   SELECT DISTINCT doc_id, p FROM (
