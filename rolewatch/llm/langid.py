@@ -51,8 +51,10 @@ SMOOTHING = 0.1
 #: Probability of a letter that no piece covers.
 FLOOR = 1e-9
 LOG_FLOOR = log(FLOOR)
-#: How far, in logarithms per letter, a text may fit worse than the median text of its language.
-MARGIN = 2.75
+#: How far, in logarithms per letter, a text may fit worse than the median text of its language: a long one, and what a short one may in addition,
+#: divided by the root of its letters, as its mean varies more.
+MARGIN = 1.5
+MARGIN_OF_SHORT = 6.0
 #: A text's evidence is divided by this, as the words of a text are not independent.
 TEMPER = 4.0
 
@@ -259,13 +261,13 @@ class Model:
                 logs[w] = np.array(self.lattice.log_probability(w, self.columns))
         return {chunk: np.append(sum(logs[w] for w in found), sum(map(len, found))).tobytes() if found else b"" for chunk, found in parts.items()}
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float | None]]:
-        """Language, its probability, and the mean logarithm per letter under it, for each text of a batch."""
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float | None, float]]:
+        """Language, its probability, the mean logarithm per letter under it, and the letters, for each text of a batch."""
         return [p for n in range(0, len(texts), TEXTS) for p in self.predict_some(texts[n : n + TEXTS])]
 
-    def predict_some(self, texts: list[str | None]) -> list[tuple[str, float, float | None]]:
+    def predict_some(self, texts: list[str | None]) -> list[tuple[str, float, float | None, float]]:
         if not self.languages:
-            return [(UNKNOWN, 0.0, None)] * len(texts)
+            return [(UNKNOWN, 0.0, None, 0.0)] * len(texts)
         counts = [Counter((text or "").split()) for text in texts]
         mine, missing = {}, []
         for chunk in set().union(*counts):
@@ -284,14 +286,14 @@ class Model:
         for found in counts:
             held = [(v, n) for c, n in found.items() if (v := mine[c])]
             if not held:
-                out.append((UNKNOWN, 0.0, None))
+                out.append((UNKNOWN, 0.0, None, 0.0))
                 continue
             values = np.frombuffer(b"".join([v for v, _ in held])).reshape(len(held), -1)
             *evidence, letters = np.array([n for _, n in held], float) @ values
             evidence = np.array(evidence)
             best = int(evidence.argmax())
             shares = np.exp((evidence - evidence[best]) / TEMPER)
-            out.append((self.languages[best], float(1.0 / shares.sum()), float(evidence[best] / letters)))
+            out.append((self.languages[best], float(1.0 / shares.sum()), float(evidence[best] / letters), float(letters)))
         return out
 
 
@@ -311,7 +313,7 @@ def identify(rows: DataFrame, model: Model, text: str = "text", fit: str | None
     """Add ``lang_pred`` and ``score``, the probability of that language among those learned.
 
     ``fit`` names a further column: the mean logarithm of the text's probability per letter under that language.  It does not
-    depend on how many languages there are; a text in none of them has a low one.
+    depend on how many languages there are; a text in none of them has a low one.  With it comes ``letters``, their number.
     """
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
@@ -319,17 +321,17 @@ def identify(rows: DataFrame, model: Model, text: str = "text", fit: str | None
         ready = kept_by_worker("langid", sent.value, sent.value.ready)  # with the evidence of known chunks, from task to task
 
         def apply(texts: pa.Array) -> list[list]:
-            parts = zip(*ready.predict(texts.to_pylist()), strict=True) if len(texts) else [(), (), ()]
+            parts = zip(*ready.predict(texts.to_pylist()), strict=True) if len(texts) else [()] * 4
             return [list(part) for part in parts][: len(made)]
 
         return apply
 
-    made = {"lang_pred": T.StringType(), "score": T.DoubleType(), **({fit: T.DoubleType()} if fit else {})}
+    made = {"lang_pred": T.StringType(), "score": T.DoubleType(), **({fit: T.DoubleType(), "letters": T.DoubleType()} if fit else {})}
     return with_computed(rows, text, made, work)
 
 
 def least_fits(sample: DataFrame, model: Model, text: str = "text", lang: str = "lang", margin: float = MARGIN) -> dict[str, float]:
-    """Per language the fit below which a text is of none: ``margin`` below the median of the sampled texts found to be in their own language.
+    """Per language the fit below which a long text is of none: ``margin`` below the median of the sampled texts found to be in their own language.
 
     A median is not moved by odd texts in the sample.  One number per language comes to the driver.
     """
@@ -339,11 +341,11 @@ def least_fits(sample: DataFrame, model: Model, text: str = "text", lang: str =
     return {r["lang_pred"]: r["middle"] - margin for r in rows}
 
 
-def of_a_language(lang_pred: Column, fit: Column, least: dict[str, float]) -> Column:
+def of_a_language(lang_pred: Column, fit: Column, letters: Column, least: dict[str, float]) -> Column:
     """Whether a text has a language: one was found, and the text fits it as its texts do."""
     enough = F.lit(False)
     for lang, value in sorted(least.items()):
-        enough = F.when(lang_pred == lang, fit >= value).otherwise(enough)
+        enough = F.when(lang_pred == lang, fit >= value - MARGIN_OF_SHORT / F.sqrt(letters)).otherwise(enough)
     return F.coalesce((lang_pred != UNKNOWN) & enough, F.lit(False))
 
 

@@ -90,16 +90,16 @@ QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_toxicity, op4_ann,
 ORACLE = {
     "op11_substrings": r"""
 WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
-placed AS (SELECT doc_id, len(words) AS n, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS at FROM split),
+placed AS (SELECT doc_id, len(words) AS n, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS spot FROM split),
 windows AS (
   SELECT * FROM (
-    SELECT doc_id, n, at, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY at ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS w FROM placed)
-  WHERE at <= n - 19),
-again AS (SELECT doc_id, at FROM (SELECT doc_id, at, row_number() OVER (PARTITION BY w ORDER BY doc_id, at) AS turn FROM windows) WHERE turn > 1),
-gone AS (SELECT DISTINCT doc_id, at + k AS at FROM again, range(0, 20) steps(k)),
+    SELECT doc_id, n, spot, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY spot ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS w FROM placed)
+  WHERE spot <= n - 19),
+again AS (SELECT doc_id, spot FROM (SELECT doc_id, spot, row_number() OVER (PARTITION BY w ORDER BY doc_id, spot) AS turn FROM windows) WHERE turn > 1),
+gone AS (SELECT DISTINCT doc_id, spot + k AS spot FROM again, range(0, 20) steps(k)),
 kept AS (
-  SELECT doc_id, count(*) AS left_, string_agg(word, ' ' ORDER BY at) AS words FROM placed p
-  WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = p.doc_id AND g.at = p.at) GROUP BY doc_id)
+  SELECT doc_id, count(*) AS left_, string_agg(word, ' ' ORDER BY spot) AS words FROM placed p
+  WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = p.doc_id AND g.spot = p.spot) GROUP BY doc_id)
 SELECT s.doc_id, len(s.words)::BIGINT AS n_words, (len(s.words) - coalesce(k.left_, 0))::BIGINT AS n_removed, sha256(coalesce(k.words, '')) AS kept_sha256
 FROM split s LEFT JOIN kept k USING (doc_id)
 """,

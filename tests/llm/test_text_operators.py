@@ -232,7 +232,7 @@ def test_texts_in_no_language_fit_none(spark):
     model = langid.learn(sample)
     least = langid.least_fits(sample, model)
     texts = documents.select("text").unionByName(spark.createDataFrame([("Москва столица России " * 9,), ("東京は日本の首都" * 9,), ("12",), (None,)], "text string"))
-    kept = langid.identify(texts, model, fit="fit").where(langid.of_a_language(F.col("lang_pred"), F.col("fit"), least))
+    kept = langid.identify(texts, model, fit="fit").where(langid.of_a_language(F.col("lang_pred"), F.col("fit"), F.col("letters"), least))
     assert 0.995 * documents.count() <= kept.count() <= documents.count()
     assert kept.where("text like 'Моск%' or text like '東%'").count() == 0
     assert langid.least_fits(sample.limit(0), model) == {}
