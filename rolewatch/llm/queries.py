@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, licenses, mixing, simhash, substrings, token_counts, topk, toxicity, url_filters
+from . import ann, bpe, hard_negatives, langid, licenses, mixing, simhash, substrings, token_counts, topk, toxicity, url_filters
 from .common import held_out, read
 
 
@@ -83,11 +83,34 @@ def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth vector as anchor; every seventh carries the next label, so that labels and nearness differ."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return hard_negatives.mine(rows, F.col("_id") % 100 == 0)
+
+
 TEMPLATE_ROWS = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in licenses.TEMPLATES.items())
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_toxicity, op4_ann, op5_langid, op6_token_counts, op7_licenses, op8_topk, op9_url_filters, op10_mixing, op11_substrings)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_toxicity, op4_ann, op5_langid, op6_token_counts, op7_licenses, op8_topk, op9_url_filters, op10_mixing, op11_substrings, op12_hard_negatives)}
 
 ORACLE = {
+    "op12_hard_negatives": """
+WITH usable AS (
+  SELECT vec_id, min({'v': list_transform(embedding, lambda x: floor(256 * x::DOUBLE)), 'label': CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END}) AS r
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding) GROUP BY vec_id),
+pairs AS (
+  SELECT q.vec_id AS anchor_id, c.vec_id, q.r.label = c.r.label AS same, list_inner_product(q.r.v, c.r.v)::BIGINT AS score
+  FROM usable q JOIN usable c ON q.vec_id <> c.vec_id AND len(q.r.v) = len(c.r.v) WHERE q.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+ranked AS (
+  SELECT p.anchor_id, p.positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.vec_id) AS rank,
+    n.vec_id AS negative_id, p.positive_score, n.score AS negative_score
+  FROM positives p JOIN pairs n ON n.anchor_id = p.anchor_id AND NOT n.same AND 30 * p.positive_score <= 100 * n.score AND 100 * n.score <= 90 * p.positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 10
+""",
     "op11_substrings": r"""
 WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
 placed AS (SELECT doc_id, len(words) AS n, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS spot FROM split),
