@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, hard_negatives, langid, licenses, mixing, simhash, substrings, token_counts, topk, toxicity, url_filters
+from . import ann, bpe, hard_negatives, langid, licenses, mixing, simhash, spelling, substrings, token_counts, topk, toxicity, url_filters
 from .common import held_out, read
 
 
@@ -90,9 +90,14 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(rows, F.col("_id") % 100 == 0)
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One of 31 occurrences of a word, by hash, is first damaged, so that there are variants to find."""
+    return spelling.group_variants(read(spark, sf_dir, "documents"), one_in=spelling.DAMAGED)
+
+
 TEMPLATE_ROWS = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in licenses.TEMPLATES.items())
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_toxicity, op4_ann, op5_langid, op6_token_counts, op7_licenses, op8_topk, op9_url_filters, op10_mixing, op11_substrings, op12_hard_negatives)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_bpe, op3_toxicity, op4_ann, op5_langid, op6_token_counts, op7_licenses, op8_topk, op9_url_filters, op10_mixing, op11_substrings, op12_hard_negatives, op13_spelling)}
 
 ORACLE = {
     "op12_hard_negatives": """
