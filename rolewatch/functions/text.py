@@ -27,7 +27,7 @@ ANY = r"[^\n\r\u2028\u2029]"
 # A quote opens a value only directly after an equals sign; elsewhere it is a character like any other.
 ATTRS = r"""(?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+"""
 
-_RAW_ELEMENTS = "script|style|noscript|textarea|iframe|xmp|noembed|noframes"
+RAW_ELEMENTS = "script|style|noscript|textarea|iframe|xmp|noembed|noframes"
 
 # Character references.  Old names work without a semicolon, in attributes only at a word's end.
 _OLD_NAMES = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True))
@@ -199,7 +199,7 @@ def strip_markup(markup: Column, passes: int = 1) -> Column:
 
 def element_markup(html: Column) -> Column:
     """A page without comments and without elements whose content is not markup."""
-    hidden = rf"(?is)<!--.*?-->|<({_RAW_ELEMENTS})(?=[\s/>]){ATTRS}>.*?</\1\s*>"
+    hidden = rf"(?is)<!--.*?-->|<({RAW_ELEMENTS})(?=[\s/>]){ATTRS}>.*?</\1\s*>"
     return F.regexp_replace(html, hidden, "")
 
 

@@ -434,6 +434,12 @@ def stitch_pages(payloads: DataFrame, *boards: str, run: tuple[str, ...] = ("sou
     return asked_pages(page_facts(payloads, *chosen), run, **limits).withColumnRenamed("records", "record_count")
 
 
+def asked_payloads(payloads: DataFrame, asked: DataFrame, run: tuple[str, ...] = ("scan_id", "source_id")) -> DataFrame:
+    """The landed rows, with their bodies, of the pages in ``asked``, which come from ``asked_pages`` or ``stitch_pages``."""
+    keys = [*run, *PAGE_KEY]
+    return payloads.join(asked.select(*keys), keys, "left_semi").select(*payloads.columns)
+
+
 def failed_pages(asked: DataFrame) -> DataFrame:
     """One row per scan and source with at least one asked page that lacks the expected records."""
     message = _per_board(list(BOARDS), lambda b: F.lit(b.failure)).alias("message")

@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import sys
-
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,11 +30,9 @@ from ..functions.text import (
 )
 from ..functions.urls import canonical_url, is_job_detail_url, parsed_url, source_url_error
 from ..operators.shaping import computed, join_dimension
+from .linked_data import allow_repeated_names, linked_data_blocks, linked_data_records
 from .postings import CONTEXT, context_of, eligible, finish_postings
 
-# Executors need not have this package installed: its one Python function travels by value.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 LAYERS = ("jsonld", "pair", "tuple", "anchor")
 
 # Confidence per extraction layer.
@@ -52,19 +45,9 @@ TUPLE = rf'\[0,({_STRING})\],\[0,("https?:\\?/\\?/(?:[^"\\]++|\\.)*+")\]'
 
 _ANCHOR = rf"(?is)<a(?=[\s/>]){ATTRS}>(?:.*?)(?:</a\s*>|(?=<a[\s/>])|\z)"
 _OPENING = rf"(?is)^<a(?=[\s/>]){ATTRS}>"
-_LD_BLOCK = (
-    rf"""(?is)<script(?=[\s/>])((?=[^>]*\stype\s*=\s*["']?application/ld\+json["'\s>]){ATTRS})>(.*?)</script\s*>"""
-)
 _META = rf"(?is)<meta(?=[\s/>]){ATTRS}>"
 _TITLE = rf"(?is)<title(?=[\s/>]|>){ATTRS}>(.*?)</title\s*>"
 
-_SCRIPT_SPACE = " \t\n\v\f\r" + "".join(
-    map(chr, [0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF])
-)
-_LD_RECORD = (
-    "array<struct<title:string,url:string,description:string,employment_type:string,locations:array<string>>>"
-)
-
 
 @reused
 def _rejection(max_units: int | None) -> Column:
@@ -84,61 +67,6 @@ def admitted_pages(pages: DataFrame, max_units: int | None = None) -> DataFrame:
     return pages.withColumn("rejection", _rejection(max_units))
 
 
-# ---- linked data -----------------------------------------------------------------------------
-
-
-def _text(value: object) -> str:
-    if not isinstance(value, str):
-        return ""
-    # A lone surrogate is legal JSON but not legal UTF-8.
-    return value.strip(_SCRIPT_SPACE).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
-
-
-def _place(entry: object) -> str:
-    address = entry.get("address") if isinstance(entry, dict) else None
-    if not isinstance(address, dict):
-        return ""
-    parts = [_text(address.get(key)) for key in ("addressLocality", "addressRegion", "addressCountry")]
-    return ", ".join(p for p in parts if p)
-
-
-def _reject_constant(name: str) -> None:
-    raise ValueError(name)
-
-
-def _postings_in_block(block: str) -> list[dict]:
-    """Posting records of one linked-data block; graphs and arrays nest to any depth."""
-    try:
-        pending = [json.loads(block, parse_constant=_reject_constant)]
-    except (ValueError, RecursionError):
-        return []
-    found = []
-    while pending:
-        value = pending.pop()
-        if isinstance(value, list):
-            pending.extend(reversed(value))
-        elif isinstance(value, dict):
-            pending.append(value.get("@graph"))
-            types = value.get("@type")
-            if "JobPosting" in (types if isinstance(types, list) else [types]):
-                places = value.get("jobLocation")
-                places = places if isinstance(places, list) else [places]
-                found.append(
-                    {
-                        "title": _text(value.get("title")) or _text(value.get("name")),
-                        "url": _text(value.get("url")),
-                        "description": _text(value.get("description")),
-                        "employment_type": _text(value.get("employmentType")),
-                        "locations": [p for p in map(_place, places) if p],
-                    }
-                )
-    return found
-
-
-def _read_linked_data(blocks: pd.Series) -> pd.Series:
-    return blocks.map(lambda page: [r for block in page for r in _postings_in_block(block)])
-
-
 # ---- layers ----------------------------------------------------------------------------------
 
 
@@ -154,20 +82,15 @@ def _raw(layer: str, title: Column, href: Column, **rest: Column) -> Column:
     )
 
 
-def _linked_data(blocks: Column, base: Column) -> Column:
-    read = F.pandas_udf(_read_linked_data, _LD_RECORD)
+@reused
+def _linked_data() -> Column:
+    """Records of the linked-data blocks in column jsonld."""
 
     def one(r: Column) -> Column:
-        return _raw(
-            "jsonld",
-            r["title"],
-            F.coalesce(null_if_blank(r["url"]), base),
-            description=r["description"],
-            locations=r["locations"],
-            raw_type=r["employment_type"],
-        )
+        link = F.coalesce(null_if_blank(r["url"]), F.col("source_url"))
+        return _raw("jsonld", r["title"], link, description=r["description"], locations=r["locations"], raw_type=r["raw_type"])
 
-    return F.transform(read(blocks), one)
+    return F.transform(linked_data_records(F.col("jsonld")), one)
 
 
 def _serialised(html: Column, layer: str) -> Column:
@@ -197,7 +120,7 @@ def _layer(name: str) -> Column:
     """Records of one layer, from the columns html and source_url."""
     html = F.col("html")
     if name == "jsonld":
-        return F.regexp_extract_all(html, F.lit(_LD_BLOCK), F.lit(2))
+        return linked_data_blocks(html)
     return _anchors(html) if name == "anchor" else _serialised(html, name)
 
 
@@ -246,8 +169,8 @@ def page_postings(pages: DataFrame, *layers: str) -> DataFrame:
     context = context_of(pages)
     extracted = pages.select(*context, *[_layer(name).alias(name) for name in chosen])
     if "jsonld" in chosen:
-        # Only the linked-data blocks travel to Python, never the page.
-        extracted = extracted.withColumn("jsonld", _linked_data(F.col("jsonld"), F.col("source_url")))
+        allow_repeated_names(pages.sparkSession)
+        extracted = extracted.withColumn("jsonld", _linked_data())
     records = extracted.select(
         *context, F.posexplode(F.concat(*[F.col(n) for n in chosen])).alias("ordinal", "r")
     ).select(*context, "ordinal", "r.*")
