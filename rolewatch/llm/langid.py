@@ -37,6 +37,8 @@ LETTERS = regex.compile(r"\p{L}+")
 START = "▁"
 #: Words counted in a task before they are handed on; bounds a task's memory.
 COUNTED_WORDS = 500_000
+#: Bytes of evidence of known chunks that a worker holds.
+STORED_EVIDENCE = 96 << 20
 #: Words of up to so many letters are summed together: no sum of theirs falls out of range.
 SHORT_WORD = 30
 #: Texts whose new words are summed together.
@@ -244,7 +246,7 @@ class Model:
             self.lattice = Lattice(self.pieces)
             self.columns = [[*column, FLOOR] for column in self.table.T.tolist()]
             self.rows = np.vstack([self.table, np.full(self.table.shape[1], FLOOR)])
-            self.known = Recent()
+            self.known = Recent(limit=STORED_EVIDENCE)
         return self
 
     def __getstate__(self):

@@ -183,7 +183,7 @@ def describe(rows: DataFrame, odds: dict[int, dict[str, float]], text: str, name
     given = rows.withColumn(name, F.struct(F.col(f"`{text}`").cast("string").alias("text"), (F.col(by_fold) if by_fold else F.lit(0)).cast("int").alias("part")))
 
     def work():
-        by = kept_by_worker("toxicity", sent.value, lambda: {k: Describer(v, STORE_BYTES // len(sent.value)) for k, v in sent.value.items()})
+        by = kept_by_worker("toxicity", sent.value, lambda: {k: Describer(v, 2 * STORE_BYTES // len(sent.value)) for k, v in sent.value.items()})
 
         def apply(column: pa.Array) -> list:
             texts, parts = column.field("text").to_pylist(), column.field("part").to_pylist()
