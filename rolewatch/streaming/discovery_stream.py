@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -12,50 +13,63 @@ from ..operators import outbox, replay
 from ..operators.scans import summarize_runs
 from ..plans import discovery
 from ..schemas import DELIVERY, LANDED, POSTING, SCAN_END, SNAPSHOT
-from . import tables
+from ..sources.board_payloads import asked_pages, page_facts
+from . import arrivals, tables
 
 SCANS = "source_id STRING, scanned_at TIMESTAMP"
 Targets = Callable[[SparkSession], DataFrame]
 
 
-def complete_scans(landed: DataFrame, batch: int, root: str) -> DataFrame:
-    """Rows of the scans that have landed whole; the rest is held back for a later batch.
+def landed_pages(spark: SparkSession, landed_path: str, places: DataFrame) -> DataFrame:
+    """The landed rows at ``places`` (file, row), read from the files where they landed."""
+    files = [unquote(r.file) for r in places.select("file").distinct().collect()]
+    if not files:
+        return spark.createDataFrame([], LANDED)
+    rows = spark.read.schema(LANDED).option("basePath", landed_path).parquet(*files)
+    columns = spark.createDataFrame([], LANDED).columns
+    placed = rows.select(*columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    wanted = places.select(F.col("file").alias("_file"), F.col("row").alias("_row"))
+    return placed.join(wanted, ["_file", "_row"], "left_semi").select(*columns)
 
-    A crawler ends a scan with a row of provider SCAN_END, whose page_no is the number of the scan's other
-    rows.  Only one folder of held rows is read, that of the batch before.  Rows of a scan that land after it was
-    complete wait for another end.
+
+def process_finished(finished: DataFrame, batch: int, landed_path: str, root: str, targets: Targets) -> None:
+    """One micro-batch of scans that are whole or given up; see ``arrivals``.
+
+    Bodies stay in the landed files until their scan is whole, and are read there.  Scans that were given up
+    and surplus pages go to the ``incomplete`` table, by scan and place.
     """
-    spark = landed.sparkSession
-    rows = tables.read_version(spark, root, "held", LANDED, batch).unionByName(landed.select(*spark.createDataFrame([], LANDED).columns))
-    is_end = F.col("provider") == SCAN_END
-    counts = rows.groupBy("scan_id").agg(F.count_if(~is_end).alias("_rows"), F.max(F.when(is_end, F.col("page_no"))).alias("_end"))
-    # Written out first: Spark then knows its size and can keep the bodies in place.
-    tables.append(counts.where(F.col("_rows") >= F.col("_end")).select("scan_id"), root, "complete", batch)
-    complete = spark.read.schema("scan_id STRING").parquet(f"{root}/complete/batch={batch}")
-    tables.append(rows.join(complete, "scan_id", "left_anti").select(*rows.columns), root, "held", batch)
-    return rows.join(complete, "scan_id", "left_semi").where(~is_end).select(*rows.columns)
+    spark = finished.sparkSession
+    tables.append(finished, root, "finished", batch)
+    known = spark.read.schema(arrivals.FINISHED).parquet(f"{root}/finished/batch={batch}")
+    tables.append(known.where("status <> 'complete'"), root, "incomplete", batch)
+    complete = known.where("status = 'complete'")
+    if complete.isEmpty():
+        tables.carry(spark, root, batch)
+    else:
+        process_batch(landed_pages(spark, landed_path, complete), batch, root, targets)
 
 
-def process_batch(landed: DataFrame, batch: int, root: str, targets: Targets, end_markers: bool = True) -> None:
-    """One micro-batch, which may hold several scans in any order, and parts of scans.
+def process_batch(landed: DataFrame, batch: int, root: str, targets: Targets) -> None:
+    """One micro-batch of whole scans, several of them in any order.
 
-    Without ``end_markers`` each scan must land in one file.  A scan that is not newer than the last one
-    of its source goes to the ``late`` table instead of rewriting history.
+    A scan that is not newer than the last one of its source goes to the ``late`` table instead of rewriting history.
     """
     spark = landed.sparkSession
-    if end_markers:
-        landed = complete_scans(landed, batch, root)
+    landed = landed.where(F.col("provider") != SCAN_END)
     # Tables instead of cached plans: they survive lost executors and keep the later plans small.
-    tables.append(discovery.extract(landed, targets(spark)), root, "extracted", batch)
+    tables.append(asked_pages(page_facts(landed)), root, "asked", batch)
+    asked = spark.read.parquet(f"{root}/asked/batch={batch}")
+    tables.append(discovery.extract(landed, targets(spark), asked), root, "extracted", batch)
     found = spark.read.schema(POSTING + ", scan_id STRING").parquet(f"{root}/extracted/batch={batch}")
-    tables.append(discovery.results_of(landed, found), root, "source_results", batch)
+    tables.append(discovery.results_of(landed, found, asked), root, "source_results", batch)
     results = spark.read.parquet(f"{root}/source_results/batch={batch}")
     _apply(spark, discovery.winners_of(found, results), results, batch, root)
 
 
 def _apply(spark: SparkSession, postings: DataFrame, results: DataFrame, batch: int, root: str) -> None:
-    # One row per source, as of the batch before.
-    last = tables.read_version(spark, root, "last_scans", SCANS, batch)
+    folders = tables.current_folders(spark, root, batch)
+    # One row per source, as of the last batch that had any.
+    last = tables.read_version(spark, root, "last_scans", SCANS, folders.get(tables.LAST_SCANS))
     dated = results.join(last.withColumnRenamed("scanned_at", "_last"), "source_id", "left")
     in_time = F.coalesce(F.col("scanned_at") > F.col("_last"), F.lit(True))
     good = F.col("status") == "SUCCESS"
@@ -63,7 +77,6 @@ def _apply(spark: SparkSession, postings: DataFrame, results: DataFrame, batch:
 
     # A bucket holds whole companies; only buckets with a scanned company are read and rewritten.
     touched = {r.b for r in results.select(tables.bucket_of(F.col("company_id")).alias("b")).distinct().collect()}
-    folders = tables.current_folders(spark, root, batch)
     stored = tables.read_buckets(spark, root, SNAPSHOT, {b: n for b, n in folders.items() if b in touched})
 
     columns = [c for c in postings.columns if c != "scan_id"]
@@ -89,29 +102,40 @@ def _apply(spark: SparkSession, postings: DataFrame, results: DataFrame, batch:
     tables.write_buckets(replay.replay_snapshot(fresh, scans, stored), root, batch)
     # A batch without a posting and without a stored one writes no file, hence the given schema.
     written = spark.read.schema("bucket INT").parquet(f"{root}/snapshot/batch={batch}").select("bucket").distinct().collect()
-    tables.commit(spark, root, batch, folders | {r.bucket: batch for r in written})
+    tables.commit(spark, root, batch, folders | {r.bucket: batch for r in written} | {tables.LAST_SCANS: batch})
 
 
 def start_discovery(
-    spark: SparkSession, landed_path: str, root: str, checkpoint: str, targets: Targets, max_files: int | None = None, end_markers: bool = True
+    spark: SparkSession,
+    landed_path: str,
+    root: str,
+    checkpoint: str,
+    targets: Targets,
+    max_files: int | None = None,
+    end_markers: bool = True,
+    wait: str = arrivals.WAIT,
+    arrived: Column | None = None,
 ) -> StreamingQuery:
     """Process all landed files that are new since the last run, then stop.
 
     ``root`` and ``checkpoint`` lie on storage every executor reaches.  ``targets`` reads the watchlist
-    anew for each micro-batch.
+    anew for each micro-batch.  Without ``end_markers`` each scan must land in one file.  ``wait`` is how long a scan
+    may stand still before it is given up, and how long a repeated page is recognised.
     """
     reader = spark.readStream.schema(LANDED)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return (
-        reader.parquet(landed_path)
-        .writeStream.foreachBatch(lambda df, batch: process_batch(df, batch, root, targets, end_markers))
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    landed = reader.parquet(landed_path)
+    if end_markers:
+        arrivals.use_state_store(spark)
+        finished = arrivals.finished_scans(landed, wait, arrived)
+        writer = finished.writeStream.foreachBatch(lambda df, batch: process_finished(df, batch, landed_path, root, targets))
+    else:
+        writer = landed.writeStream.foreachBatch(lambda df, batch: process_batch(df, batch, root, targets))
+    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current_snapshot(spark: SparkSession, root: str, batches: int) -> DataFrame:
-    """The state after the first ``batches`` committed batches."""
+def current_snapshot(spark: SparkSession, root: str, batches: int | None = None) -> DataFrame:
+    """The state after the first ``batches`` batches, by default after all committed ones."""
+    batches = tables.committed(spark, root) if batches is None else batches
     return tables.read_buckets(spark, root, SNAPSHOT, tables.current_folders(spark, root, batches))

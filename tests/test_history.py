@@ -1,7 +1,9 @@
 """Merge, replay and the stream against a fold that handles one scan after the other."""
 
 import json
+import os
 import random
+import shutil
 from datetime import datetime, timedelta
 
 import pytest
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rolewatch.operators import replay, snapshot
 from rolewatch.schemas import LANDED, POSTING, SNAPSHOT
-from rolewatch.streaming import discovery_stream, tables
+from rolewatch.streaming import arrivals, discovery_stream, tables
 
 START = datetime(2026, 8, 1)
 
@@ -212,7 +214,7 @@ def run_stream(spark, tmp_path, groups, name):
         spark.createDataFrame(rows, LANDED).coalesce(1).write.mode("append").parquet(folder)
         query = discovery_stream.start_discovery(spark, folder, root, checkpoint, targets)
         query.awaitTermination()
-    state = discovery_stream.current_snapshot(spark, root, len(groups))
+    state = discovery_stream.current_snapshot(spark, root)
     tables = {t: spark.read.parquet(f"{root}/{t}") for t in ("changes", "deliveries", "scan_runs", "source_results", "late")}
     return as_state(state), tables, (folder, root, targets)
 
@@ -237,8 +239,9 @@ def test_stream_in_batches_equals_all_at_once(spark, tmp_path):
 
     # Running the last batch again changes nothing.
     rows = [r for n in (3, 4) for r in landed_rows(n, START + timedelta(hours=n), *SCANS[n])]
-    discovery_stream.process_batch(spark.createDataFrame(rows, LANDED), 2, root, targets)
-    assert as_state(discovery_stream.current_snapshot(spark, root, 3)) == apart
+    last = spark.read.parquet(f"{root}/changes").agg(F.max("batch")).first()[0]
+    discovery_stream.process_batch(spark.createDataFrame(rows, LANDED), last, root, targets)
+    assert as_state(discovery_stream.current_snapshot(spark, root, last + 1)) == apart
     assert spark.read.parquet(f"{root}/changes").count() == len(kinds)
 
 
@@ -276,7 +279,7 @@ def test_first_batch_without_any_posting(spark, tmp_path):
     batches = [[shell, end_of("s0", 1, START)], [board_page("s1", 1, later, 1, 7), end_of("s1", 1, later)]]
     root = land_and_run(spark, tmp_path, "shell", batches)
     assert discovery_stream.current_snapshot(spark, root, 1).count() == 0
-    assert [r.title for r in discovery_stream.current_snapshot(spark, root, 2).collect()] == ["Data Intern 7"]
+    assert [r.title for r in discovery_stream.current_snapshot(spark, root).collect()] == ["Data Intern 7"]
 
 
 def test_scan_over_two_batches_equals_one(spark, tmp_path):
@@ -286,23 +289,74 @@ def test_scan_over_two_batches_equals_one(spark, tmp_path):
     end = end_of("s", 3, START + five)
     whole = land_and_run(spark, tmp_path, "whole", [[*pages, other, end]])
     split = land_and_run(spark, tmp_path, "split", [[pages[0], end], [pages[1]], [other]])
-    one, two = discovery_stream.current_snapshot(spark, whole, 1), discovery_stream.current_snapshot(spark, split, 3)
+    one, two = discovery_stream.current_snapshot(spark, whole), discovery_stream.current_snapshot(spark, split)
     assert as_state(one) == as_state(two) and one.count() == 4
     assert {r.last_seen_at for r in two.collect()} == {START}
-    assert spark.read.parquet(f"{split}/late").count() == 0 and spark.read.parquet(f"{split}/held/batch=2").count() == 0
+    assert spark.read.parquet(f"{split}/late").count() == 0 and spark.read.parquet(f"{split}/incomplete").count() == 0
     found = {r.source_id: r.discovered_count for r in spark.read.parquet(f"{split}/source_results").collect()}
     assert found == {"eight": 4, "second": 1}
-    assert discovery_stream.current_snapshot(spark, split, 2).count() == 0
+    done = spark.read.parquet(f"{split}/extracted").agg(F.min("batch")).first()[0]
+    assert discovery_stream.current_snapshot(spark, split, done).count() == 0
 
 
 def test_state_is_read_from_one_folder_however_long_the_history(spark, tmp_path):
     root = str(tmp_path / "long")
     for n in range(200):
         tables.append(spark.createDataFrame([("s", START)], discovery_stream.SCANS).coalesce(1), root, "last_scans", n) if n in (0, 198, 199) else None
-    last = tables.read_version(spark, root, "last_scans", discovery_stream.SCANS, 200)
+    last = tables.read_version(spark, root, "last_scans", discovery_stream.SCANS, 199)
     assert len(last.inputFiles()) == 1
 
 
+def test_pages_landed_twice_and_end_first(spark, tmp_path):
+    one, two = board_page("s", 1, START, 4, 1, 2), board_page("s", 2, START, 4, 3, 4)
+    whole = land_and_run(spark, tmp_path, "once", [[one, two, end_of("s", 2, START)]])
+    again = land_and_run(spark, tmp_path, "with space", [[end_of("s", 2, START), one], [one, one], [two, one], [two]])
+    assert as_state(discovery_stream.current_snapshot(spark, again)) == as_state(discovery_stream.current_snapshot(spark, whole))
+    assert discovery_stream.current_snapshot(spark, again).count() == 4
+    assert [r.discovered_count for r in spark.read.parquet(f"{again}/source_results").collect()] == [4]
+    assert spark.read.parquet(f"{again}/changes").count() == 4
+    assert spark.read.parquet(f"{again}/incomplete").count() == 0
+
+
+def landed_files(spark, folder, files):
+    """Each list of rows becomes one file that arrived at the given hour."""
+    for n, (hour, rows) in enumerate(files):
+        part = f"{folder}-parts/{n}"
+        spark.createDataFrame(rows, LANDED).coalesce(1).write.parquet(part)
+        (name,) = [x for x in os.listdir(part) if x.endswith(".parquet")]
+        os.makedirs(folder, exist_ok=True)
+        shutil.copyfile(f"{part}/{name}", f"{folder}/{n}.parquet")
+        os.utime(f"{folder}/{n}.parquet", (1_700_000_000 + 3600 * hour,) * 2)
+
+
+def test_scans_that_never_end_are_given_up_and_state_stays_flat(spark, tmp_path):
+    folder = str(tmp_path / "arrivals")
+    files = [(0, [board_page("never", 1, START, 9, 1), board_page("short", 1, START, 9, 1), end_of("short", 2, START)])]
+    for n in range(50):
+        rows = [board_page(f"s{n}", 1, START, 2, 1), board_page(f"s{n}", 2, START, 2, 2), end_of(f"s{n}", 2, START)]
+        repeated = [board_page(f"s{n - 1}", 2, START, 2, 2)] if n else []
+        files.append((n, rows + rows[:1] + repeated))
+    files.append((60, [board_page("never", 2, START, 9, 2), end_of("z", 0, START)]))
+    files.append((90, [end_of("zz", 0, START)]))
+    landed_files(spark, folder, files)
+    arrivals.use_state_store(spark)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        stream = spark.readStream.schema(LANDED).option("maxFilesPerTrigger", 1).parquet(folder)
+        found = arrivals.finished_scans(stream, "5 hours", F.col("_metadata.file_modification_time"))
+        query = found.writeStream.format("parquet").option("checkpointLocation", f"{folder}-state").trigger(availableNow=True).start(f"{folder}-out")
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    rows = spark.read.schema(arrivals.FINISHED).parquet(f"{folder}-out").groupBy("scan_id", "status").count().collect()
+    assert {(r.scan_id, r.status): r["count"] for r in rows} == {
+        **{(f"s{n}", "complete"): 2 for n in range(50)}, ("short", "incomplete"): 1, ("never", "incomplete"): 2
+    }
+    sizes = [sum(o["numRowsTotal"] for o in json.loads(p.json)["stateOperators"]) for p in query.recentProgress]
+    assert len(sizes) >= 50 and max(sizes[30:50]) <= max(sizes[12:30])
+
+
 def test_results_of_a_scan_whose_pages_differ_in_time(spark):
     from rolewatch.plans import discovery
 
