@@ -83,8 +83,18 @@ def _texts(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def mark_edges(value: Column) -> Column:
+    """Text with a mark where no word character stands before, and another where none follows.
+
+    A keyword stands in a text as a whole exactly if the marked keyword occurs in the marked text: inside they have the same marks, and at its
+    ends the keyword has those of an edge.  So keywords need no pattern of their own.
+    """
+    after = F.regexp_replace(value, r"(?<!\w)", "\uFDD1")
+    return F.regexp_replace(after, r"(?<!\uFDD1)(?=\uFDD1?(?:[^\w\uFDD1]|\z))", "\uFDD2")
+
+
 def keyword_rules(role_keywords: Column) -> Column:
-    """What a target's keywords demand: kinds of role allowed, and one pattern for the fields of work.
+    """What a target's keywords demand: kinds of role allowed, and the keywords for the fields of work, plain and with their word edges marked.
 
     Evaluate it once per target, before the join to postings.
     """
@@ -94,14 +104,11 @@ def keyword_rules(role_keywords: Column) -> Column:
         generic = F.array_intersect(words, _texts(GENERIC_KEYWORDS))
         specific = F.array_except(words, _texts(GENERIC_KEYWORDS))
         ungated = F.size(generic) == 0
-        alternatives = F.array_join(F.transform(specific, lambda w: escape_pattern(w)), "|")
         return F.struct(
             (ungated | F.arrays_overlap(generic, _texts(INTERNSHIP_KEYWORDS))).alias("internships"),
             (ungated | F.arrays_overlap(generic, _texts(NEW_GRAD_KEYWORDS))).alias("new_grads"),
-            F.when(
-                F.size(specific) > 0,
-                F.concat(F.lit(r"(?:^|\W)(?:"), alternatives, F.lit(r")(?=\W|\z)")),
-            ).alias("pattern"),
+            specific.alias("plain"),
+            F.transform(specific, lambda w: mark_edges(w)).alias("marked"),
         )
 
     return let(cleaned, rules)
@@ -111,7 +118,12 @@ def satisfies_rules(title: Column, description: Column, rules: Column) -> Column
     """The company's own part of the match, for titles already known to be eligible."""
     allowed = F.when(title.rlike(INTERNSHIP), rules["internships"]).otherwise(rules["new_grads"])
     haystack = F.lower(F.concat(title, F.lit(" "), text_or_empty(description)))
-    named = F.when(rules["pattern"].isNull(), F.lit(True)).otherwise(F.rlike(haystack, rules["pattern"]))
+    # Most keywords do not occur at all; only where one does are the edges of the text marked.
+    at_edges = let(haystack, lambda text: F.exists(rules["plain"], lambda w: F.contains(text, w)) & let(
+        F.when(F.exists(rules["plain"], lambda w: F.contains(text, w)), mark_edges(text)),
+        lambda marked: F.exists(rules["marked"], lambda w: F.contains(marked, w)),
+    ))
+    named = F.when(F.size(rules["plain"]) == 0, F.lit(True)).otherwise(at_edges)
     return lit_true(allowed & named)
 
 

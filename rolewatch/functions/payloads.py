@@ -14,6 +14,7 @@ EVENT_COLOR = 0x4285F4
 
 # Seconds until the next attempt after the first, second, third and later failures.
 BACKOFF_SECONDS = [60, 300, 900, 3600]
+# UTF-16 units that the original keeps of an error and of a description; limits a caller may ask for.
 ERROR_LENGTH = 500
 DESCRIPTION_LENGTH = 3000
 
@@ -24,8 +25,10 @@ def iso_instant(at: Column) -> Column:
     return F.date_format(at, ISO_MILLIS)
 
 
-def utf16_prefix(value: Column, units: int) -> Column:
-    """The first ``units`` UTF-16 units, as string slicing counts them; a split pair is replaced."""
+def utf16_prefix(value: Column, units: int | None) -> Column:
+    """The first ``units`` UTF-16 units, as string slicing counts them; a split pair is replaced.  Without a number, all of it."""
+    if units is None:
+        return value
 
     def cut(text: Column) -> Column:
         encoded = F.substring(F.encode(text, "UTF-16BE"), 1, 2 * units)
@@ -84,8 +87,10 @@ def job_message(
     )
 
 
-def event_message(event: dict[str, Column], company_name: Column, change: Column, sender: str = "Rolewatch") -> Column:
-    """JSON body that announces a recruiting event.  ``event`` maps column names to columns."""
+def event_message(
+    event: dict[str, Column], company_name: Column, change: Column, sender: str = "Rolewatch", description_length: int | None = None
+) -> Column:
+    """JSON body that announces a recruiting event.  ``event`` maps column names to columns; ``description_length`` is the channel's limit, if it has one."""
     local = F.date_format(
         F.from_utc_timestamp(event["starts_at"], event["timezone"]), "M/d/yyyy, h:mm:ss a"
     )
@@ -93,7 +98,7 @@ def event_message(event: dict[str, Column], company_name: Column, change: Column
         event["title"].alias("title"),
         event["registration_url"].alias("url"),
         F.lit(EVENT_COLOR).alias("color"),
-        utf16_prefix(event["description"], DESCRIPTION_LENGTH).alias("description"),
+        utf16_prefix(event["description"], description_length).alias("description"),
         F.array(
             _field("Location", F.coalesce(event["location"], F.lit("Not announced"))),
             _field("Starts", F.coalesce(local, F.lit("Not announced"))),

@@ -21,7 +21,7 @@ def with_posting(changes: DataFrame, targets: DataFrame, postings: DataFrame, *c
     slim = postings.select(
         F.col("id").alias("job_id"), F.col("title").alias("job_title"), "application_url", *columns
     )
-    return join_skewed(named, slim, ["job_id"])
+    return join_skewed(named, slim, ["job_id"], keyed=changes.select("job_id"))
 
 
 def inbox(changes: DataFrame, targets: DataFrame, postings: DataFrame, unread_only: bool = False) -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import delivery_id
-from ..functions.payloads import ERROR_LENGTH, retry_at, utf16_prefix
+from ..functions.payloads import retry_at, utf16_prefix
 from .inbox import with_posting
+from .shaping import side_by_side
 
 CHANNEL = "DISCORD"
 CLAIM_SIZE = 10
@@ -54,10 +55,11 @@ def claimable(deliveries: DataFrame, changes: DataFrame, targets: DataFrame, pos
     return due.join(items, "change_id")
 
 
-def claim(deliveries: DataFrame, changes: DataFrame, targets: DataFrame, postings: DataFrame, now: Column, limit: int = CLAIM_SIZE, channel: str = CHANNEL) -> DataFrame:
-    """The oldest claimable deliveries, with the attempt they are about to make."""
+def claim(deliveries: DataFrame, changes: DataFrame, targets: DataFrame, postings: DataFrame, now: Column, limit: int | None = CLAIM_SIZE, channel: str = CHANNEL) -> DataFrame:
+    """The oldest claimable deliveries, or all without a ``limit``, with the attempt they are about to make."""
     ready = claimable(deliveries, changes, targets, postings, now, channel)
-    return ready.orderBy("queued_at", "id").limit(limit).withColumn("attempts", F.col("attempts") + 1)
+    first = ready if limit is None else ready.orderBy("queued_at", "id").limit(limit)
+    return first.withColumn("attempts", F.col("attempts") + 1)
 
 
 def apply_claims(deliveries: DataFrame, claims: DataFrame, now: Column) -> DataFrame:
@@ -78,20 +80,47 @@ def _update(joined: DataFrame, hit: Column, updates: dict[str, Column], like: Da
     return joined.select(*columns)
 
 
-def settle(deliveries: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
-    """Apply outcomes (id, external_id, error): SENT without an error, else FAILED with a later retry."""
+def settle(deliveries: DataFrame, outcomes: DataFrame, now: Column, error_length: int | None = None) -> DataFrame:
+    """Apply outcomes (id, external_id, error): SENT without an error, else FAILED with a later retry.
+
+    Errors are kept whole, or up to ``error_length`` UTF-16 units.
+    """
     result = outcomes.select("id", F.col("external_id").alias("_external"), F.col("error").alias("_error"), F.lit(True).alias("_hit"))
     sent = F.col("_error").isNull()
     updates = {
         "status": F.when(sent, "SENT").otherwise("FAILED"),
         "external_id": F.when(sent, F.coalesce("_external", F.lit("accepted"))).otherwise(F.col("external_id")),
-        "last_error": F.when(~sent, utf16_prefix(F.col("_error"), ERROR_LENGTH)),
+        "last_error": F.when(~sent, utf16_prefix(F.col("_error"), error_length)),
         "next_attempt_at": F.when(sent, F.col("next_attempt_at")).otherwise(retry_at(now, F.col("attempts"))),
         "updated_at": now,
     }
     return _update(deliveries.join(result, "id", "left"), F.col("_hit"), updates, deliveries)
 
 
+def deliver(
+    deliveries: DataFrame,
+    changes: DataFrame,
+    targets: DataFrame,
+    postings: DataFrame,
+    outcomes: DataFrame,
+    now: Column,
+    limit: int | None = CLAIM_SIZE,
+    channel: str = CHANNEL,
+    error_length: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """One round: enqueue, claim, settle.  Gives the table after it, and one row with what was queued, claimed, sent and failed.
+
+    ``outcomes`` (id, external_id, error) are the answers to the claimed deliveries; answers to others are not applied.
+    """
+    queued = enqueue(deliveries, changes, now, channel)
+    waiting = deliveries.unionByName(queued)
+    claimed = claim(waiting, changes, targets, postings, now, limit, channel)
+    answered = outcomes.join(claimed.select("id"), "id", "left_semi")
+    after = settle(apply_claims(waiting, claimed, now), answered, now, error_length)
+    counts = side_by_side(queued.agg(F.count("*").alias("queued")), claimed.agg(F.count("*").alias("claimed")), outcome_counts(answered))
+    return after, counts
+
+
 def outcome_counts(outcomes: DataFrame) -> DataFrame:
     return outcomes.agg(
         F.count_if(F.col("error").isNull()).alias("sent"), F.count_if(F.col("error").isNotNull()).alias("failed")

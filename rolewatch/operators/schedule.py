@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cron import cron_matches
-from .shaping import positions
+from .shaping import positions, side_by_side
 
 BATCH_SIZE = 25
 INTERVAL_SECONDS = 300
@@ -51,6 +51,16 @@ def scheduled_batch(
     return due.join(batch, "company_id")
 
 
+def tick(targets: DataFrame, sources: DataFrame, now: datetime, size: int = BATCH_SIZE, interval_seconds: int = INTERVAL_SECONDS) -> DataFrame:
+    """One row about a scheduled tick: how many targets are due and how many of them this slot scans; SKIPPED when none is due."""
+    batch = scheduled_batch(targets, sources, now, size, interval_seconds)
+    moment = (now if now.tzinfo else now.replace(tzinfo=timezone.utc)).astimezone(timezone.utc).replace(tzinfo=None)
+    due = due_sources(sources, F.lit(moment).cast("timestamp_ntz")).join(targets.select(F.col("id").alias("company_id")), "company_id", "left_semi")
+    total = due.agg(F.count_distinct("company_id").alias("due_targets"))
+    scanned = batch.agg(F.count_distinct("company_id").alias("scanned_targets"), F.count("*").alias("scanned_sources"))
+    return side_by_side(total, scanned).withColumn("status", F.when(F.col("due_targets") == 0, "SKIPPED").otherwise("SCANNED"))
+
+
 def scan_tasks(targets: DataFrame, sources: DataFrame, target_limit: int | None = None, source_limit: int | None = None) -> DataFrame:
     """Sources to fetch: enabled, not an events page.
 

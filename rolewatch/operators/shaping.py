@@ -38,17 +38,19 @@ def join_skewed(
     on: list[str],
     how: str = "inner",
     salts: int = SALTS,
-    hot_keys: int = 256,
+    hot_keys: int = 4096,
     hot_rows: int = 100_000,
+    keyed: DataFrame | None = None,
 ) -> DataFrame:
     """Join many facts to a large table with one row per key, salting only the heaviest keys.
 
-    Counting keys is a map-side aggregate.  The heaviest ``hot_keys`` keys above ``hot_rows`` rows form
-    a list that is small by construction, so it may be broadcast; the rows of those keys are salted,
-    all others join as usual.  Every row takes part.
+    A key is hot with more than ``hot_rows`` rows and more than one in ``hot_keys`` of all rows.  So there are fewer than ``hot_keys`` hot keys, their
+    list may be broadcast, and no key with a larger share is left out.  Counting keys is a map-side aggregate over ``keyed``, the narrow
+    table the facts come from (by default the facts).  The rows of hot keys are salted, all others join as usual.  Every row takes part.
     """
-    counts = facts.groupBy(*on).agg(F.count("*").alias("_rows")).where(F.col("_rows") > hot_rows)
-    hot = F.broadcast(counts.orderBy(F.col("_rows").desc()).limit(hot_keys).select(*on, F.lit(True).alias("_hot")))
+    counted = (facts if keyed is None else keyed).groupBy(*on).agg(F.count("*").alias("_rows"))
+    share = counted.agg(F.coalesce(F.sum("_rows"), F.lit(0)) / hot_keys).scalar()
+    hot = F.broadcast(counted.where((F.col("_rows") > hot_rows) & (F.col("_rows") > share)).select(*on, F.lit(True).alias("_hot")))
     is_hot = F.coalesce(F.col("_hot"), F.lit(False))
     salt = F.pmod(F.xxhash64(*salt_by(facts)), F.lit(salts)).cast("int")
     spread = facts.join(hot, on, "left").withColumn("_salt", F.when(is_hot, salt).otherwise(0)).drop("_hot")
@@ -101,6 +103,16 @@ def positions(rows: DataFrame, order: list[Column], name: str = "position") -> D
     )
 
 
+def side_by_side(*rows: DataFrame) -> DataFrame:
+    """One row of whole numbers from several one-row tables with columns of their own, which are stacked and summed."""
+    names = [c for row in rows for c in row.columns]
+    total = None
+    for row in rows:
+        wide = row.select(*[F.col(n) if n in row.columns else F.lit(0).cast("bigint").alias(n) for n in names])
+        total = wide if total is None else total.unionByName(wide)
+    return total.agg(*[F.sum(n).alias(n) for n in names])
+
+
 def with_previous(rows: DataFrame, keys: list[str], at: str, columns: list[str], days: int = 7) -> DataFrame:
     """Add ``previous``: the struct of ``columns`` of the row before it among the rows of its key.
 

@@ -6,6 +6,7 @@ asked for the same table.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import classify, cron, ids, payloads, places, text, urls
 from ..operators import dedup, feed, inbox, outbox, replay, schedule, scans, snapshot, watchlist
 from ..operators.shaping import winners
+from ..session import ensure_checkpoint_dir
 from ..sources import board_payloads, boards, pages, postings, presets
 from . import discovery
 from . import fixtures as fx
@@ -93,6 +95,25 @@ def watchlist_conflicts(spark: SparkSession, d: str) -> DataFrame:
     return watchlist.conflicts(candidates, targets)
 
 
+@query
+def watchlist_save(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers saved as targets: once without a conflict, and once with conflicts, which leaves the watchlist as it is."""
+    stored = fx.view(spark, d, "v_targets").drop("n")
+    rows = fx.table(spark, d, "supplier").selectExpr(
+        "concat('t', case when s_suppkey % 2 = 0 then s_suppkey else s_suppkey + 100000000 end) as id", "s_name as name",
+        "concat('s', s_suppkey, '.example') as domain", "'LOW' as priority", "array('robotics') as role_keywords",
+        "cast(array() as array<string>) as event_keywords", "timestamp_ntz '2026-05-05 00:00:00' as created_at",
+    )
+    repeated = rows.unionByName(rows)
+    cases = []
+    for name, candidates in (("clean", rows), ("repeated", repeated)):
+        saved, found = watchlist.save_targets(stored, candidates)
+        kept = saved.select(F.lit(name).alias("case"), "id", "name", "domain", F.lit(None).cast("string").alias("conflict_id"))
+        bad = found.select(F.concat(F.lit(name), F.lit(" conflict")).alias("case"), "id", "name", "domain", "conflict_id").distinct()
+        cases += [kept, bad]
+    return cases[0].unionByName(cases[1]).unionByName(cases[2]).unionByName(cases[3])
+
+
 @query
 def watchlist_merge(spark: SparkSession, d: str) -> DataFrame:
     stored, sources = fx.view(spark, d, "v_targets").drop("n"), fx.sources(spark, d)
@@ -259,10 +280,29 @@ def scheduled_batch(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def scan_tasks(spark: SparkSession, d: str) -> DataFrame:
+    tasks = schedule.scan_tasks(fx.view(spark, d, "v_targets"), fx.sources(spark, d))
+    return tasks.select("company_id", "id", "kind", "url")
+
+
+@query
+def scan_tasks_first(spark: SparkSession, d: str) -> DataFrame:
+    """The limits of the original: 25 targets, 5 sources of each."""
     tasks = schedule.scan_tasks(fx.view(spark, d, "v_targets"), fx.sources(spark, d), target_limit=25, source_limit=5)
     return tasks.select("company_id", "id", "kind", "url")
 
 
+@query
+def scheduled_tick(spark: SparkSession, d: str) -> DataFrame:
+    return schedule.tick(fx.view(spark, d, "v_targets"), fx.sources(spark, d), datetime(2026, 8, 16, 14, 30))
+
+
+@query
+def scheduled_tick_idle(spark: SparkSession, d: str) -> DataFrame:
+    """A minute at which only the schedules that fire always, or at this minute, are due."""
+    asleep = fx.sources(spark, d).withColumn("scan_cron", F.when(F.col("scan_cron") == "* * * * *", "0 0 1 1 *").otherwise(F.col("scan_cron")))
+    return schedule.tick(fx.view(spark, d, "v_targets"), asleep, datetime(2026, 8, 16, 14, 29))
+
+
 # ---- scalar functions ------------------------------------------------------------------------
 
 
@@ -584,13 +624,16 @@ def _day(number: int) -> Column:
     return stamp(f"2024-01-{number:02d} 00:00:00")
 
 
-def _merged(spark: SparkSession, d: str) -> DataFrame:
-    """The state after day 23, built by replay, merged with the scans of day 24."""
+def _last_day(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The state after all scans but the last ones, built by replay; what the last ones saw, and their sources."""
     seen, done = fx.sightings(spark, d), fx.scans(spark, d)
-    stored = replay.replay_snapshot(seen.where(F.col("last_seen_at") < _day(SNAPSHOT_DAY)), done.where(F.col("scanned_at") < _day(SNAPSHOT_DAY)))
-    today = seen.where(F.col("last_seen_at") == _day(SNAPSHOT_DAY))
-    ticked = done.where(F.col("scanned_at") == _day(SNAPSHOT_DAY))
-    return snapshot.merge_scan(stored, today, ticked)
+    last = F.lit(done.agg(F.max("scanned_at")).first()[0])
+    stored = replay.replay_snapshot(seen.where(F.col("last_seen_at") < last), done.where(F.col("scanned_at") < last))
+    return stored, seen.where(F.col("last_seen_at") == last), done.where(F.col("scanned_at") == last)
+
+
+def _merged(spark: SparkSession, d: str) -> DataFrame:
+    return snapshot.merge_scan(*_last_day(spark, d))
 
 
 @query
@@ -603,6 +646,16 @@ def scan_changes(spark: SparkSession, d: str) -> DataFrame:
     return flat(snapshot.changes_of(_merged(spark, d)).drop("id"))
 
 
+@query
+def snapshot_merge_in_place(spark: SparkSession, d: str) -> DataFrame:
+    """The same merge with the stored side kept in a bucketed table."""
+    stored, today, ticked = _last_day(spark, d)
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/snapshots"
+    held = snapshot.hold_bucketed(stored, f"snapshot_{uuid.uuid4().hex}", folder, buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return flat(snapshot.merge_in_place(held, today, ticked).select(*STATE_COLUMNS, "change_kind"))
+
+
 @query
 def replay_changes(spark: SparkSession, d: str) -> DataFrame:
     changes = replay.replay_changes(fx.sightings(spark, d))
@@ -626,9 +679,9 @@ def missed_scans(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def late_sightings(spark: SparkSession, d: str) -> DataFrame:
-    seen, done = fx.sightings(spark, d), fx.scans(spark, d)
-    stored = replay.replay_snapshot(seen.where(F.col("last_seen_at") < _day(SNAPSHOT_DAY)), done)
-    _, late = replay.split_late(seen.where(F.col("last_seen_at") >= _day(20)), stored)
+    """All sightings, as if they arrived once more after the state of all days but the last."""
+    stored, _, _ = _last_day(spark, d)
+    _, late = replay.split_late(fx.sightings(spark, d), stored)
     return flat(late.select("id", "source_id", "last_seen_at"))
 
 
@@ -776,10 +829,29 @@ def delivery_apply(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def delivery_fail(spark: SparkSession, d: str) -> DataFrame:
-    failed = outbox.settle(fx.view(spark, d, "v_deliveries"), outcomes(spark, d).where("error is not null"), stamp(NOW))
+    failed = outbox.settle(fx.view(spark, d, "v_deliveries"), outcomes(spark, d).where("error is not null"), stamp(NOW), payloads.ERROR_LENGTH)
     return flat(failed.where("status = 'FAILED'").select("id", "attempts", "next_attempt_at", "last_error"))
 
 
+def _round(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    present = fx.view(spark, d, "v_deliveries").where("cast(substr(id, 2) as bigint) % 3 <> 0")
+    return outbox.deliver(
+        present, fx.view(spark, d, "v_changes"), fx.view(spark, d, "v_targets"), fx.view(spark, d, "v_postings"),
+        outcomes(spark, d), stamp(NOW), limit=None,
+    )
+
+
+@query
+def delivery_round(spark: SparkSession, d: str) -> DataFrame:
+    """The table after a round; two thirds of the deliveries exist before it, so that the others are enqueued."""
+    return flat(_round(spark, d)[0])
+
+
+@query
+def delivery_round_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _round(spark, d)[1]
+
+
 @query
 def delivery_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return outbox.outcome_counts(outcomes(spark, d))
@@ -798,7 +870,7 @@ def event_payload(spark: SparkSession, d: str) -> DataFrame:
     names = fx.view(spark, d, "v_targets").select(F.col("id").alias("company_id"), F.col("name").alias("company_name"))
     rows = events.join(names, "company_id")
     change = F.when(F.col("active"), "NEW").otherwise("UPDATED")
-    body = payloads.event_message({c: F.col(c) for c in events.columns}, F.col("company_name"), change)
+    body = payloads.event_message({c: F.col(c) for c in events.columns}, F.col("company_name"), change, description_length=payloads.DESCRIPTION_LENGTH)
     return rows.select("id", body.alias("payload"))
 
 

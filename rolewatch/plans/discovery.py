@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -14,6 +15,7 @@ from ..sources.board_payloads import PAGE_KEY, asked_pages, failed_pages, page_f
 from ..sources.boards import GENERIC
 from ..sources.pages import admitted_pages, page_postings
 from ..sources.postings import wanted_postings
+from ..sources.strategies import Strategy, with_discovered, with_failures
 
 TASK = ["scan_id", "company_id", "source_id", "source_url", "provider"]
 RUN = ("scan_id", "source_id")
@@ -36,33 +38,36 @@ def scan_times(landed: DataFrame) -> DataFrame:
     return landed.groupBy("scan_id").agg(F.min("observed_at").alias("scanned_at"))
 
 
-def extract(landed: DataFrame, targets: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+def extract(landed: DataFrame, targets: DataFrame, asked: DataFrame | None = None, strategies: Sequence[Strategy] = ()) -> DataFrame:
     """Postings of every source that satisfy the company's keywords, one per source, scan and URL.
 
     Scans are told apart by scan_id, and all postings of a scan carry its one time.  Bodies and pages
     are read in narrow stages; only facts and extracted postings meet in a shuffle.  ``asked`` has the board pages a scan would have read.
+    ``strategies`` are boards beyond the built-in ones.
     """
     asked = asked_pages(page_facts(landed)) if asked is None else asked
     pages = admitted_pages(pages_of(landed)).where(F.col("rejection").isNull())
     on_pages = dedup_page_postings(wanted_postings(page_postings(pages), targets), run=("scan_id",))
     found = payload_postings(landed).join(asked.select(*RUN, *PAGE_KEY), [*RUN, *PAGE_KEY], "left_semi")
+    found = with_discovered(found, landed, strategies)
     on_boards = dedup_board_postings(wanted_postings(found, targets), run=("scan_id",))
     both = on_pages.unionByName(on_boards).join(scan_times(landed), "scan_id")
     return both.withColumns({"first_seen_at": F.col("scanned_at"), "last_seen_at": F.col("scanned_at")}).drop("scanned_at")
 
 
-def failures(landed: DataFrame, asked: DataFrame) -> DataFrame:
+def failures(landed: DataFrame, asked: DataFrame, strategies: Sequence[Strategy] = ()) -> DataFrame:
     """Sources that cannot be used, with the reason."""
     rejected = admitted_pages(pages_of(landed)).where(F.col("rejection").isNotNull())
     pages = rejected.select(*RUN, F.col("rejection").alias("message"))
-    return pages.unionByName(failed_pages(asked).select(*RUN, "message"))
+    both = pages.unionByName(failed_pages(asked).select(*RUN, "message"))
+    return with_failures(both, landed, strategies)
 
 
-def results_of(landed: DataFrame, found: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+def results_of(landed: DataFrame, found: DataFrame, asked: DataFrame | None = None, strategies: Sequence[Strategy] = ()) -> DataFrame:
     """One row per source of each scan; ``found`` is the output of ``extract``."""
     asked = asked_pages(page_facts(landed)) if asked is None else asked
     tasks = landed.select(*TASK).distinct().join(scan_times(landed), "scan_id")
-    return source_results(tasks, found, failures(landed, asked))
+    return source_results(tasks, found, failures(landed, asked, strategies))
 
 
 def winners_of(found: DataFrame, results: DataFrame) -> DataFrame:
@@ -72,7 +77,7 @@ def winners_of(found: DataFrame, results: DataFrame) -> DataFrame:
     return dedup_company_postings(us_postings(usable), run=("scan_id",))
 
 
-def scan(landed: DataFrame, targets: DataFrame) -> ScanOutcome:
+def scan(landed: DataFrame, targets: DataFrame, strategies: Sequence[Strategy] = ()) -> ScanOutcome:
     """Extract one or more scans.
 
     The facts of board pages and the extracted postings have several readers.  Both are checkpointed, so that
@@ -80,6 +85,6 @@ def scan(landed: DataFrame, targets: DataFrame) -> ScanOutcome:
     """
     ensure_checkpoint_dir(landed.sparkSession)
     asked = asked_pages(page_facts(landed)).checkpoint()
-    found = extract(landed, targets, asked).checkpoint()
-    results = results_of(landed, found, asked)
+    found = extract(landed, targets, asked, strategies).checkpoint()
+    results = results_of(landed, found, asked, strategies)
     return ScanOutcome(winners_of(found, results), results)

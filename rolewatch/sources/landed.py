@@ -13,9 +13,16 @@ _INPUT_TEXT = """
 """
 
 
-def read_landed(spark: SparkSession, path: str) -> DataFrame:
-    """Landed payloads and pages (parquet).  Partition the files by provider to read one board only."""
-    return spark.read.schema(LANDED).option("mergeSchema", "false").parquet(path)
+def write_landed(rows: DataFrame, path: str) -> None:
+    """Add landed rows to a folder with one subfolder per provider."""
+    rows.write.mode("append").partitionBy("provider").parquet(path)
+
+
+def read_landed(spark: SparkSession, path: str, providers: list[str] | None = None) -> DataFrame:
+    """Landed payloads and pages (parquet); of a folder with subfolders per provider, only those of ``providers`` are read."""
+    rows = spark.read.schema(LANDED).option("mergeSchema", "false").parquet(path)
+    rows = rows.select(*[F.col(c) for c in spark.createDataFrame([], LANDED).columns])
+    return rows if providers is None else rows.where(F.col("provider").isin(providers))
 
 
 def read_target_inputs(spark: SparkSession, path: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +14,7 @@ from ..operators.scans import summarize_runs
 from ..plans import discovery
 from ..schemas import DELIVERY, LANDED, POSTING, SCAN_END, SNAPSHOT
 from ..sources.board_payloads import asked_pages, page_facts
+from ..sources.strategies import Strategy
 from . import arrivals, tables
 
 SCANS = "source_id STRING, scanned_at TIMESTAMP"
@@ -32,7 +33,9 @@ def landed_pages(spark: SparkSession, landed_path: str, places: DataFrame) -> Da
     return placed.join(wanted, ["_file", "_row"], "left_semi").select(*columns)
 
 
-def process_finished(finished: DataFrame, batch: int, landed_path: str, root: str, targets: Targets) -> None:
+def process_finished(
+    finished: DataFrame, batch: int, landed_path: str, root: str, targets: Targets, strategies: Sequence[Strategy] = ()
+) -> None:
     """One micro-batch of scans that are whole or given up; see ``arrivals``.
 
     Bodies stay in the landed files until their scan is whole, and are read there.  Scans that were given up
@@ -46,10 +49,10 @@ def process_finished(finished: DataFrame, batch: int, landed_path: str, root: st
     if complete.isEmpty():
         tables.carry(spark, root, batch)
     else:
-        process_batch(landed_pages(spark, landed_path, complete), batch, root, targets)
+        process_batch(landed_pages(spark, landed_path, complete), batch, root, targets, strategies)
 
 
-def process_batch(landed: DataFrame, batch: int, root: str, targets: Targets) -> None:
+def process_batch(landed: DataFrame, batch: int, root: str, targets: Targets, strategies: Sequence[Strategy] = ()) -> None:
     """One micro-batch of whole scans, several of them in any order.
 
     A scan that is not newer than the last one of its source goes to the ``late`` table instead of rewriting history.
@@ -59,9 +62,9 @@ def process_batch(landed: DataFrame, batch: int, root: str, targets: Targets) ->
     # Tables instead of cached plans: they survive lost executors and keep the later plans small.
     tables.append(asked_pages(page_facts(landed)), root, "asked", batch)
     asked = spark.read.parquet(f"{root}/asked/batch={batch}")
-    tables.append(discovery.extract(landed, targets(spark), asked), root, "extracted", batch)
+    tables.append(discovery.extract(landed, targets(spark), asked, strategies), root, "extracted", batch)
     found = spark.read.schema(POSTING + ", scan_id STRING").parquet(f"{root}/extracted/batch={batch}")
-    tables.append(discovery.results_of(landed, found, asked), root, "source_results", batch)
+    tables.append(discovery.results_of(landed, found, asked, strategies), root, "source_results", batch)
     results = spark.read.parquet(f"{root}/source_results/batch={batch}")
     _apply(spark, discovery.winners_of(found, results), results, batch, root)
 
@@ -115,6 +118,7 @@ def start_discovery(
     end_markers: bool = True,
     wait: str = arrivals.WAIT,
     arrived: Column | None = None,
+    strategies: Sequence[Strategy] = (),
 ) -> StreamingQuery:
     """Process all landed files that are new since the last run, then stop.
 
@@ -129,9 +133,9 @@ def start_discovery(
     if end_markers:
         arrivals.use_state_store(spark)
         finished = arrivals.finished_scans(landed, wait, arrived)
-        writer = finished.writeStream.foreachBatch(lambda df, batch: process_finished(df, batch, landed_path, root, targets))
+        writer = finished.writeStream.foreachBatch(lambda df, batch: process_finished(df, batch, landed_path, root, targets, strategies))
     else:
-        writer = landed.writeStream.foreachBatch(lambda df, batch: process_batch(df, batch, root, targets))
+        writer = landed.writeStream.foreachBatch(lambda df, batch: process_batch(df, batch, root, targets, strategies))
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

@@ -5,7 +5,9 @@ from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import functions as F
 
+from rolewatch.functions import classify
 from rolewatch.operators import dedup, feed, inbox, outbox, schedule, scans, shaping, snapshot, watchlist
+from rolewatch.operators.shaping import join_skewed
 from rolewatch.schemas import CHANGE, DELIVERY, EVENT, SCAN_RUN, SNAPSHOT, TARGET, TARGET_INPUT, TARGET_SOURCE
 from rolewatch.sources import landed, presets
 
@@ -220,7 +222,7 @@ def test_delivery_life(spark):
     assert outbox.claim(sending, changes, targets, postings, F.lit(now)).count() == 1
     outcomes = sending.where("status = 'SENDING'").select("id", F.lit(None).cast("string").alias("external_id"), F.lit("x" * 600).alias("error"))
     failed = outbox.settle(sending, outcomes, F.lit(now)).where("status = 'FAILED'").collect()
-    assert (len(failed[0].last_error), failed[0].next_attempt_at) == (500, now + timedelta(minutes=1))
+    assert (len(failed[0].last_error), failed[0].next_attempt_at) == (600, now + timedelta(minutes=1))
     sent = outbox.settle(sending, outcomes.withColumn("error", F.lit(None).cast("string")), F.lit(now)).where("status = 'SENT'").collect()
     assert (sent[0].external_id, sent[0].last_error) == ("accepted", None)
 
@@ -274,3 +276,72 @@ def test_dedup_rules(spark):
     df = spark.createDataFrame(rows, "company_id string, canonical_url string, source_id string, extraction_confidence double, title string")
     assert sorted(r.title for r in dedup.dedup_company_postings(df).collect()) == ["c", "d"]
     assert sorted(r.title for r in dedup.dedup_company_postings(df, keep="highest").collect()) == ["a", "d"]
+
+
+def test_settle_keeps_errors_whole_or_up_to_a_length(spark):
+    targets, postings, changes = store(spark)
+    queue = outbox.enqueue(build(spark, DELIVERY), changes, F.lit(T0))
+    outcomes = queue.select("id", F.lit(None).cast("string").alias("external_id"), F.lit("x" * 600).alias("error"))
+    assert {len(r.last_error) for r in outbox.settle(queue, outcomes, F.lit(T0)).collect()} == {600}
+    assert {len(r.last_error) for r in outbox.settle(queue, outcomes, F.lit(T0), error_length=500).collect()} == {500}
+
+
+def test_delivery_round(spark):
+    targets, postings, changes = store(spark)
+    none = build(spark, DELIVERY)
+    queued = outbox.enqueue(none, changes, F.lit(T0)).select("id").collect()
+    answers = spark.createDataFrame([(queued[0].id, "m1", None), ("stranger", None, "e")], "id string, external_id string, error string")
+    after, counts = outbox.deliver(none, changes, targets, postings, answers, F.lit(T0), limit=None)
+    assert counts.collect() == [(2, 2, 1, 0)] and counts.columns == ["queued", "claimed", "sent", "failed"]
+    assert sorted((r.status, r.attempts) for r in after.collect()) == [("SENDING", 1), ("SENT", 1)]
+    again, counts = outbox.deliver(after, changes, targets, postings, answers.limit(0), F.lit(T0), limit=None)
+    assert counts.collect() == [(0, 0, 0, 0)] and sorted(again.collect()) == sorted(after.collect())
+
+
+def test_every_hot_key_is_split(spark):
+    facts = spark.range(4000).selectExpr("id", "id % 400 as k")
+    others = spark.range(400).selectExpr("id as k", "id * 2 as v")
+    joined = join_skewed(facts, others, ["k"], hot_keys=500, hot_rows=5, salts=4)
+    assert joined.count() == 4000 and joined.where("v <> 2 * k").count() == 0
+
+
+def test_marked_keywords_match_as_patterns_do(spark):
+    import random
+    import re
+
+    rnd = random.Random(2)
+    words = ["c++", "c", "++", "data", "a.b", "-", "new grad", "é", "x_y", "data-", " "]
+    rows = [("".join(rnd.choice([*words, " ", ",", "x", "é", "\n"]) for _ in range(rnd.randint(0, 9))), rnd.choice(words)) for _ in range(600)]
+    marked = F.contains(classify.mark_edges(F.col("t")), classify.mark_edges(F.col("w")))
+    for r in spark.createDataFrame(rows, "t string, w string").select("t", "w", marked.alias("m")).collect():
+        assert r.m == bool(re.search(r"(?:^|\W)" + re.escape(r.w) + r"(?=\W|\Z)", r.t, re.ASCII)), (r.t, r.w)
+
+
+def test_bucketed_snapshot_is_joined_where_it_lies(spark, tmp_path):
+    stored = spark.range(300).selectExpr(
+        "concat('p', id) as id", "concat('c', id % 3) as company_id", "concat('u', id) as canonical_url", "concat('s', id % 4) as source_id",
+        "timestamp '2026-01-01' as first_seen_at", "timestamp '2026-01-01' as last_seen_at", "'f' as content_fingerprint", "id % 5 <> 0 as active", "cast(id % 2 as int) as missed_scans",
+    )
+    scan = stored.where("cast(substr(id, 2) as int) % 3 = 0").withColumns({"content_fingerprint": F.expr("case when id > 'p2' then 'g' else 'f' end"), "last_seen_at": F.expr("timestamp '2026-02-01'")})
+    new = scan.limit(5).withColumns({"canonical_url": F.concat("canonical_url", F.lit("/n")), "id": F.concat("id", F.lit("n"))})
+    scan = scan.unionByName(new).drop("active", "missed_scans")
+    ticked = spark.createDataFrame([("s0",), ("s1",), ("s1",)], "source_id string")
+    held = snapshot.hold_bucketed(stored, "held_snapshot_test", str(tmp_path), buckets=4)
+    try:
+        merged = snapshot.merge_in_place(held, scan, ticked)
+        assert sorted(merged.collect(), key=str) == sorted(snapshot.merge_scan(stored, scan, ticked).collect(), key=str)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = snapshot.merge_in_place(held, scan, ticked)._jdf.queryExecution().executedPlan().toString()
+        lines = plan.splitlines()
+        at = next(n for n, line in enumerate(lines) if "FullOuter" in line)
+        depth = lambda line: len(line) - len(line.lstrip(" :+-*()0123456789"))
+        stored_side = []
+        for line in lines[at + 1 :]:
+            stored_side.append(line)
+            if "Scan" in line:
+                break
+        assert "held_snapshot_test" in stored_side[-1] and "Bucketed: true" in stored_side[-1]
+        assert not any("Exchange" in line for line in stored_side)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE IF EXISTS held_snapshot_test")

@@ -388,3 +388,48 @@ def test_event_page_fallbacks(spark):
     assert got["https://e.example/3"].rejection == "Event does not match the company event keywords."
     assert got[None].rejection == "Invalid URL"
     assert got["https://e.example/5"].rejection == "The selected company is not in the watchlist."
+
+
+# ---- strategies ------------------------------------------------------------------------------
+
+
+def test_a_ninth_board_is_added_without_changing_a_table(spark, tmp_path):
+    from rolewatch.plans import discovery
+    from rolewatch.sources import landed as landed_files
+    from rolewatch.sources import strategies
+
+    def discover(rows):
+        read = rows.select("*", F.posexplode_outer(F.from_json("body", "roles array<struct<name:string,link:string>>")["roles"]).alias("record_no", "r"))
+        records = postings.eligible(read.select("*", F.col("r.name").alias("title")).where("r is not null")).withColumns({
+            "url": F.col("r.link"), "application_url": F.col("r.link"), "description": F.lit(""), "locations": F.array(F.lit("Reno, NV")),
+            "raw_type": F.lit(""), "content_fingerprint": F.sha2("title", 256), "extraction_confidence": F.lit(0.9),
+        })
+        return postings.finish_postings(records, *board_payloads.RECORD_KEY, "scan_id")
+
+    def broken(rows):
+        bad = rows.where(F.from_json("body", "roles array<struct<name:string,link:string>>")["roles"].isNull())
+        return bad.select("scan_id", "source_id", F.lit("No roles.").alias("message"))
+
+    board = strategies.Strategy("HARBOUR", lambda t: F.lower(t["domain"]).endswith(".harbour"), discover, broken)
+    companies = spark.createDataFrame([("c1", "Pier", "pier.harbour"), ("c2", "Stripe", "stripe.com"), ("c3", "Nobody", "no.example")], "id string, name string, domain string")
+    routed = {r.id: r.provider for r in strategies.route(companies, [board]).collect()}
+    assert routed == {"c1": "HARBOUR", "c2": {r.id: r.provider for r in boards.route_targets(companies).collect()}["c2"], "c3": "GENERIC_HTML"}
+    with pytest.raises(ValueError):
+        strategies.route(companies, [board, board])
+
+    good = json.dumps({"roles": [{"name": "Crane Intern", "link": "https://pier.harbour/1"}, {"name": "Senior Pilot", "link": "https://pier.harbour/2"}]})
+    rows = [
+        ("s", "c1", "h1", "https://pier.harbour", "HARBOUR", None, None, 0, 1, AT, good),
+        ("s", "c1", "h2", "https://pier.harbour/x", "HARBOUR", None, None, 0, 1, AT, "{}"),
+        ("s", "c1", "a1", "https://pier.example", "ASHBY", None, None, 0, 1, AT, json.dumps({"jobs": [{"title": "Rope Intern", "jobUrl": "https://jobs.ashbyhq.com/p/1", "location": "Reno, NV"}]})),
+    ]
+    folder = str(tmp_path / "landed")
+    landed_files.write_landed(spark.createDataFrame(rows, LANDED), folder)
+    watched = spark.createDataFrame([("c1", [])], "id string, role_keywords array<string>")
+    outcome = discovery.scan(landed_files.read_landed(spark, folder), watched, [board])
+    assert sorted(r.title for r in outcome.postings.collect()) == ["Crane Intern", "Rope Intern"]
+    assert {r.source_id: (r.status, r.message) for r in outcome.results.collect()} == {"h1": ("SUCCESS", None), "h2": ("FAILED", "No roles."), "a1": ("SUCCESS", None)}
+    one = landed_files.read_landed(spark, folder, ["ASHBY"])
+    assert one.count() == 1
+    (scan,) = [line for line in one._jdf.queryExecution().executedPlan().toString().splitlines() if "PartitionFilters" in line]
+    assert "ASHBY" in scan.partition("PartitionFilters:")[2].partition("]")[0]
