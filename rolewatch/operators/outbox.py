@@ -97,6 +97,12 @@ def settle(deliveries: DataFrame, outcomes: DataFrame, now: Column, error_length
     return _update(deliveries.join(result, "id", "left"), F.col("_hit"), updates, deliveries)
 
 
+def settled(deliveries: DataFrame, outcomes: DataFrame, now: Column, error_length: int | None = None) -> DataFrame:
+    """Only the rows that ``settle`` would change: answered ones that are SENDING, so the same outcomes once more change nothing."""
+    answered = deliveries.where(F.col("status") == "SENDING").join(outcomes.select("id"), "id", "left_semi")
+    return settle(answered, outcomes, now, error_length)
+
+
 def deliver(
     deliveries: DataFrame,
     changes: DataFrame,

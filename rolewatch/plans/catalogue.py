@@ -18,7 +18,7 @@ from ..operators import dedup, feed, inbox, outbox, replay, schedule, scans, sna
 from ..operators.shaping import winners
 from ..session import ensure_checkpoint_dir
 from ..sources import board_payloads, boards, pages, postings, presets
-from . import discovery
+from . import discovery, event_import
 from . import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -510,6 +510,32 @@ def event_pages(spark: SparkSession, d: str) -> DataFrame:
     return flat(read.select(*keep))
 
 
+def _event_import(spark: SparkSession, d: str) -> event_import.EventImport:
+    """Three of four pages are submitted under an allowed URL; every third is stored already, half of these as it was before."""
+    submitted = "case when page_id % 4 = 0 then source_url else concat('https://rsvp.withgoogle.com/events/', page_id) end"
+    rows = fx.rich_pages(spark, d).withColumn("url", F.expr(submitted))
+    targets, sources = fx.view(spark, d, "v_targets"), fx.sources(spark, d)
+    read = pages.read_event_pages(rows.where("page_id % 3 = 0 and page_id % 4 <> 0"), targets, sources).where("rejection is null").drop("rejection")
+    odd = F.col("canonical_url").rlike("[13579]$")
+    stored = read.withColumn("content_fingerprint", F.when(odd, F.lit("before")).otherwise(F.col("content_fingerprint")))
+    return event_import.import_events(rows, targets, sources, stored)
+
+
+@query
+def event_import_result(spark: SparkSession, d: str) -> DataFrame:
+    done = _event_import(spark, d)
+    events = done.events.select("company_id", F.col("canonical_url").alias("url"), "title", "content_fingerprint", "change_kind", F.lit(None).cast("string").alias("reason"))
+    none = [F.lit(None).cast("string").alias(c) for c in ("title", "content_fingerprint", "change_kind")]
+    return events.unionByName(done.rejected.select("company_id", "url", *none, "reason"))
+
+
+@query
+def event_import_messages(spark: SparkSession, d: str) -> DataFrame:
+    sent = _event_import(spark, d).messages
+    content = F.get_json_object("payload", "$.content").alias("content")
+    return sent.select("id", content, F.get_json_object("payload", "$.embeds[0].title").alias("title"), F.get_json_object("payload", "$.embeds[0].url").alias("url"))
+
+
 PAGE_URLS = [
     "https://ok.example/x", "http://127.0.0.1/x", "http://192.168.0.1/", "https://user:pw@h.example/", "ftp://h.example/",
     "not a url", "http://printer.local/", "https://rsvp.withgoogle.com/events/", "http://172.31.0.9/", "https://rsvp.withgoogle.com/other/",
@@ -827,6 +853,11 @@ def delivery_apply(spark: SparkSession, d: str) -> DataFrame:
     return flat(outbox.settle(fx.view(spark, d, "v_deliveries"), outcomes(spark, d), stamp(NOW)))
 
 
+@query
+def delivery_changed(spark: SparkSession, d: str) -> DataFrame:
+    return flat(outbox.settled(fx.view(spark, d, "v_deliveries"), outcomes(spark, d), stamp(NOW)))
+
+
 @query
 def delivery_fail(spark: SparkSession, d: str) -> DataFrame:
     failed = outbox.settle(fx.view(spark, d, "v_deliveries"), outcomes(spark, d).where("error is not null"), stamp(NOW), payloads.ERROR_LENGTH)

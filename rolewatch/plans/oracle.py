@@ -594,6 +594,19 @@ add(
     "v_targets",
     "v_sources",
 )
+_SUBMITTED = ORACLE["event_pages"].replace(
+    "page_id % 97 AS n, url,", "page_id % 97 AS n, CASE WHEN page_id % 4 = 0 THEN url ELSE 'https://rsvp.withgoogle.com/events/' || page_id END AS url,"
+)
+_IMPORT = f"""WITH read AS ({_SUBMITTED}), known AS (SELECT *, starts_with(canonical_url, 'https://rsvp.withgoogle.com/events/') AS allowed FROM read),
+    accepted AS (SELECT *, CAST(regexp_extract(canonical_url, '([0-9]+)$', 1) AS BIGINT) AS k FROM known WHERE allowed AND rejection IS NULL),
+    merged AS (SELECT *, CASE WHEN k % 3 <> 0 THEN 'NEW' WHEN k % 2 = 1 THEN 'UPDATED' END AS change_kind FROM accepted)"""
+ORACLE["event_import_result"] = f"""{_IMPORT}
+    SELECT company_id, canonical_url AS url, title, content_fingerprint, change_kind, NULL::VARCHAR AS reason FROM merged
+    UNION ALL SELECT company_id, canonical_url, NULL, NULL, NULL, CASE WHEN allowed THEN rejection ELSE 'The first release supports direct WithGoogle RSVP event URLs.' END
+        FROM known WHERE NOT allowed OR rejection IS NOT NULL"""
+ORACLE["event_import_messages"] = f"""{_IMPORT}, named AS ({VIEWS["v_targets"]})
+    SELECT m.id, '🎓 ' || CASE change_kind WHEN 'NEW' THEN 'New' ELSE 'Updated' END || ' early-career event at **' || t.name || '**' AS content, m.title, m.canonical_url AS url
+    FROM merged m JOIN named t ON t.id = m.company_id WHERE change_kind IS NOT NULL"""
 _PRIVATE = "'Private sources cannot be scanned.'"
 add(
     "page_admission",
@@ -838,6 +851,7 @@ add(
         FROM v_deliveries d LEFT JOIN outc o ON o.id = d.id""",
     "v_deliveries",
 )
+ORACLE["delivery_changed"] = ORACLE["delivery_apply"] + " WHERE o.id IS NOT NULL AND d.status = 'SENDING'"
 add(
     "delivery_fail",
     f"""+ {_OUTCOMES} SELECT d.id, d.attempts, strftime(CASE WHEN o.error IS NULL THEN d.next_attempt_at ELSE {_RETRY} END, {TS}) AS next_attempt_at,

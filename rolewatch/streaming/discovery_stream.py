@@ -15,7 +15,7 @@ from ..plans import discovery
 from ..schemas import DELIVERY, LANDED, POSTING, SCAN_END, SNAPSHOT
 from ..sources.board_payloads import asked_pages, page_facts
 from ..sources.strategies import Strategy
-from . import arrivals, tables
+from . import arrivals, tables, views
 
 SCANS = "source_id STRING, scanned_at TIMESTAMP"
 Targets = Callable[[SparkSession], DataFrame]
@@ -105,6 +105,10 @@ def _apply(spark: SparkSession, postings: DataFrame, results: DataFrame, batch:
     tables.write_buckets(replay.replay_snapshot(fresh, scans, stored), root, batch)
     # A batch without a posting and without a stored one writes no file, hence the given schema.
     written = spark.read.schema("bucket INT").parquet(f"{root}/snapshot/batch={batch}").select("bucket").distinct().collect()
+    # What this batch alone changed, for readers of counts and of the newest changes.
+    after = tables.read_buckets(spark, root, SNAPSHOT, {r.bucket: batch for r in written})
+    views.append_log(fresh_changes, root, batch)
+    tables.append(views.differences(stored, after, fresh_changes, runs), root, "counts", batch)
     tables.commit(spark, root, batch, folders | {r.bucket: batch for r in written} | {tables.LAST_SCANS: batch})
 
 

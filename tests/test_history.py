@@ -9,9 +9,10 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from rolewatch.operators import replay, snapshot
-from rolewatch.schemas import LANDED, POSTING, SNAPSHOT
-from rolewatch.streaming import arrivals, discovery_stream, tables
+from rolewatch.operators import outbox, replay, snapshot
+from rolewatch.schemas import CHANGE, DELIVERY, LANDED, POSTING, SNAPSHOT
+from rolewatch.streaming import arrivals, discovery_stream, tables, views
+from rolewatch.streaming import tables as tables_of
 
 START = datetime(2026, 8, 1)
 
@@ -237,12 +238,58 @@ def test_stream_in_batches_equals_all_at_once(spark, tmp_path):
     runs = {r.id: (r.target_count, r.failure_count) for r in tables["scan_runs"].collect()}
     assert runs["scan-0"] == (2, 1) and len(runs) == 5
 
+    # Counts and the log grow by what batches change, and equal a recount.
+    batches = tables_of.committed(spark, root)
+    now = discovery_stream.current_snapshot(spark, root)
+    counted = views.counts(spark, root, batches)
+    assert counted == {
+        "postings": now.count(), "active_postings": now.where("active").count(), "unread": len(kinds), "scan_runs": 5,
+        "new_changes": kinds.count("NEW"), "updated_changes": kinds.count("UPDATED"),
+    }
+    whole_log = [r.id for r in tables["changes"].orderBy(F.col("created_at").desc(), "id").collect()]
+    page = views.newest(spark, root, CHANGE, 3).collect()
+    after = views.newest(spark, root, CHANGE, 100, (page[-1].created_at, page[-1].id)).collect()
+    assert [r.id for r in page] == whole_log[:3] and [r.id for r in after] == whole_log[3:]
+
     # Running the last batch again changes nothing.
     rows = [r for n in (3, 4) for r in landed_rows(n, START + timedelta(hours=n), *SCANS[n])]
     last = spark.read.parquet(f"{root}/changes").agg(F.max("batch")).first()[0]
     discovery_stream.process_batch(spark.createDataFrame(rows, LANDED), last, root, targets)
     assert as_state(discovery_stream.current_snapshot(spark, root, last + 1)) == apart
     assert spark.read.parquet(f"{root}/changes").count() == len(kinds)
+    assert views.counts(spark, root, batches) == counted and [r.id for r in views.newest(spark, root, CHANGE, 100).collect()] == whole_log
+
+
+def test_newest_changes_read_the_newest_days_only(spark, tmp_path):
+    root = str(tmp_path / "days")
+    for batch in range(4):
+        rows = [(f"c{batch}-{n}", "j", "a", "NEW", START + timedelta(days=2 * batch + n % 2, minutes=n), None) for n in range(10)]
+        views.append_log(spark.createDataFrame(rows, CHANGE), root, batch)
+    page = views.newest(spark, root, CHANGE, 7)
+    assert [r.id for r in page.collect()] == [f"c3-{n}" for n in (9, 7, 5, 3, 1, 8, 6)]
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "day" in plan.partition("PartitionFilters")[2].split("]")[0] and "2026-08-07" not in plan.partition("PushedFilters")[2]
+    assert {str(r.d) for r in views.newest(spark, root, CHANGE, 5).select(F.to_date("created_at").alias("d")).collect()} == {"2026-08-08"}
+    assert views.newest(spark, root, CHANGE, 1000).count() == 40
+    assert views.first_day(spark.createDataFrame([], views.DAY_COUNT), 3) is None
+
+
+def test_changed_rows_are_merged_on_read(spark, tmp_path):
+    root, now = str(tmp_path / "deltas"), START
+    rows = [(f"d{n}", f"c{n}", "DISCORD", "SENDING", 1, now, None, None, now, now) for n in range(6)]
+    views.append_changed(spark.createDataFrame(rows, DELIVERY), root, "deliveries", 0)
+    answers = spark.createDataFrame([("d1", "m1", None), ("d2", None, "down"), ("x", None, None)], "id string, external_id string, error string")
+    for version in (1, 2):
+        stored = views.merged(spark, root, "deliveries", DELIVERY)
+        changed = outbox.settled(stored, answers, F.lit(now))
+        assert changed.count() == (2 if version == 1 else 0)
+        views.append_changed(changed, root, "deliveries", version)
+    after = sorted(views.merged(spark, root, "deliveries", DELIVERY).collect())
+    assert [(r.id, r.status) for r in after] == [("d0", "SENDING"), ("d1", "SENT"), ("d2", "FAILED"), ("d3", "SENDING"), ("d4", "SENDING"), ("d5", "SENDING")]
+    views.compact(spark, root, "deliveries", DELIVERY, 2)
+    assert sorted(views.merged(spark, root, "deliveries", DELIVERY).collect()) == after
+    views.append_changed(spark.createDataFrame([rows[0][:3] + ("FAILED",) + rows[0][4:]], DELIVERY), root, "deliveries", 3)
+    assert {r.id: r.status for r in views.merged(spark, root, "deliveries", DELIVERY).collect()}["d0"] == "FAILED"
 
 
 def test_stream_sets_late_scans_aside(spark, tmp_path):

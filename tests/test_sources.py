@@ -433,3 +433,38 @@ def test_a_ninth_board_is_added_without_changing_a_table(spark, tmp_path):
     assert one.count() == 1
     (scan,) = [line for line in one._jdf.queryExecution().executedPlan().toString().splitlines() if "PartitionFilters" in line]
     assert "ASHBY" in scan.partition("PartitionFilters:")[2].partition("]")[0]
+
+
+def test_event_import_turns_pages_down_before_reading_them(spark):
+    from rolewatch.plans import event_import
+    from rolewatch.schemas import EVENT
+
+    def page(company, url, title, at=AT):
+        return (company, url, f"<title>{title}</title><meta name=description content='for students'>", at)
+
+    ok = "https://rsvp.withgoogle.com/events/"
+    rows = [
+        page("c1", ok + "a", "Student Hackathon"), page("c1", ok + "a", "Student Hackathon, second", datetime(2026, 8, 21)), page("c1", ok + "b", ""),
+        page("nobody", ok + "c", "Student Hackathon"), page("c1", "https://rsvp.withgoogle.com/other/d", "Student Hackathon"),
+        page("c1", "http://rsvp.withgoogle.com/events/e", "Student Hackathon"), page("c1", "no url", "Student Hackathon"),
+        page(None, ok + "f", "Student Hackathon"), page("c1", None, "Student Hackathon"), ("c1", ok + "g", "<title>Sales Dinner</title>", AT),
+    ]
+    given = spark.createDataFrame(rows, "company_id string, url string, html string, observed_at timestamp")
+    companies = spark.createDataFrame([("c1", "Pier", ["hackathon"])], "id string, name string, event_keywords array<string>")
+    sources = spark.createDataFrame([], "id string, company_id string, kind string, url string")
+    stored = spark.createDataFrame([], EVENT)
+    done = event_import.import_events(given, companies, sources, stored)
+    (event,) = done.events.collect()
+    assert (event.title, event.change_kind, event.canonical_url) == ("Student Hackathon, second", "NEW", ok + "a")
+    reasons = {(r.company_id, r.url): r.reason for r in done.rejected.collect()}
+    assert reasons == {
+        ("c1", ok + "b"): "Event page did not provide a title.", ("nobody", ok + "c"): "The selected company is not in the watchlist.",
+        **{("c1", u): event_import.NOT_ALLOWED for u in ("https://rsvp.withgoogle.com/other/d", "http://rsvp.withgoogle.com/events/e", "no url")},
+        (None, ok + "f"): event_import.INCOMPLETE, ("c1", None): event_import.INCOMPLETE,
+        ("c1", ok + "g"): "Event does not match the company event keywords.",
+    }
+    assert done.messages.count() == 1
+    again = event_import.import_events(given, companies, sources, done.events.drop("change_kind"))
+    assert again.messages.count() == 0 and again.events.count() == 1
+    small = event_import.import_events(given, companies, sources, stored, max_units=5)
+    assert small.events.count() == 0 and small.rejected.where("reason like '%5 MB%'").count() == 5
