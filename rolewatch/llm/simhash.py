@@ -10,7 +10,7 @@ anchor and is copied to every anchor within radius ``1 + t``; by the triangle in
 fingerprint at home within ``t``.  Pairs are compared per anchor over all 64 bits.
 
 One code over all 64 bits would need copies to some hundred thousand anchors each; more, narrower bands
-mean fewer copies but fuller anchors.  Both follow from ``widths``: wider bands for larger tables.
+mean fewer copies but fuller anchors.  ``widths_for`` weighs both by the number of fingerprints: wider bands for larger tables.
 
 Equal fingerprints count once.  An anchor with many visitors is split into a grid of cells, each with a
 bounded number of rows, and each batch of cells gives a spanning forest of its links and not all pairs, so no link between
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,10 @@ SHINGLE = 4
 MAX_DISTANCE = 4
 SEED = 42
 WIDTHS = (22, 21, 21)
+#: Bands to choose from.
+CHOICES = (WIDTHS, (32, 32))
+#: What sending a copy costs, in comparisons.
+COPY_COST = 200
 #: Parity bits of the Hamming code: it covers 2**r - 1 bits.
 CHECK_BITS = 4
 #: Rows of an anchor that one cell compares with as many others.
@@ -96,6 +101,17 @@ def patterns(width: int, radius: int, check_bits: int = CHECK_BITS) -> list[list
     return found
 
 
+def widths_for(count: int, max_distance: int = MAX_DISTANCE, check_bits: int = CHECK_BITS) -> tuple[int, ...]:
+    """The bands with the least work for ``count`` distinct fingerprints, if these are spread evenly: copies sent and pairs compared."""
+
+    def work(widths: tuple[int, ...]) -> float:
+        radius = 1 + max_distance // len(widths)
+        copies = [sum(comb(w, n) for n in range(radius + 1)) / (1 << check_bits) for w in widths]
+        return count * sum(COPY_COST * c + c * count / 2 ** (w - check_bits) for c, w in zip(copies, widths, strict=True))
+
+    return min(CHOICES, key=work)
+
+
 def copies_of(value: Column, syndrome: Column, table: Column, nearest: Column, band: int) -> Column:
     """The anchors of one band that a value is copied to, and which of them is its home."""
 
@@ -174,11 +190,12 @@ def compare(keys: np.ndarray, role: np.ndarray, prints: np.ndarray, max_distance
 def links(
     unique: DataFrame,
     max_distance: int = MAX_DISTANCE,
-    widths: tuple[int, ...] = WIDTHS,
+    widths: tuple[int, ...] | None = None,
     check_bits: int = CHECK_BITS,
     cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """Links ``a, b`` that connect what all links within ``max_distance`` connect, from distinct ``fingerprint``."""
+    widths = widths or widths_for(unique.count(), max_distance, check_bits)
     if sum(widths) != 64 or min(widths) < (1 << check_bits) - 1:
         raise ValueError("the bands must add up to 64 bits and each hold the code")
     few = sum(1 << (w - check_bits) for w in widths) <= SMALL_CODE

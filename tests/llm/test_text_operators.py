@@ -1,6 +1,8 @@
 """SimHash, BPE, token counts, toxicity, language and licences against brute force, libraries and held-out labels."""
 
 import random
+import re
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -307,6 +309,75 @@ def test_toxicity_ranks_held_out_documents(spark):
     assert len(found) == len(ODD) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) and r.prediction == "mine" for r in found)
 
 
+def plain_features(text, odds):
+    """The features of one text, counted word by word."""
+    chunks, raw = (text or "").split(), (text or "").encode()
+    if not text:
+        return [0.0] * toxicity.FEATURES
+    hits, fixed, found, persons, hidden, capitals = [], 0, [], [], 0, 0
+    for n, chunk in enumerate(chunks):
+        inner = chunk.strip(toxicity.EDGES)
+        word = chunk.lower().strip(toxicity.EDGES)
+        odd = toxicity.HIDDEN.search(inner) is not None
+        plain = word
+        if odd:
+            plain = re.sub(r"(.)\1{2,}", r"\1", "".join(c for c in word if c not in ".-_").translate(toxicity.DISGUISE))
+        best = max([odds.get(w, 0.0) for w in (word, plain)] + [odds.get(w[:k] + "-", 0.0) for w in (word, plain) for k in (4, 5, 6) if len(w) > k])
+        is_fixed = word in toxicity.INSULTS or (odd and plain in toxicity.INSULTS)
+        fixed += is_fixed
+        if best > 0:
+            found.append(best)
+        if is_fixed or best > 0:
+            hits.append(n)
+        if word in toxicity.SECOND_PERSON:
+            persons.append(n)
+        hidden += odd
+        capitals += len(inner) > 1 and inner.isupper()
+    near = sum(any(abs(h - p) <= 5 for p in persons) for h in hits)
+    letters = max(1, sum(97 <= (b | 32) < 123 for b in raw) + sum(b >= 0xC0 for b in raw))
+    words, marks = max(1, len(chunks)), [c for c in range(33, 127) if not chr(c).isalnum()]
+    return [
+        fixed / words, log(1 + fixed), max(found, default=0.0), sum(found) / words, log(1 + len(found)), sum(found), near / words, log(1 + near),
+        sum(65 <= b < 91 for b in raw) / letters, capitals / words, raw.count(b"!") / len(raw), sum(b in marks for b in raw) / len(raw), hidden / words,
+    ]
+
+
+def test_toxicity_scores_are_those_of_features_trees_and_steps(spark):
+    """A hundred texts described, walked through the trees and calibrated one by one."""
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = toxicity.learn(documents, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    rows = [(r.doc_id, r.text) for r in documents.orderBy(F.xxhash64("doc_id")).limit(100).collect()] + [(-1, None), (-2, ""), (-3, "You id1ot!! YOU st-u-p-i-d scum")]
+    found = {r.doc_id: r for r in toxicity.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    trees, weights = model.trees.trees, model.trees.treeWeights
+    at, steps = list(model.calibration.boundaries), list(model.calibration.predictions)
+
+    def leaf(node, values):
+        while node.getClass().getSimpleName() == "InternalNode":
+            split = node.split()
+            node = node.leftChild() if values[split.featureIndex()] <= split.threshold() else node.rightChild()
+        return node.prediction()
+
+    for i, text in rows:
+        values = plain_features(text, model.odds[0])
+        assert np.allclose(values, toxicity.Describer(model.odds[0]).features(text))
+        margin = sum(w * leaf(t._java_obj.rootNode() if hasattr(t, "_java_obj") else t._call_java("rootNode"), values) for t, w in zip(trees, weights))
+        raw = 1 / (1 + np.exp(-2 * margin))
+        score = min(1.0, max(0.0, np.interp(raw, at, steps) * (1 - toxicity.OWN_SHARE) + raw * toxicity.OWN_SHARE))
+        assert abs(found[i].score - score) < 1e-9 and found[i].predicted == (score >= 0.5)
+    assert len({round(r.score, 9) for r in found.values()}) > 10
+
+
+def test_bands_follow_the_number_of_fingerprints(spark):
+    assert simhash.widths_for(1) == simhash.widths_for(10**7) == (22, 21, 21) and simhash.widths_for(10**10) == (32, 32)
+    rnd = random.Random(6)
+    base = [rnd.getrandbits(64) for _ in range(60)]
+    values = {b ^ sum(1 << p for p in rnd.sample(range(64), rnd.randrange(6))) for b in base for _ in range(5)}
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    rows = spark.createDataFrame([(v,) for v in signed], "fingerprint long")
+    roots = [sorted(components.connected(simhash.links(rows, widths=w)).collect()) for w in simhash.CHOICES]
+    assert roots[0] == roots[1] and len(roots[0]) > 50
+
+
 def test_toxicity_without_labels_or_with_one_kind(spark):
     documents = spark.createDataFrame([(n, f"text {n}", None, None) for n in range(20)], DOCS)
     for labels, share in (([], 0.0), ([(n, 1) for n in range(20)], 1.0), ([(n, None) for n in range(20)], 0.0)):
