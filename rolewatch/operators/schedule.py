@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cron import cron_matches
-from .shaping import positions, side_by_side
+from .shaping import side_by_side
 
 BATCH_SIZE = 25
 INTERVAL_SECONDS = 300
@@ -23,6 +23,27 @@ def due_per_target(sources: DataFrame, at: Column) -> DataFrame:
     return due_sources(sources, at).groupBy("company_id").agg(F.count("*").alias("due_sources"))
 
 
+def range_of(rows: DataFrame, name: str, tie: str, low: Column, size: int, prefixes: tuple[int, ...] = (2, 6, 20)) -> DataFrame:
+    """The rows at positions ``low`` to ``low + size - 1`` in the order of ``name`` and ``tie``, with their ``position``.
+
+    Nothing is sorted as a whole: rows are counted by beginnings of the name, longer ones at each step, and only rows of the
+    beginnings that the range touches go on.  So what is put in order at the end is the range and what shares a long beginning with it.
+    """
+    near = rows.withColumn("_ahead", F.lit(0).cast("bigint"))
+    start = F.coalesce(F.col(name), F.lit(""))
+    for length in prefixes:
+        near = near.withColumn("_start", F.substring(start, 1, length))
+        bins = near.groupBy("_start").agg(F.count("*").alias("_n"), F.min("_ahead").alias("_ahead_of"))
+        # One row per beginning; those before the range count from the start of the beginnings kept so far.
+        upto = F.min("_ahead_of").over(Window.partitionBy(F.lit(0))) + F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_start"))
+        touched = bins.withColumn("_upto", upto).where((F.col("_upto") > low) & (F.col("_upto") - F.col("_n") < low + size))
+        near = near.drop("_ahead").join(touched.select("_start", (F.col("_upto") - F.col("_n")).alias("_ahead")), "_start").drop("_start")
+    near = near.withColumn("_start", F.substring(start, 1, prefixes[-1]))
+    order = Window.partitionBy("_start").orderBy(F.col(name).asc_nulls_first(), tie)
+    placed = near.withColumn("position", F.col("_ahead") + F.row_number().over(order) - 1)
+    return placed.where((F.col("position") >= low) & (F.col("position") < low + size)).drop("_start", "_ahead")
+
+
 def scan_batch(targets: DataFrame, now: datetime, size: int = BATCH_SIZE, interval_seconds: int = INTERVAL_SECONDS) -> DataFrame:
     """The slice of the watchlist this time slot covers, with batch_index and batch_count.
 
@@ -30,14 +51,12 @@ def scan_batch(targets: DataFrame, now: datetime, size: int = BATCH_SIZE, interv
     """
     moment = now if now.tzinfo else now.replace(tzinfo=timezone.utc)
     slot = int(moment.timestamp() // interval_seconds)
-    # Only ids and names are put in order.
-    listed = positions(targets.select("id", F.lower("name").alias("_name")), [F.col("_name"), F.col("id")])
-    total = listed.count()
-    batches = max(1, -(-total // size))
-    index = slot % batches if total > size else 0
-    low = index * size
-    chosen = listed.where(F.col("position").between(low, low + size - 1)).select("id", "position")
-    return targets.join(chosen, "id").withColumns({"batch_index": F.lit(index), "batch_count": F.lit(batches if total else 0)})
+    listed = targets.select("id", F.lower("name").alias("_name"))
+    total = F.coalesce(listed.agg(F.count("*")).scalar(), F.lit(0))
+    batches = F.ceil(total / size).cast("int")
+    index = F.when(total > size, F.pmod(F.lit(slot), batches)).otherwise(0).cast("int")
+    chosen = range_of(listed, "_name", "id", index * size, size).select("id", "position")
+    return targets.join(chosen, "id").withColumns({"batch_index": index, "batch_count": batches})
 
 
 def scheduled_batch(

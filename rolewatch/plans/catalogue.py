@@ -855,7 +855,12 @@ def delivery_apply(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def delivery_changed(spark: SparkSession, d: str) -> DataFrame:
-    return flat(outbox.settled(fx.view(spark, d, "v_deliveries"), outcomes(spark, d), stamp(NOW)))
+    """The rows that the outcomes change after everything claimable was claimed."""
+    deliveries = fx.view(spark, d, "v_deliveries")
+    claimed = outbox.claim(
+        deliveries, fx.view(spark, d, "v_changes"), fx.view(spark, d, "v_targets"), fx.view(spark, d, "v_postings"), stamp(NOW), limit=None
+    )
+    return flat(outbox.settled(outbox.apply_claims(deliveries, claimed, stamp(NOW)), outcomes(spark, d), stamp(NOW)))
 
 
 @query

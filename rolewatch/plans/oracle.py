@@ -851,7 +851,16 @@ add(
         FROM v_deliveries d LEFT JOIN outc o ON o.id = d.id""",
     "v_deliveries",
 )
-ORACLE["delivery_changed"] = ORACLE["delivery_apply"] + " WHERE o.id IS NOT NULL AND d.status = 'SENDING'"
+add(
+    "delivery_changed",
+    f"""+ {_READY}, {_OUTCOMES}, sending AS (SELECT d.* REPLACE (d.attempts + CASE WHEN k.id IS NULL THEN 0 ELSE 1 END AS attempts)
+            FROM v_deliveries d LEFT JOIN ready k ON k.id = d.id WHERE k.id IS NOT NULL OR d.status = 'SENDING')
+        SELECT d.id, d.change_id, d.channel, CASE WHEN o.error IS NULL THEN 'SENT' ELSE 'FAILED' END AS status, CAST(d.attempts AS INTEGER) AS attempts,
+        strftime(CASE WHEN o.error IS NULL THEN d.next_attempt_at ELSE {_RETRY} END, {TS}) AS next_attempt_at, o.error AS last_error,
+        CASE WHEN o.error IS NULL THEN coalesce(o.external_id, 'accepted') ELSE d.external_id END AS external_id,
+        {at("d.created_at")} AS created_at, strftime({NOW}, {TS}) AS updated_at FROM sending d JOIN outc o ON o.id = d.id""",
+    *_OUTBOX,
+)
 add(
     "delivery_fail",
     f"""+ {_OUTCOMES} SELECT d.id, d.attempts, strftime(CASE WHEN o.error IS NULL THEN d.next_attempt_at ELSE {_RETRY} END, {TS}) AS next_attempt_at,

@@ -345,3 +345,14 @@ def test_bucketed_snapshot_is_joined_where_it_lies(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("DROP TABLE IF EXISTS held_snapshot_test")
+
+
+def test_range_of_an_order_reads_what_it_needs(spark):
+    names = ["a", "A", None, "", "ab", "abc", "b", "a" * 30, "a" * 31, "ä", "zz", "zz", "abcabcabcabcabcabcabcabc", "abcabcabcabcabcabcabcabd"] * 3
+    rows = spark.createDataFrame(list(enumerate(names)), "id int, n string")
+    want = [r.id for r in rows.orderBy(F.col("n").asc_nulls_first(), "id").collect()]
+    blank = [i for i, n in enumerate(names) if not n]
+    for low in (0, 7, 20, 40, 100):
+        found = {r.position: r.id for r in schedule.range_of(rows, "n", "id", F.lit(low), 10).collect()}
+        assert sorted(found) == list(range(low, min(low + 10, len(names)))) if low < len(names) else not found
+        assert [found[p] for p in sorted(found)] == want[low : low + 10], (low, blank)
