@@ -146,6 +146,7 @@ def event_place_label(location: Column, event_format: Column) -> Column:
     return F.coalesce(location, fallback)
 
 
+# The wording of messages and cards, here and in the functions above.
 def scan_message(roles: Column, new: Column, updated: Column, failures: Column) -> Column:
     """One line about a scan, plural forms included."""
     tail = F.when(

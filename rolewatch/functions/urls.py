@@ -224,6 +224,7 @@ def source_url_error(url: Column) -> Column:
             | (numeric & ~dotted)
         )
 
+    # The messages about a page that must not be read.
     def reason(parsed: Column) -> Column:
         return (
             F.when(parsed.isNull(), F.lit("Invalid URL"))

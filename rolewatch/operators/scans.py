@@ -10,6 +10,7 @@ from ..functions.payloads import scan_message
 from ..functions.text import reused
 from ..sources.boards import GENERIC
 
+# Fixed value: the message about a page without a posting.
 EMPTY_PAGE = "Source loaded but no job records were extractable; provider adapter may be required."
 
 

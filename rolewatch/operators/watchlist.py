@@ -77,6 +77,7 @@ def validate_targets(inputs: DataFrame) -> DataFrame:
             "_cron": cron,
         }
     )
+    # The messages about a target that cannot be saved.
     problems = [
         F.when(F.col("_name") == "", F.lit("Company name is required.")),
         F.when(

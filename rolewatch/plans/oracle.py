@@ -56,6 +56,7 @@ def at(column: str) -> str:
 
 # ---- shared rules ----------------------------------------------------------------------------
 
+# The patterns of the classifiers, as the checking engine spells them.
 INTERN = r"(?i)\b(?:intern|internship|co[ -]?op)\b"
 GRAD = r"(?i)\b(?:new grad(?:uate)?|graduate (?:role|program)|graduate .{0,30}\b(?:engineer|developer)|entry[ -]level)\b"
 DEGREE = (
@@ -103,6 +104,7 @@ def rules(title: str, description: str, n: str) -> str:
 
 def us(value: str) -> str:
     """One location string."""
+    # Names and codes of the states.
     states = (
         "Alabama|Alaska|Arizona|Arkansas|California|Colorado|Connecticut|Delaware|Florida|Georgia|Hawaii|Idaho|Illinois"
         "|Indiana|Iowa|Kansas|Kentucky|Louisiana|Maine|Maryland|Massachusetts|Michigan|Minnesota|Mississippi|Missouri"
@@ -461,6 +463,7 @@ add(
     "v_targets",
 )
 add("normalize_domain", f"WITH inputs AS ({_INPUTS}) SELECT n, domain, domain <> '' AND NOT contains(domain, '/') AS valid FROM inputs")
+# The words that tell kinds and places of events.
 _EVENT_TYPE = "CASE WHEN {t} ILIKE '%workshop%' THEN 'WORKSHOP' WHEN {t} ILIKE '%hackathon%' THEN 'HACKATHON' WHEN {t} ILIKE '%office hours%' THEN 'OFFICE_HOURS' WHEN regexp_matches({t}, '(?i)info(?:rmation)? session') THEN 'INFO_SESSION' WHEN {t} ILIKE '%conference%' THEN 'CONFERENCE' WHEN {t} ILIKE '%network%' THEN 'NETWORKING' WHEN regexp_matches({t}, '(?i)campus|university|recruit') THEN 'CAMPUS_RECRUITING' ELSE 'OTHER' END"
 _PLACE = r"nullif(trim(regexp_extract({t}, '(?i)\bat\s+(?:Google\s+)?(.+)$', 1)), '')"
 add("event_type", f"WITH e AS (SELECT p_partkey, {DUCK.pick(fx.EVENT_TITLES, 'p_partkey')} AS t FROM part) SELECT p_partkey, {_EVENT_TYPE.format(t='t')} AS event_type FROM e")
