@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 from math import exp, log
 
 import ahocorasick
@@ -42,7 +43,7 @@ STORED_EVIDENCE = 96 << 20
 #: Words of up to so many letters are summed together: no sum of theirs falls out of range.
 SHORT_WORD = 30
 #: Texts whose new words are summed together.
-TEXTS = 256
+TEXTS = 1024
 #: Documents learned from per language, and over all languages.
 PER_LANGUAGE = 5_000
 SAMPLE_IDS = 500_000
@@ -105,7 +106,7 @@ class Lattice:
         sizes = np.array([len(w) + 1 for w in words])
         first = np.cumsum(sizes) - sizes
         word_at = np.repeat(np.arange(len(words)), sizes)
-        found = np.array(list(self.automaton.iter(text)) if self.places else [], np.int64).reshape(-1, 2)
+        found = np.fromiter(chain.from_iterable(self.automaton.iter(text)) if self.places else (), np.int64).reshape(-1, 2)
         last, piece = found[:, 0], found[:, 1]
         alone = np.zeros(len(text), bool)
         alone[last[self.lengths[piece] == 1]] = True
@@ -254,14 +255,26 @@ class Model:
 
     def weigh(self, chunks: list[str]) -> dict[str, bytes]:
         """The evidence of chunks, what stands between blanks, as the bytes of one number per language and the number of letters; none without a letter."""
-        parts = {c: words_of(c) for c in chunks}
-        words = list(dict.fromkeys(w for found in parts.values() for w in found))
-        short = [w for w in words if len(w) <= SHORT_WORD]
-        logs = dict(zip(short, self.lattice.log_probabilities(short, self.rows), strict=True)) if short else {}
-        for w in words:
-            if len(w) > SHORT_WORD:
-                logs[w] = np.array(self.lattice.log_probability(w, self.columns))
-        return {chunk: np.append(sum(logs[w] for w in found), sum(map(len, found))).tobytes() if found else b"" for chunk, found in parts.items()}
+        parts = [words_of(c) for c in chunks]
+        flat = [w for found in parts for w in found]
+        places = {w: n for n, w in enumerate(dict.fromkeys(flat))}
+        words = list(places)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        logs = np.empty((len(words), len(self.languages) + 1))
+        logs[:, -1] = sizes
+        short = np.flatnonzero(sizes <= SHORT_WORD)
+        if len(short):
+            logs[short, :-1] = self.lattice.log_probabilities([words[n] for n in short.tolist()], self.rows)
+        for n in np.flatnonzero(sizes > SHORT_WORD).tolist():
+            logs[n, :-1] = self.lattice.log_probability(words[n], self.columns)
+        counts = np.fromiter(map(len, parts), np.int64, len(parts))
+        used = np.flatnonzero(counts)
+        found = dict.fromkeys(chunks, b"")
+        if len(used):
+            rows = logs[np.fromiter((places[w] for w in flat), np.int64, len(flat))]
+            raw, step = np.add.reduceat(rows, (np.cumsum(counts) - counts)[used], axis=0).tobytes(), 8 * logs.shape[1]
+            found.update((chunks[c], raw[n * step : (n + 1) * step]) for n, c in enumerate(used.tolist()))
+        return found
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, float | None, float]]:
         """Language, its probability, the mean logarithm per letter under it, and the letters, for each text of a batch."""
@@ -271,32 +284,35 @@ class Model:
         if not self.languages:
             return [(UNKNOWN, 0.0, None, 0.0)] * len(texts)
         counts = [Counter((text or "").split()) for text in texts]
-        mine, missing = {}, []
-        for chunk in set().union(*counts):
-            value = self.known.get(chunk)
-            if value is None and (value := self.known.older.get(chunk)) is not None:
-                self.known.hold(chunk, value)
+        distinct = list(set().union(*counts))
+        nothing, mine, missing = np.zeros(len(self.languages) + 1).tobytes(), {}, []
+        known, older = self.known, self.known.older
+        for chunk in distinct:
+            value = known.get(chunk)
             if value is None:
-                missing.append(chunk)
-            else:
-                mine[chunk] = value
-        new = self.weigh(missing)
-        for chunk, value in new.items():
-            self.known.hold(chunk, value)
-        mine |= new
-        out = []
-        for found in counts:
-            held = [(v, n) for c, n in found.items() if (v := mine[c])]
-            if not held:
-                out.append((UNKNOWN, 0.0, None, 0.0))
-                continue
-            values = np.frombuffer(b"".join([v for v, _ in held])).reshape(len(held), -1)
-            *evidence, letters = np.array([n for _, n in held], float) @ values
-            evidence = np.array(evidence)
-            best = int(evidence.argmax())
-            shares = np.exp((evidence - evidence[best]) / TEMPER)
-            out.append((self.languages[best], float(1.0 / shares.sum()), float(evidence[best] / letters), float(letters)))
-        return out
+                value = older.get(chunk)
+                if value is None:
+                    missing.append(chunk)
+                    continue
+            mine[chunk] = value
+        mine |= self.weigh(missing)
+        self.known.hold_all(mine)
+        values = np.frombuffer(b"".join([mine[c] or nothing for c in distinct])).reshape(len(distinct), len(self.languages) + 1)
+        # A row per text and distinct chunk of it, summed by text.
+        places = dict(zip(distinct, range(len(distinct)), strict=True))
+        sizes = np.fromiter(map(len, counts), np.int64, len(counts))
+        at = np.fromiter(chain.from_iterable(map(places.__getitem__, c) for c in counts), np.int64, sizes.sum())
+        times = np.fromiter(chain.from_iterable(c.values() for c in counts), np.float64, sizes.sum())
+        sums, used = np.zeros((len(texts), len(self.languages) + 1)), np.flatnonzero(sizes)
+        if len(used):
+            sums[used] = np.add.reduceat(values[at] * times[:, None], (np.cumsum(sizes) - sizes)[used], axis=0)
+        letters, evidence = sums[:, -1], sums[:, :-1]
+        best = evidence.argmax(axis=1)
+        highest = evidence[np.arange(len(texts)), best]
+        scores = 1.0 / np.exp((evidence - highest[:, None]) / TEMPER).sum(axis=1)
+        fits = highest / np.maximum(letters, 1)
+        rows = zip(letters.tolist(), best.tolist(), scores.tolist(), fits.tolist(), strict=True)
+        return [(self.languages[n], score, fit, size) if size else (UNKNOWN, 0.0, None, 0.0) for size, n, score, fit in rows]
 
 
 def learn(rows: DataFrame, text: str = "text", lang: str = "lang", vocabulary: str | None = None) -> Model:
@@ -367,7 +383,8 @@ def sampled(
     before = Window.partitionBy("_lang").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     reached = bins.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).where(F.col("_before") < per_language)
     last = reached.groupBy(F.col("_lang").alias("_of")).agg(F.max("_bin").alias("_last"))
-    near = known.join(last, (F.col("_lang") == F.col("_of")) & (F.col("_bin") <= F.col("_last")))
+    # A row per language; the driver holds a column of the model for each.
+    near = known.join(F.broadcast(last), (F.col("_lang") == F.col("_of")) & (F.col("_bin") <= F.col("_last")))
     turn = Window.partitionBy("_lang").orderBy("_hash", "_id")
     near = near.withColumn("_turn", F.row_number().over(turn)).where(F.col("_turn") <= per_language)
     chosen = near.orderBy("_turn", "_lang").limit(SAMPLE_IDS).select("_id").distinct()
