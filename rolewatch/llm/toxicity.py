@@ -56,6 +56,8 @@ LEAST_ODDS = 1.5
 MOST_TERMS = 5_000
 COUNTED_TERMS = 500_000
 FOLDS = (1, 2, 3, 4)
+#: Tasks that trees are fitted in.
+FITTING_TASKS = 4
 #: Share of the trees' own probability in a score.
 OWN_SHARE = 0.01
 FEATURES = 13
@@ -223,7 +225,9 @@ def learn(
     totals = sample.agg(*[F.count(F.when((F.col("fold") == k) & (F.col("toxic") == toxic), 1)).alias(n) for n, k, toxic in names]).first().asDict()
     toxic, other = (sum(totals[f"{x}{k}"] for k in FOLDS) for x in "tc")
     odds = lexicons(sample, totals)
-    features = cut(describe(sample, odds, "text", "features", "fold").select("fold", F.col("toxic").cast("double").alias("toxic"), array_to_vector("features").alias("features")))
+    described = describe(sample, odds, "text", "features", "fold")
+    # A few numbers for each of at most ``sample_rows`` texts: trees are fitted by hundreds of small jobs, which a few tasks serve best.
+    features = cut(described.select("fold", F.col("toxic").cast("double").alias("toxic"), array_to_vector("features").alias("features"))).coalesce(FITTING_TASKS)
     if not toxic or not other:
         return Model(constant=toxic / max(1, toxic + other))
     booster = GBTClassifier(
