@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rolewatch.functions import classify
 from rolewatch.operators import dedup, feed, inbox, outbox, schedule, scans, shaping, snapshot, watchlist
 from rolewatch.operators.shaping import join_skewed
+from rolewatch.plans import catalogue
 from rolewatch.schemas import CHANGE, DELIVERY, EVENT, SCAN_RUN, SNAPSHOT, TARGET, TARGET_INPUT, TARGET_SOURCE
 from rolewatch.sources import landed, presets
 
@@ -356,3 +357,32 @@ def test_range_of_an_order_reads_what_it_needs(spark):
         found = {r.position: r.id for r in schedule.range_of(rows, "n", "id", F.lit(low), 10).collect()}
         assert sorted(found) == list(range(low, min(low + 10, len(names)))) if low < len(names) else not found
         assert [found[p] for p in sorted(found)] == want[low : low + 10], (low, blank)
+
+
+def test_salted_copies_are_not_broadcast_by_the_size_of_the_plain_table(spark):
+    small = spark.range(20_000).select(F.col("id").cast("string").alias("k"), F.col("id").alias("v"))
+    facts = spark.range(50_000).select((F.col("id") % 20_000).cast("string").alias("k"), F.col("id").alias("n"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 2 << 20)  # the plain table is within it, its copies are not
+    try:
+        joined = shaping.join_dimension(facts, small, ["k"])
+        assert joined.where("v = n % 20000").count() == 50_000
+        assert "BroadcastHashJoin" not in joined._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_large_side_of_a_skewed_join_is_not_broadcast(spark):
+    facts = spark.range(1000).select((F.col("id") % 10).alias("k"), F.col("id").alias("n"))
+    joined = join_skewed(facts, spark.range(10).select(F.col("id").alias("k"), F.col("id").alias("v")), ["k"])
+    assert joined.where("k = v").count() == 1000
+    plan = joined._jdf.queryExecution()
+    plan.toRdd().count()
+    assert "BroadcastHashJoin" not in plan.executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_target_inputs_of_one_row_group_use_all_cores(spark, tmp_path):
+    rows = spark.range(100).selectExpr("id as c_custkey", "concat('Customer#', id) as c_name")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    inputs = catalogue.target_inputs(spark, str(tmp_path))
+    assert inputs.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and inputs.select("n").distinct().count() == 100
