@@ -32,6 +32,8 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p
 #: Pairs whose compatibility a worker keeps, some 100 bytes each; the table starts anew beyond it.
 CACHED_PAIRS = 250_000
 NEVER = 1 << 60
+#: Bytes of ids of chunks after a blank that a worker holds.
+STORED_CHUNKS = 48 << 20
 #: A longer piece is scanned once for all its matches.
 LONG_PIECE = 64
 
@@ -87,9 +89,9 @@ class Vocabulary:
             sizes[i + 1] = len(value)
         self.offsets = np.cumsum(sizes)
         self.bytes = np.frombuffer(b"".join(stored[i] for i in sorted(stored)), np.uint8)
-        self.piece = Recent(self.merge)
+        self.piece = Recent(self.merge, repeated=True)
         self.first = Recent(lambda chunk: self.chunk(chunk, ""))
-        self.later = Recent(lambda chunk: self.chunk(chunk, " "))
+        self.later = Recent(lambda chunk: self.chunk(chunk, " "), STORED_CHUNKS, repeated=True)
         self.newline = self.pieces_ids("\n")
 
     # -- encoding

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -23,6 +24,8 @@ SLICE_ROWS = 2048
 #: Bytes that a worker's store of recent values may hold, and what an entry takes besides its own bytes.
 STORE_BYTES = 24 << 20
 ENTRY_BYTES = 200
+#: Places in which a store marks the keys it missed, a byte each; it starts anew when half are marked.
+MISSED_PLACES = 1 << 21
 #: A value by a longer key is computed each time and not stored.
 STORED_LENGTH = 64
 
@@ -37,6 +40,14 @@ def cut(rows: DataFrame) -> DataFrame:
     return rows.checkpoint()
 
 
+def stored(rows: DataFrame) -> DataFrame:
+    """The rows as written to a table in the shared checkpoint folder, for rows that are dear to compute and read more than once."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    path = f"{rows.sparkSession.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def free_name(wanted: str, taken: Iterable[str]) -> str:
     """``wanted``, or ``wanted`` with underscores before it where a column has that name in any case."""
     used = {name.lower() for name in taken}
@@ -46,17 +57,36 @@ def free_name(wanted: str, taken: Iterable[str]) -> str:
 
 
 class Recent(dict):
-    """Values by key, computed when missed; recent ones are held, up to ``limit`` bytes."""
+    """Values by key, computed when missed; recent ones are held, up to ``limit`` bytes.
 
-    def __init__(self, compute: Callable | None = None, limit: int = STORE_BYTES):
+    With ``repeated``, a value is held only once its key was missed before, so that keys seen once push out none that come again.
+    """
+
+    def __init__(self, compute: Callable | None = None, limit: int = STORE_BYTES, repeated: bool = False):
         # The older half stays readable until the younger one is full.
         self.compute, self.limit, self.used, self.older = compute, limit // 2, 0, {}
+        self.missed, self.marked = (bytearray(MISSED_PLACES) if repeated else None), 0
 
     def __missing__(self, key: str):
-        value = self.older[key] if key in self.older else self.compute(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.compute(key)
+            if self.missed is not None and self.first_miss(key):
+                return value
         self.hold(key, value)
         return value
 
+    def first_miss(self, key: str) -> bool:
+        """Whether the key was not missed of late; another key at its place counts as the key."""
+        place = hash(key) % MISSED_PLACES
+        if self.missed[place]:
+            return False
+        if self.marked >= MISSED_PLACES // 2:
+            self.missed, self.marked = bytearray(MISSED_PLACES), 0
+        self.missed[place] = 1
+        self.marked += 1
+        return True
+
     def hold(self, key: str, value) -> None:
         if len(key) > STORED_LENGTH:
             return
