@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolewatch.llm import bpe, langid, mixing, simhash, toxicity
-from rolewatch.llm.common import cut, read
+from rolewatch.llm.common import read, stored
 from rolewatch.session import ensure_checkpoint_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -32,10 +32,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def reject_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
-    sample = cut(langid.sampled(docs))
-    model = langid.learn(sample)
-    least = langid.least_fits(sample, model)
-    found = langid.identify(docs, model, fit="fit")
+    found = stored(langid.identify(docs, langid.learn_from_documents(docs), fit="fit"))
+    least = langid.least_fits_of(langid.given_to_learn(found))
     return found.where(langid.of_a_language(F.col("lang_pred"), F.col("fit"), F.col("letters"), least)).select(*COLUMNS)
 
 
@@ -74,7 +72,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each writes Parquet below the shared checkpoint folder and reads it again.
 
-    A run has a folder ``corpus-<id>`` of its own there, with a table per stage.  The result reads the last of them; once the result has been
+    A run has a folder ``corpus-<id>`` of its own there, with a table per stage; the language stage leaves a folder ``stored-<id>``.  The result reads the last of them; once the result has been
     used, the folder may be removed.
     """
     ensure_checkpoint_dir(spark)

@@ -5,7 +5,7 @@ language is the sum over all ways to cut it into pieces, by the forward algorith
 words.  Piece probabilities are learned in one expectation step: each training word gives every piece the share
 that it has in all segmentations of the word under a prior that falls with the piece's place in the vocabulary.
 
-Training documents are a sample of at most ``per_language`` of each language; their words are counted with sums per
+All documents that are not held out and have a language are learned from; their words are counted with sums per
 task before the shuffle, and what reaches the driver is one number per piece and language.  All documents are then scored, whole.
 
 Results: a text that is null or has no letter is ``und`` with score 0; a word of letters the vocabulary lacks counts
@@ -36,15 +36,16 @@ UNKNOWN = "und"
 RUNS = re.compile(r"[^\W\d_]+")
 LETTERS = regex.compile(r"\p{L}+")
 START = "▁"
-#: Words counted in a task before they are handed on; bounds a task's memory.
-COUNTED_WORDS = 500_000
+#: Chunks counted in a task, and characters of texts they come from, before their words are handed on; bounds a task's memory.
+COUNTED_CHUNKS = 200_000
+COUNTED_CHARACTERS = 64 << 20
 #: Bytes of evidence of known chunks that a worker holds.
 STORED_EVIDENCE = 96 << 20
 #: Words of up to so many letters are summed together: no sum of theirs falls out of range.
 SHORT_WORD = 30
 #: Texts whose new words are summed together.
 TEXTS = 1024
-#: Documents learned from per language, and over all languages.
+#: Documents of a sample per language, and over all languages.
 PER_LANGUAGE = 5_000
 SAMPLE_IDS = 500_000
 #: Leading bits of an id's hash by which ids are counted in bins.
@@ -96,14 +97,14 @@ class Lattice:
         if pieces:
             self.automaton.make_automaton()
 
-    def log_probabilities(self, words: list[str], table: np.ndarray) -> np.ndarray:
-        """``log_probability`` of many short words at once: a row per word, a column per language.
+    def arcs_of_all(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[slice]]:
+        """The arcs of many short words: the places of their starts and ends, piece, word; the place of each word's start mark; a slice of the arcs per letter they end at.
 
         One scan of the words, each with its start mark, finds the pieces in all of them, as no piece goes on beyond
-        a mark.  Sums then advance by one letter for all words together.  ``table`` has a row per piece and, last, one for an uncovered letter.
+        a mark.  A word has one place more than letters: before each letter and after the last.  An uncovered letter is the piece after the last.
         """
         text = "".join([START + w for w in words])
-        sizes = np.array([len(w) + 1 for w in words])
+        sizes = np.array([len(w) + 1 for w in words], np.int64)
         first = np.cumsum(sizes) - sizes
         word_at = np.repeat(np.arange(len(words)), sizes)
         found = np.fromiter(chain.from_iterable(self.automaton.iter(text)) if self.places else (), np.int64).reshape(-1, 2)
@@ -113,20 +114,50 @@ class Lattice:
         bare = np.flatnonzero(~alone)
         last = np.concatenate([last, bare])
         begin = np.concatenate([found[:, 0] - self.lengths[piece] + 1, bare])
-        piece = np.concatenate([piece, np.full(len(bare), len(table) - 1)])
+        piece = np.concatenate([piece, np.full(len(bare), len(self.lengths))])
+        if len(bare):  # the scan finds the others in order of their ends
+            order = np.argsort(last, kind="stable")
+            last, begin, piece = last[order], begin[order], piece[order]
         word = word_at[last]
-        step = last + 1 - first[word]
-        order = np.lexsort((word, step))
-        begin, piece, word, step = begin[order], piece[order], word[order], step[order]
-        # A word has one place more than letters: before each letter and after the last.
-        sums = np.ones((len(text) + len(words), table.shape[1]))
+        step = (last + 1 - first[word]).astype(np.uint16)
+        order = np.argsort(step, kind="stable")
+        last, begin, piece, word, step = last[order], begin[order], piece[order], word[order], step[order]
         edges = np.searchsorted(step, np.arange(1, sizes.max(initial=0) + 2))
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            here = word[a:b]
+        steps = [slice(a, b) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        return begin + word, last + 1 + word, piece, word, first + np.arange(len(words)), steps
+
+    def sums_of_all(self, words: list[str], table: np.ndarray, arcs: tuple) -> np.ndarray:
+        """Sums over the ways to each place; they advance by one letter for all words together."""
+        begin, end, piece, word, _, steps = arcs
+        sums = np.ones((sum(map(len, words)) + 2 * len(words), table.shape[1]))
+        for s in steps:
+            here = word[s]
             new = np.flatnonzero(np.concatenate([[True], here[1:] != here[:-1]]))
-            value = np.add.reduceat(sums[begin[a:b] + here] * table[piece[a:b]], new, axis=0)
-            sums[first[here[new]] + here[new] + step[a]] = value
-        return np.log(sums[first + np.arange(len(words)) + sizes])
+            sums[end[s][new]] = np.add.reduceat(sums[begin[s]] * table[piece[s]], new, axis=0)
+        return sums
+
+    def log_probabilities(self, words: list[str], table: np.ndarray) -> np.ndarray:
+        """``log_probability`` of many short words at once: a row per word, a column per language.
+
+        ``table`` has a row per piece and, last, one for an uncovered letter.
+        """
+        arcs = self.arcs_of_all(words)
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        return np.log(self.sums_of_all(words, table, arcs)[arcs[4] + sizes])
+
+    def expected_of_all(self, words: list[str], times: np.ndarray, prior: np.ndarray) -> np.ndarray:
+        """``expected`` of many short words at once, each counted ``times``, summed by piece.  ``prior`` has, last, the probability of an uncovered letter."""
+        arcs = self.arcs_of_all(words)
+        begin, end, piece, word, first, steps = arcs
+        ahead = self.sums_of_all(words, prior[:, None], arcs)[:, 0]
+        ends = first + np.fromiter(map(len, words), np.int64, len(words)) + 1
+        behind = np.zeros(len(ahead))
+        behind[ends] = 1.0
+        weight = prior[piece]
+        for s in reversed(steps):  # the arcs of a word that end at one letter start at different ones
+            behind[begin[s]] += weight[s] * behind[end[s]]
+        share = ahead[begin] * weight * behind[end] / ahead[ends][word]
+        return np.bincount(piece, share * times[word], len(prior))[:-1]
 
     def arcs(self, word: str) -> list[list[tuple[int, int]]]:
         """For each end, the (start, piece) that lead there; a letter that no piece covers gets an arc with piece -1."""
@@ -198,17 +229,26 @@ def word_counts(rows: DataFrame, text: str, lang: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
+        characters = 0
 
         def out() -> pa.RecordBatch:
-            rows = [(a, w, n) for a, words in counts.items() for w, n in words.items()]
+            rows = []
+            for a, chunks in counts.items():
+                words: dict[str, int] = {}
+                for chunk, n in chunks.items():
+                    for w in words_of(chunk):
+                        words[w] = words.get(w, 0) + n
+                rows += [(a, w, n) for w, n in words.items()]
             counts.clear()
             a, w, n = zip(*rows, strict=True) if rows else ((), (), ())
             return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(w, pa.string()), pa.array(n, pa.int64())], names=["lang", "word", "n"])
 
         for batch in batches:
             for a, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                counts.setdefault(a, Counter()).update(words_of(text))
-                if sum(map(len, counts.values())) > COUNTED_WORDS:
+                counts.setdefault(a, Counter()).update(text.split())
+                characters += len(text)
+                if characters > COUNTED_CHARACTERS or sum(map(len, counts.values())) > COUNTED_CHUNKS:
+                    characters = 0
                     yield out()
         yield out()
 
@@ -222,12 +262,21 @@ def piece_counts(counts: DataFrame, pieces: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, log_prior = Lattice(sent.value), log_prior_of(sent.value)
+        prior = np.append(np.exp(log_prior), FLOOR)
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
+            short: dict[str, tuple[list[str], list[int]]] = {}
             for a, word, n in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 total = totals.setdefault(a, np.zeros(len(log_prior)))
+                if len(word) <= SHORT_WORD:
+                    words, times = short.setdefault(a, ([], []))
+                    words.append(word)
+                    times.append(n)
+                    continue
                 for piece, share in lattice.expected(word, log_prior).items():
                     total[piece] += n * share
+            for a, (words, times) in short.items():
+                totals[a] += lattice.expected_of_all(words, np.array(times, np.float64), prior)
         rows = [(a, int(p), float(t[p])) for a, t in totals.items() for p in np.flatnonzero(t)]
         a, p, n = zip(*rows, strict=True) if rows else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(p, pa.int32()), pa.array(n, pa.float64())], names=["lang", "piece", "n"])
@@ -348,14 +397,21 @@ def identify(rows: DataFrame, model: Model, text: str = "text", fit: str | None
     return with_computed(rows, text, made, work)
 
 
-def least_fits(sample: DataFrame, model: Model, text: str = "text", lang: str = "lang", margin: float = MARGIN) -> dict[str, float]:
-    """Per language the fit below which a long text is of none: ``margin`` below the median of the sampled texts found to be in their own language.
+def least_fits(rows: DataFrame, model: Model, text: str = "text", lang: str = "lang", margin: float = MARGIN) -> dict[str, float]:
+    """``least_fits_of`` texts that are not identified yet."""
+    given = rows.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"))
+    return least_fits_of(identify(given, model, "text", "fit"), margin=margin)
+
+
+def least_fits_of(identified: DataFrame, lang: str = "lang", fit: str = "fit", margin: float = MARGIN) -> dict[str, float]:
+    """Per language the fit below which a long text is of none: ``margin`` below the median of the texts found to be in their own language.
 
-    A median is not moved by odd texts in the sample.  One number per language comes to the driver.
+    A median is not moved by odd texts.  It is that of all texts, whose fits are taken to three places so that a task holds few different ones.
+    One number per language comes to the driver.
     """
-    given = sample.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"))
-    own = identify(given, model, "text", "fit").where(F.col("lang_pred") == F.col("lang"))
-    rows = own.groupBy("lang_pred").agg(F.percentile_approx("fit", 0.5, 10_000).alias("middle")).collect()
+    own = identified.where(F.col("lang_pred") == F.col(f"`{lang}`").cast("string"))
+    own = own.select("lang_pred", F.round(F.col(f"`{fit}`"), 3).alias("fit"))
+    rows = own.groupBy("lang_pred").agg(F.expr("percentile_disc(0.5) within group (order by fit)").alias("middle")).collect()
     return {r["lang_pred"]: r["middle"] - margin for r in rows}
 
 
@@ -370,13 +426,13 @@ def of_a_language(lang_pred: Column, fit: Column, letters: Column, least: dict[s
 def sampled(
     documents: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = PER_LANGUAGE
 ) -> DataFrame:
-    """The rows to learn from: at most ``per_language`` documents of each language that are not held out, those of the least hashes of their ids.
+    """At most ``per_language`` documents of each language that are not held out, those of the least hashes of their ids.
 
     Hashes are first counted in bins by their leading bits, which tells per language up to which bin the sample reaches;
     so only the sample and the rest of one bin are ranked, however large a language is.  The ids of the sample are
     at most ``SAMPLE_IDS``, so they are broadcast; texts do not move.
     """
-    known = documents.where((fold(f"`{doc_id}`") != 0) & F.col(f"`{lang}`").isNotNull())
+    known = given_to_learn(documents, lang, doc_id)
     known = known.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{lang}`").alias("_lang")).distinct()
     known = known.withColumn("_hash", F.xxhash64("_id")).withColumn("_bin", F.shiftright("_hash", 64 - BIN_BITS))
     bins = known.groupBy("_lang", "_bin").agg(F.count("*").alias("_n"))
@@ -392,8 +448,14 @@ def sampled(
     return rows.join(F.broadcast(chosen), "_id", "left_semi")
 
 
+def given_to_learn(documents: DataFrame, lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
+    """All rows that have a language and are not held out."""
+    return documents.where((fold(f"`{doc_id}`") != 0) & F.col(f"`{lang}`").isNotNull())
+
+
 def learn_from_documents(
-    documents: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = PER_LANGUAGE
+    documents: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int | None = None
 ) -> Model:
-    """Learn from ``sampled`` documents."""
-    return learn(sampled(documents, text, lang, doc_id, per_language), text, lang)
+    """Learn from all documents ``given_to_learn``, or from ``sampled`` ones with a number ``per_language``."""
+    rows = given_to_learn(documents, lang, doc_id) if per_language is None else sampled(documents, text, lang, doc_id, per_language)
+    return learn(rows, text, lang)

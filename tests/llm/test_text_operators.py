@@ -468,3 +468,40 @@ def test_schema_of_empty_tables(spark):
     assert token_counts.token_counts(empty).collect() == []
     assert licenses.licenses(empty).collect() == []
     assert isinstance(bpe.encode_texts(empty).schema["ids"].dataType, T.ArrayType)
+
+
+def test_language_is_learned_from_all_documents(spark):
+    rows = spark.range(8000).selectExpr("id as doc_id", "concat('w', translate(id, '0123456789', 'abcdefghij'), ' ', 'end.') as text", "'a' as lang", "'s' as source", "1 as n_chars")
+    known = rows.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+    assert known.count() > langid.PER_LANGUAGE
+    assert np.allclose(langid.learn_from_documents(rows).table, langid.learn(known).table)
+    assert not np.allclose(langid.learn_from_documents(rows, per_language=40).table, langid.learn(known).table)
+
+
+def test_language_stage_of_pipeline_takes_no_sample(spark, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(langid, "sampled", None)
+    documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert corpus_pipeline.reject_unknown_language(spark, documents, "/root/testdata/sf0.001").count() > 0
+
+
+def test_expected_pieces_of_many_words_are_those_of_each():
+    pieces = [langid.START, "▁a", "a", "ab", "b", "abc", "▁ab"]
+    lattice, log_prior = langid.Lattice(pieces), langid.log_prior_of(pieces)
+    words, times = ["abba", "c", "abcab", "b" * langid.SHORT_WORD, "a"], np.array([1.0, 2, 3, 1, 5])
+    want = np.zeros(len(pieces))
+    for word, n in zip(words, times, strict=True):
+        for piece, share in lattice.expected(word, log_prior).items():
+            want[piece] += n * share
+    assert np.allclose(lattice.expected_of_all(words, times, np.append(np.exp(log_prior), langid.FLOOR)), want)
+    assert not lattice.expected_of_all([], np.empty(0), np.append(np.exp(log_prior), langid.FLOOR)).any()
+
+
+def test_store_of_repeated_keys_holds_none_seen_once():
+    made = []
+    store = common.Recent(lambda k: made.append(k) or k.encode(), 10_000, repeated=True)
+    assert [store["a"], store["a"], store["a"], store["b"]] == [b"a", b"a", b"a", b"b"]
+    assert made == ["a", "a", "b"] and "a" in store and "b" not in store
+    store.marked = common.MISSED_PLACES
+    assert store["c"] == b"c" and store.marked == 1
