@@ -94,13 +94,6 @@ class Recent(dict):
         self[key] = value
         self.used += ENTRY_BYTES + len(key) + (len(value) if isinstance(value, bytes) else 0)
 
-    def hold_all(self, values: dict[str, bytes]) -> None:
-        """Hold many values at once, those already held included."""
-        new = {k: v for k, v in values.items() if k not in self and len(k) <= STORED_LENGTH}
-        self.make_room()
-        self.update(new)
-        self.used += ENTRY_BYTES * len(new) + sum(map(len, new)) + sum(map(len, new.values()))
-
     def make_room(self) -> None:
         if self.used >= self.limit:
             self.older = dict(self)

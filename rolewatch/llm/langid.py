@@ -16,9 +16,9 @@ code point.  Repeated rows stay repeated; other columns pass, but for one with t
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
-from itertools import chain
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, count, islice
 from math import exp, log
 
 import ahocorasick
@@ -29,11 +29,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Recent, fold, kept_by_worker, with_computed
+from .common import ENTRY_BYTES, STORED_LENGTH, fold, kept_by_worker, with_computed
 
 UNKNOWN = "und"
 #: Runs of letters and of numerals other than decimal digits; only the letters count.
 RUNS = re.compile(r"[^\W\d_]+")
+RUNS_OR_ENDS = re.compile(r"[^\W\d_]+|\n")
 LETTERS = regex.compile(r"\p{L}+")
 START = "▁"
 #: Chunks counted in a task, and characters of texts they come from, before their words are handed on; bounds a task's memory.
@@ -41,6 +42,8 @@ COUNTED_CHUNKS = 200_000
 COUNTED_CHARACTERS = 64 << 20
 #: Bytes of evidence of known chunks that a worker holds.
 STORED_EVIDENCE = 96 << 20
+#: Bytes of evidence of known words.
+STORED_WORDS = 48 << 20
 #: Words of up to so many letters are summed together: no sum of theirs falls out of range.
 SHORT_WORD = 30
 #: Texts whose new words are summed together.
@@ -84,6 +87,23 @@ def words_of(chunk: str) -> list[str]:
     return found if all(map(str.isalpha, found)) else [w for run in found for w in LETTERS.findall(run)]
 
 
+def words_of_all(chunks: list[str]) -> tuple[list[str], np.ndarray]:
+    """The words of many chunks that hold no blank, one after another, and how many each chunk has.  They are found in one search over all chunks."""
+    found = RUNS_OR_ENDS.findall("\n".join([*chunks, ""]).lower())
+    ends = np.flatnonzero(np.fromiter(map("\n".__eq__, found), bool, len(found)))
+    words = [w for w in found if w != "\n"]
+    if len(ends) == len(chunks) and (not words or "".join(words).isalpha()):
+        return words, np.diff(ends, prepend=-1) - 1
+    parts = [words_of(c) for c in chunks]
+    return [w for part in parts for w in part], np.fromiter(map(len, parts), np.int64, len(parts))
+
+
+def numbering(keys: Iterable[str] = ()) -> defaultdict[str, int]:
+    """Numbers keys from 0 on, those not known yet as they are asked for."""
+    numbers = dict(zip(keys, count()))
+    return defaultdict(count(len(numbers)).__next__, numbers)
+
+
 class Lattice:
     """All segmentations of words into pieces."""
 
@@ -231,17 +251,16 @@ def word_counts(rows: DataFrame, text: str, lang: str) -> DataFrame:
         counts: dict[str, Counter] = {}
         characters = 0
 
-        def out() -> pa.RecordBatch:
-            rows = []
+        def out() -> Iterator[pa.RecordBatch]:
             for a, chunks in counts.items():
-                words: dict[str, int] = {}
-                for chunk, n in chunks.items():
-                    for w in words_of(chunk):
-                        words[w] = words.get(w, 0) + n
-                rows += [(a, w, n) for w, n in words.items()]
+                words, each = words_of_all(list(chunks))
+                places = numbering()
+                at = np.fromiter(map(places.__getitem__, words), np.int64, len(words))
+                n = np.zeros(len(places), np.int64)
+                np.add.at(n, at, np.repeat(np.fromiter(chunks.values(), np.int64, len(chunks)), each))
+                columns = [pa.repeat(pa.scalar(a, pa.string()), len(places)), pa.array(list(places), pa.string()), pa.array(n)]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "word", "n"])
             counts.clear()
-            a, w, n = zip(*rows, strict=True) if rows else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(w, pa.string()), pa.array(n, pa.int64())], names=["lang", "word", "n"])
 
         for batch in batches:
             for a, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
@@ -249,8 +268,8 @@ def word_counts(rows: DataFrame, text: str, lang: str) -> DataFrame:
                 characters += len(text)
                 if characters > COUNTED_CHARACTERS or sum(map(len, counts.values())) > COUNTED_CHUNKS:
                     characters = 0
-                    yield out()
-        yield out()
+                    yield from out()
+        yield from out()
 
     found = given.mapInArrow(run, "lang string, word string, n long")
     return found.groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -296,34 +315,31 @@ class Model:
             self.lattice = Lattice(self.pieces)
             self.columns = [[*column, FLOOR] for column in self.table.T.tolist()]
             self.rows = np.vstack([self.table, np.full(self.table.shape[1], FLOOR)])
-            self.known = Recent(limit=STORED_EVIDENCE)
+            self.known = Evidence(self.weigh, self.table.shape[1] + 1, STORED_EVIDENCE)
+            self.known_words = Evidence(self.weigh_words, self.table.shape[1] + 1, STORED_WORDS)
         return self
 
     def __getstate__(self):
         return {"pieces": self.pieces, "languages": self.languages, "table": self.table, "lattice": None}
 
-    def weigh(self, chunks: list[str]) -> dict[str, bytes]:
-        """The evidence of chunks, what stands between blanks, as the bytes of one number per language and the number of letters; none without a letter."""
-        parts = [words_of(c) for c in chunks]
-        flat = [w for found in parts for w in found]
-        places = {w: n for n, w in enumerate(dict.fromkeys(flat))}
-        words = list(places)
+    def weigh(self, chunks: list[str]) -> np.ndarray:
+        """The evidence of chunks, what stands between blanks: a row per chunk of one number per language and the number of letters; zeros without a letter."""
+        words, counts = words_of_all(chunks)
+        found, used = np.zeros((len(chunks), self.table.shape[1] + 1)), np.flatnonzero(counts)
+        if len(used):
+            found[used] = np.add.reduceat(self.known_words.values_of(words, len(words)), (np.cumsum(counts) - counts)[used], axis=0)
+        return found
+
+    def weigh_words(self, words: list[str]) -> np.ndarray:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        logs = np.empty((len(words), len(self.languages) + 1))
+        logs = np.empty((len(words), self.table.shape[1] + 1))
         logs[:, -1] = sizes
         short = np.flatnonzero(sizes <= SHORT_WORD)
         if len(short):
             logs[short, :-1] = self.lattice.log_probabilities([words[n] for n in short.tolist()], self.rows)
         for n in np.flatnonzero(sizes > SHORT_WORD).tolist():
             logs[n, :-1] = self.lattice.log_probability(words[n], self.columns)
-        counts = np.fromiter(map(len, parts), np.int64, len(parts))
-        used = np.flatnonzero(counts)
-        found = dict.fromkeys(chunks, b"")
-        if len(used):
-            rows = logs[np.fromiter((places[w] for w in flat), np.int64, len(flat))]
-            raw, step = np.add.reduceat(rows, (np.cumsum(counts) - counts)[used], axis=0).tobytes(), 8 * logs.shape[1]
-            found.update((chunks[c], raw[n * step : (n + 1) * step]) for n, c in enumerate(used.tolist()))
-        return found
+        return logs
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, float | None, float]]:
         """Language, its probability, the mean logarithm per letter under it, and the letters, for each text of a batch."""
@@ -333,28 +349,13 @@ class Model:
         if not self.languages:
             return [(UNKNOWN, 0.0, None, 0.0)] * len(texts)
         counts = [Counter((text or "").split()) for text in texts]
-        distinct = list(set().union(*counts))
-        nothing, mine, missing = np.zeros(len(self.languages) + 1).tobytes(), {}, []
-        known, older = self.known, self.known.older
-        for chunk in distinct:
-            value = known.get(chunk)
-            if value is None:
-                value = older.get(chunk)
-                if value is None:
-                    missing.append(chunk)
-                    continue
-            mine[chunk] = value
-        mine |= self.weigh(missing)
-        self.known.hold_all(mine)
-        values = np.frombuffer(b"".join([mine[c] or nothing for c in distinct])).reshape(len(distinct), len(self.languages) + 1)
         # A row per text and distinct chunk of it, summed by text.
-        places = dict(zip(distinct, range(len(distinct)), strict=True))
         sizes = np.fromiter(map(len, counts), np.int64, len(counts))
-        at = np.fromiter(chain.from_iterable(map(places.__getitem__, c) for c in counts), np.int64, sizes.sum())
-        times = np.fromiter(chain.from_iterable(c.values() for c in counts), np.float64, sizes.sum())
+        values = self.known.values_of(chain.from_iterable(counts), int(sizes.sum()))
+        values *= np.fromiter(chain.from_iterable(c.values() for c in counts), np.float64, len(values))[:, None]
         sums, used = np.zeros((len(texts), len(self.languages) + 1)), np.flatnonzero(sizes)
         if len(used):
-            sums[used] = np.add.reduceat(values[at] * times[:, None], (np.cumsum(sizes) - sizes)[used], axis=0)
+            sums[used] = np.add.reduceat(values, (np.cumsum(sizes) - sizes)[used], axis=0)
         letters, evidence = sums[:, -1], sums[:, :-1]
         best = evidence.argmax(axis=1)
         highest = evidence[np.arange(len(texts)), best]
@@ -364,6 +365,49 @@ class Model:
         return [(self.languages[n], score, fit, size) if size else (UNKNOWN, 0.0, None, 0.0) for size, n, score, fit in rows]
 
 
+class Evidence:
+    """Rows of numbers by chunk, computed when missed, many chunks at once.
+
+    Once the rows take up ``limit`` bytes, the half of them that was used most is kept.
+    """
+
+    def __init__(self, compute: Callable[[list[str]], np.ndarray], width: int, limit: int):
+        self.compute, self.most = compute, max(1, limit // (ENTRY_BYTES + 8 * width))
+        self.places, self.rows, self.uses = numbering(), np.empty((0, width)), np.empty(0, np.int64)
+
+    def values_of(self, chunks: Iterator[str], size: int) -> np.ndarray:
+        """A row for each of ``size`` chunks."""
+        held = len(self.places)
+        at = np.fromiter(map(self.places.__getitem__, chunks), np.int64, size)
+        new = list(islice(reversed(self.places), len(self.places) - held))[::-1]
+        if new:
+            self.room(held + len(new))
+            self.rows[held : held + len(new)] = self.compute(new)
+        values = self.rows[at]
+        self.uses[: len(self.places)] += np.bincount(at, minlength=len(self.places))
+        if len(self.places) > self.most:
+            self.drop(new)
+        return values
+
+    def room(self, needed: int) -> None:
+        if needed > len(self.rows):
+            size = max(needed, min(2 * needed, self.most))
+            self.rows = np.concatenate([self.rows, np.empty((size - len(self.rows), self.rows.shape[1]))])
+            self.uses = np.concatenate([self.uses, np.zeros(size - len(self.uses), np.int64)])
+
+    def drop(self, new: list[str]) -> None:
+        chunks = list(self.places)
+        uses = self.uses[: len(chunks)]
+        uses[np.fromiter(map(len, chunks), np.int64, len(chunks)) > STORED_LENGTH] = 0
+        keep = np.sort(np.argsort(-uses, kind="stable")[: self.most // 2])
+        keep = keep[uses[keep] > 0]
+        rows, uses = self.rows[keep], uses[keep] // 2
+        self.places = numbering([chunks[n] for n in keep.tolist()])
+        self.rows, self.uses = np.empty((0, rows.shape[1])), np.empty(0, np.int64)
+        self.room(len(keep))
+        self.rows[: len(keep)], self.uses[: len(keep)] = rows, uses
+
+
 def learn(rows: DataFrame, text: str = "text", lang: str = "lang", vocabulary: str | None = None) -> Model:
     """Learn from all rows given.  One number per piece and language comes to the driver."""
     pieces = letter_pieces(vocabulary or default_vocabulary())

@@ -505,3 +505,33 @@ def test_store_of_repeated_keys_holds_none_seen_once():
     assert made == ["a", "a", "b"] and "a" in store and "b" not in store
     store.marked = common.MISSED_PLACES
     assert store["c"] == b"c" and store.marked == 1
+
+
+def test_evidence_of_chunks_and_words_is_computed_once_and_bounded():
+    model = langid.Model(["▁a", "a", "b"], ["x", "y"], np.array([[0.2, 0.1], [0.3, 0.2], [0.1, 0.4]])).ready()
+    weighed, weigh = [], model.known_words.compute
+    model.known_words.compute = lambda words: weighed.extend(words) or weigh(words)
+    texts = ["ab, ab ½ab 12", None, "AB. ba-ab", "", "a" * 50, "..."]
+    found = model.predict(texts)
+    assert sorted(weighed) == ["a" * 50, "ab", "ba"]
+    assert [p[3] for p in found] == [6.0, 0.0, 6.0, 0.0, 50.0, 0.0]
+    assert model.predict(texts) == found and [p for t in texts for p in model.predict([t])] == found and len(weighed) == 3
+    want = 3 * np.array(model.lattice.log_probability("ab", model.columns))
+    assert found[0][0] == "xy"[want.argmax()] and np.isclose(found[0][2], want.max() / 6)
+    made = []
+    store = langid.Evidence(lambda keys: made.append(keys) or np.array([[float(k[1:])] for k in keys]), 1, 20 * (common.ENTRY_BYTES + 8))
+    for n in range(0, 400, 5):
+        assert store.values_of(["k7", "k7", *[f"k{m}" for m in range(n, n + 5)]], 7)[:, 0].tolist() == [7, 7, *range(n, n + 5)]
+        assert len(store.places) == max(store.places.values()) + 1 <= 20 and len(store.rows) <= 40
+    assert sum(k.count("k7") for k in made) == 1
+    store.values_of(["k" + "0" * common.STORED_LENGTH + str(m) for m in range(21)], 21)
+    assert max(map(len, store.places)) <= common.STORED_LENGTH
+
+
+def test_words_of_many_chunks_are_those_of_each():
+    chunks = ["Σας,ΣΑΣ", "½x²", "", "İb", "a_b1c", "--", "ΟΔΟΣ"]
+    words, counts = langid.words_of_all(chunks)
+    assert words == [w for c in chunks for w in langid.words_of(c)] and counts.tolist() == [len(langid.words_of(c)) for c in chunks]
+    words, counts = langid.words_of_all(["one", "two-Three"])
+    assert words == ["one", "two", "three"] and counts.tolist() == [1, 2]
+    assert langid.words_of_all([])[0] == []
