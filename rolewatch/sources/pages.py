@@ -29,7 +29,7 @@ from ..functions.text import (
     unescape_json,
 )
 from ..functions.urls import canonical_url, is_job_detail_url, parsed_url, source_url_error
-from ..operators.shaping import computed, join_dimension
+from ..operators.shaping import computed, join_dimension, join_large
 from .linked_data import allow_repeated_names, linked_data_blocks, linked_data_records
 from .postings import CONTEXT, context_of, eligible, finish_postings
 
@@ -253,7 +253,7 @@ def read_event_pages(pages: DataFrame, targets: DataFrame, sources: DataFrame) -
         F.min(F.struct("id", "url")).alias("events_source")
     )
     companies = targets.select(F.col("id").alias("company_id"), "event_keywords", F.lit(True).alias("_known"))
-    located = join_dimension(read, companies.join(events_page, "company_id", "left"), ["company_id"])
+    located = join_dimension(read, join_large(companies, events_page, "company_id", "left"), ["company_id"])
     title, description, url = F.col("title"), F.col("description"), F.col("canonical_url")
     haystack = F.lower(F.concat(title, F.lit(" "), description))
     rejection = (
