@@ -1,6 +1,7 @@
 """Watchlist, schedule, inbox, outbox, readers and the skew-safe shapes."""
 
 import random
+import re
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import functions as F
@@ -386,3 +387,19 @@ def test_target_inputs_of_one_row_group_use_all_cores(spark, tmp_path):
     rows.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
     inputs = catalogue.target_inputs(spark, str(tmp_path))
     assert inputs.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and inputs.select("n").distinct().count() == 100
+
+
+def test_tables_that_grow_are_not_broadcast(spark, tmp_path):
+    folder = str(tmp_path)
+    spark.range(60).selectExpr("id as c_custkey", "concat('Customer#', id) as c_name", "'X' as c_mktsegment").write.parquet(f"{folder}/customer.parquet")
+    orders = spark.range(400).selectExpr("id as o_orderkey", "id % 60 as o_custkey", "element_at(array('F', 'O', 'P'), cast(id % 3 + 1 as int)) as o_orderstatus", "timestamp_ntz '1998-01-01 00:00:00' as o_orderdate", "'1-URGENT' as o_orderpriority")
+    orders.write.parquet(f"{folder}/orders.parquet")
+    html = "concat('<html><head><title>x</title></head><body>', id, '<footer></footer></body></html>') as html"
+    spark.range(60).selectExpr("id as page_id", "concat('https://p.example/', id) as url", html).write.parquet(f"{folder}/pages.parquet")
+    queries = ["claimable_deliveries", "delivery_claimed", "delivery_changed", "delivery_round", "delivery_round_counts", "enqueue_deliveries", "event_import_messages"]
+    for name in queries:  # these files are small enough to be broadcast; in delivery_claimed only the claims are, ten rows
+        found = catalogue.QUERIES[name](spark, folder)
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        sent = re.findall(r"BroadcastHashJoin \[(change_id|company_id|id)#\d+L?\],.*", plan)
+        assert sent == (["id"] if name == "delivery_claimed" else []), (name, plan)
+        assert found.count() > 0
