@@ -41,13 +41,13 @@ START = "▁"
 COUNTED_CHUNKS = 200_000
 COUNTED_CHARACTERS = 64 << 20
 #: Bytes of evidence of known chunks that a worker holds.
-STORED_EVIDENCE = 96 << 20
+STORED_EVIDENCE = 40 << 20
 #: Bytes of evidence of known words.
-STORED_WORDS = 48 << 20
+STORED_WORDS = 24 << 20
 #: Words of up to so many letters are summed together: no sum of theirs falls out of range.
 SHORT_WORD = 30
 #: Texts whose new words are summed together.
-TEXTS = 1024
+TEXTS = 256
 #: Documents of a sample per language, and over all languages.
 PER_LANGUAGE = 5_000
 SAMPLE_IDS = 500_000
